@@ -32,7 +32,6 @@ GAP_MS = 30 * 60 * 1000
 #: Late rows within this delay are buffered.
 DELAY = "7 days"
 
-_MESSAGE = "session string, uuid string, parent string, role string, blank boolean, hot boolean, ts_ms long"
 _OUT = "session string, uuid string, parent string, role string, blank boolean, hot boolean, seq_no int"
 _ARROW = pa.schema([("session", pa.string()), ("uuid", pa.string()), ("parent", pa.string()), ("role", pa.string()), ("blank", pa.bool_()), ("hot", pa.bool_()), ("ts_ms", pa.int64())])
 _STATE = StructType([StructField("buffer", BinaryType())])
@@ -118,6 +117,8 @@ def _unpack(data: bytes) -> pd.DataFrame:
 
 def _fold(gap_ms: int):
     def fold(key, parts, state: GroupState):
+        if key[0] < 0:
+            return
         frames = [_unpack(bytes(state.get[0]))] if state.exists else []
         frames += [p[[f.name for f in _ARROW]] for p in parts] if not state.hasTimedOut else []
         m = pd.concat(frames, ignore_index=True) if frames else _unpack(_pack(_EMPTY.assign(ts_ms=0).drop(columns="seq_no")))
@@ -143,6 +144,16 @@ def _fold(gap_ms: int):
     return fold
 
 
+def _replay(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table at ``path``, a folder or a single file, as a stream."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return stream.option("pathGlobFilter", name).parquet(folder)
+
+
 def conversations(spark: SparkSession, path: str, ws: Workspace, hot_rows: int = HOT_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET, gap_ms: int = GAP_MS, delay: str = DELAY) -> DataFrame:
     """(session_id, seq_no, uuid) of every message of the sound conversations of the transcript rows at ``path``.
 
@@ -160,8 +171,8 @@ def conversations(spark: SparkSession, path: str, ws: Workspace, hot_rows: int =
     buckets = max(1, total // rows_per_bucket)
 
     mark = ws.child("mark")
-    spark.createDataFrame([("9000-01-01 00:00:00",)], "at string").select(F.col("at").cast("timestamp").alias("ts")).write.parquet(mark)
-    raw = spark.readStream.schema(batch.schema).parquet(path)
+    spark.createDataFrame([("2250-01-01 00:00:00",)], "at string").select(F.col("at").cast("timestamp").alias("ts")).write.parquet(mark)
+    raw = _replay(spark, path, batch.schema)
     live = messages(raw)
     is_hot = F.col("session").isin(hot) if hot else F.lit(False)
     spread = F.when(is_hot, F.xxhash64("session", "uuid")).otherwise(F.xxhash64("session"))
@@ -170,7 +181,7 @@ def conversations(spark: SparkSession, path: str, ws: Workspace, hot_rows: int =
         F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("role"),
         F.lit(True).alias("blank"), "ts", F.lit(False).alias("hot"), F.lit(-1).cast("long").alias("bucket"),
     )
-    events = live.unionByName(end).withWatermark("ts", delay).where("bucket >= 0")
+    events = live.unionByName(end).withWatermark("ts", delay)  # the mark has a bucket of its own: a filter would be pushed below the watermark
     keyed = events.select("bucket", "session", "uuid", "parent", "role", "blank", "hot", F.unix_millis("ts").alias("ts_ms"), "ts").groupBy("bucket")
     out = keyed.applyInPandasWithState(_fold(gap_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     sink = ws.child("emitted")
