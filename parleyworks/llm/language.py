@@ -57,13 +57,10 @@ _KANA = re.compile("[ぁ-ヿｦ-ﾟ]")
 _NO_SPACES = ("cjk", "thai")
 _CODE = re.compile(
     r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`"
-    r"|[a-z][a-z0-9+.-]*://[^\s]+"
-    r"|[A-Za-z0-9+/=_-]{40,}"
-    r"|[A-Za-z0-9_.~@:#-]*[\\/][A-Za-z0-9_./\\@:#-]*"
-    r"|[A-Za-z0-9]*_[A-Za-z0-9_]+(?:\.[A-Za-z0-9]+)*(?:\([^)\n]*\)|\[[^\]\n]*\])?"
-    r"|[A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9]*)+(?:\([^)\n]*\))?(?![A-Za-z])"
-    r"|\b[A-Za-z]*[0-9][A-Za-z0-9]*\b(?<![0-9])|\b[A-Za-z]+[0-9][A-Za-z0-9]*\b"
-    r"|\b[a-z]+[A-Z][A-Za-z0-9]*(?:\([^)\n]*\)|\[[^\]\n]*\])?",
+    # from the start of a word only: blobs, links and paths, names with underscores or digits, in camel case, with dots
+    r"|(?<![A-Za-z0-9_])(?:[A-Za-z0-9+/=_-]{40,}"
+    r"|(?:(?=[A-Za-z.~@:#-]*[_/\\0-9])[A-Za-z0-9_.~@:#?&=/\\-]*[A-Za-z_/\\](?:[A-Za-z0-9_.@:#?&=/\\-]*[A-Za-z0-9_/\\])?"
+    r"|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z][A-Za-z-]*(?:\.[A-Za-z][A-Za-z0-9]*)+)(?:\([^)\n]*\)|\[[^\]\n]*\])?)",
     re.S,
 )
 _CODE_LINE = re.compile(
@@ -71,6 +68,8 @@ _CODE_LINE = re.compile(
     r"|set -[a-z]|cd [^\n]*&&[^\n]*|<[^\n]*>|#!?[ \t]*see[^\n]*|[\w.\" -]{1,40}\"?[ \t]*(?:=|:=)[ \t]*[^\n]*|\"[^\"\n]*\":[^\n]*|[A-Z_]{3,}=[^\n]*|\[[^\n\]]*\]|(?:replicas|version|timeout|name|kind|size|retries|image|etag|value)\"?:[ \t]*\S+)[ \t]*$"
 )
 
+_CODE_MARK = re.compile(r"[;{}=<>\[\]#]|\bset -|\b(?:replicas|version|timeout|name|kind|size|retries|image|etag|value)\b|&&|\":|[(][^)]*:")
+
 
 def label_code(label: str | None) -> str | None:
     """The two-letter code that a label names in any spelling; None for no label, a word for unknown, or one not known."""
@@ -95,11 +94,11 @@ def _plain(word: str, script: str) -> str:
 
 def tokens(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, form, start, end) of the words and boundaries of a text without its code; kind is a script, ``line`` or ``stop``."""
-    blank = lambda m: "\n" if "\n" in m.group(0) else " " * len(m.group(0))
     if "\n" in text or "`" in text or "=" in text or "/" in text or "_" in text or re.search(r"[A-Za-z0-9]\.[A-Za-z]|[a-z][A-Z0-9]|;", text):
         keep = lambda m: re.sub(r"[^\n]", " ", m.group(0))
         text = _CODE.sub(keep, text)
-        text = _CODE_LINE.sub(keep, text)
+        if _CODE_MARK.search(text):
+            text = _CODE_LINE.sub(keep, text)
     return [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
@@ -177,71 +176,90 @@ def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, f
     A sentence gets the language that Viterbi gives most of its words; the confidence is the share of its words in that
     language, weighted by how clearly the scores speak for it. Short sentences count only where a text has no longer one.
     """
-    every: list[list[tuple[np.ndarray, int, int, int, int]]] = []
-    for text in texts:
-        words, sentence, gap = [], 0, 2
+    n = len(model.langs)
+    place: dict[int, int] = {}
+    rows: list[np.ndarray] = []
+    word, gaps, begins, ends, loose, sentences = [], [], [], [], [], []
+    first = np.zeros(len(texts) + 1, dtype=np.int64)
+    sentence = 0
+    for k, text in enumerate(texts):
+        gap = 2
+        sentence += 1
         for kind, form, start, end in tokens(unicodedata.normalize("NFC", text)) if text else ():
-            if kind in ("line", "stop"):
+            if kind == "line" or kind == "stop":
                 sentence += 1
                 gap = max(gap, 2 if kind == "line" else 1)
                 continue
             s = model.scores(kind, form)
             if s is not None:
-                words.append((s, sentence, gap, start, end, kind in _NO_SPACES))
+                at = place.get(id(s))
+                if at is None:
+                    at = place[id(s)] = len(rows)
+                    rows.append(s)
+                word.append(at)
+                gaps.append(gap)
+                begins.append(start)
+                ends.append(end)
+                loose.append(kind in _NO_SPACES)
+                sentences.append(sentence)
                 gap = 0
-        every.append(words)
-    n = len(model.langs)
-    costs = np.array([SWITCH_INSIDE, SWITCH_SENTENCE, SWITCH_LINE], dtype=np.float32)
-    order = sorted(range(len(every)), key=lambda k: -len(every[k]))
-    lengths = np.array([len(every[k]) for k in order])
-    longest = int(lengths[0]) if len(order) else 0
-    paths: dict[int, np.ndarray] = {}
-    if longest:
-        best = np.zeros((len(order), n), dtype=np.float32)
-        back: list[np.ndarray] = []
-        for t in range(longest):
-            live = int(np.searchsorted(-lengths, -t, side="left"))
-            s = np.stack([every[k][t][0] for k in order[:live]])
-            if t == 0:
-                best[:live] = s
-                back.append(np.zeros((live, n), dtype=np.int8))
-                continue
-            cost = costs[np.fromiter((every[k][t][2] for k in order[:live]), dtype=np.int64, count=live)]
-            now = best[:live]
-            top = now.argmax(axis=1)
-            switched = now[np.arange(live), top] - cost
-            stay = now >= switched[:, None]
-            back.append(np.where(stay, np.arange(n, dtype=np.int8)[None, :], top[:, None].astype(np.int8)))
-            best[:live] = np.where(stay, now, switched[:, None]) + s
-        state = best.argmax(axis=1)
-        for r, k in enumerate(order):
-            if not lengths[r]:
-                break
-            path = np.empty(lengths[r], dtype=np.int8)
-            here = int(state[r])
-            for t in range(int(lengths[r]) - 1, -1, -1):
-                path[t] = here
-                here = int(back[t][r, here])
-            paths[k] = path
-    out: list[list[tuple[str, float, int, int]]] = []
-    for k, words in enumerate(every):
-        found = []
-        a = 0
-        while a < len(words):
-            b = a
-            while b < len(words) and words[b][1] == words[a][1]:
-                b += 1
-            part, labels = words[a:b], paths[k][a:b]
-            weight = np.array([max(1, (w[4] - w[3]) // 2) if w[5] else 1 for w in part], dtype=np.float32)
-            share = np.bincount(labels, weights=weight, minlength=n)
-            lang = int(share.argmax())
-            margin = sum(float(w[0][lang] - np.delete(w[0], lang).max()) for w in part) if n > 1 else CLIP
-            sure = 1 / (1 + np.exp(-min(30.0, max(-30.0, margin))))
-            size = len(part) >= MIN_WORDS or any(w[5] for w in part) and sum(w[4] - w[3] for w in part) >= MIN_CHARS
-            found.append((model.langs[lang], round(float(share[lang] / share.sum()) * float(sure), 4), part[0][3], part[-1][4], bool(size)))
-            a = b
-        whole = [f for f in found if f[4]] or sorted(found, key=lambda f: f[2] - f[3])[:1]
-        out.append([f[:4] for f in whole])
+        first[k + 1] = len(word)
+    out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+    if not word:
+        return out
+    scores = np.stack(rows)[np.array(word)]
+    cost = np.array([SWITCH_INSIDE, SWITCH_SENTENCE, SWITCH_LINE], dtype=np.float32)[np.array(gaps)]
+    lengths = np.diff(first)
+    order = np.argsort(-lengths, kind="stable")
+    sorted_lengths, starts = lengths[order], first[:-1][order]
+    best = np.zeros((len(order), n), dtype=np.float32)
+    back = np.zeros((len(word), n), dtype=np.int8)
+    every = np.arange(n, dtype=np.int8)[None, :]
+    for t in range(int(sorted_lengths[0])):
+        live = int(np.searchsorted(-sorted_lengths, -t, side="left"))
+        at = starts[:live] + t
+        if t == 0:
+            best[:live] = scores[at]
+            continue
+        now = best[:live]
+        top = now.argmax(axis=1)
+        switched = now[np.arange(live), top] - cost[at]
+        stay = now >= switched[:, None]
+        back[at] = np.where(stay, every, top[:, None].astype(np.int8))
+        best[:live] = np.where(stay, now, switched[:, None]) + scores[at]
+    path = np.zeros(len(word), dtype=np.int8)
+    state = best.argmax(axis=1)
+    for t in range(int(sorted_lengths[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-sorted_lengths, -t, side="left"))
+        at = starts[:live] + t
+        path[at] = state[:live]
+        state[:live] = back[at, state[:live]]
+
+    begin, end, free = np.array(begins), np.array(ends), np.array(loose)
+    weight = np.where(free, np.maximum(1, (end - begin) // 2), 1).astype(np.float32)
+    new = np.concatenate([[True], np.diff(sentences) != 0])
+    heads = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    share = np.zeros((len(heads), n), dtype=np.float32)
+    np.add.at(share, (number, path), weight)
+    lang = share.argmax(axis=1)
+    mine = scores[np.arange(len(word)), lang[number]]
+    others = scores.copy()
+    others[np.arange(len(word)), lang[number]] = -np.inf
+    margin = np.add.reduceat(mine - others.max(axis=1), heads) if n > 1 else np.full(len(heads), CLIP)
+    sure = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+    confidence = np.round(share[np.arange(len(heads)), lang] / share.sum(axis=1) * sure, 4)
+    words_in = np.diff(np.append(heads, len(word)))
+    chars_in = np.add.reduceat(end - begin, heads)
+    whole = (words_in >= MIN_WORDS) | (np.logical_or.reduceat(free, heads) & (chars_in >= MIN_CHARS))
+    tails = end[np.append(heads[1:], len(word)) - 1]
+    owner = np.searchsorted(first, heads, side="right") - 1
+    found: list[list[int]] = [[] for _ in texts]
+    for s, k in enumerate(owner.tolist()):
+        found[k].append(s)
+    for k, own in enumerate(found):
+        kept = [s for s in own if whole[s]] or sorted(own, key=lambda s: int(begin[heads[s]] - tails[s]))[:1]
+        out[k] = [(model.langs[lang[s]], float(confidence[s]), int(begin[heads[s]]), int(tails[s])) for s in kept]
     return out
 
 
