@@ -124,14 +124,14 @@ def quantiles(df: DataFrame, value: str, points: list[float], ws=None) -> DataFr
     Distinct values are counted, and the running count finds the elements; no value list is gathered in one place.
     """
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    total = v.agg(F.sum("n").alias("total"))
+    total = v.agg(F.sum("n")).first()[0] or 0
     ranged = v.repartitionByRange("value").withColumn("pid", F.spark_partition_id())
     if ws is not None:
         ranged = ws.save(ranged, "ranged")
     per = ranged.groupBy("pid").agg(F.sum("n").alias("s"))
     before = per.select("pid", (F.sum("s").over(Window.orderBy("pid")) - F.col("s")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("pid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    run = ranged.join(F.broadcast(before), "pid").withColumn("upto", F.col("before") + inside).crossJoin(F.broadcast(total))
+    run = ranged.join(F.broadcast(before), "pid").withColumn("upto", F.col("before") + inside).withColumn("total", F.lit(total).cast("bigint"))
     asked = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("point")) for p in points]))
     wanted = run.select("value", "n", "upto", "total", asked.alias("q")).withColumn("at", F.least(F.col("total") - 1, F.floor(F.col("q.point") * F.col("total"))))
     return wanted.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(F.col("q.point").alias("point"), "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_key
 from ..schema import SYMMETRIC
-from ..session import Workspace, skew_safe_lookup
+from ..session import Workspace
 
 # The weight of an edge that questions a fact, and the order in which edges of one neighbour are tried.
 WEAK = ["CONTRADICTS", "SUPERSEDES"]
@@ -40,7 +40,8 @@ def related(seeds: DataFrame, edges: DataFrame, facts: DataFrame, ws: Workspace,
         if base < floor:
             break
         relevance = F.when(F.col("relation_type").isin(WEAK), base * WEAK_WEIGHT).otherwise(F.lit(base))
-        reach = skew_safe_lookup_many(frontier, steps).withColumn("relevance", relevance).where(F.col("relevance") >= floor)
+        # a hub's steps are many rows of one key: adaptive execution splits them
+        reach = frontier.join(steps, "id").withColumn("relevance", relevance).where(F.col("relevance") >= floor)
         new = reach.join(seen.select("seed", F.col("id").alias("other")), ["seed", "other"], "left_anti")
         first = new.groupBy("seed", "other").agg(F.min(F.struct("id", "incoming", "place", "created_at", "relation_type", "relevance")).alias("e"))
         found = ws.save(first.select("seed", F.col("other").alias("id"), F.lit(hop + 1).alias("hop"), F.round("e.relevance", 6).alias("relevance"), "e.relation_type"), "hop")
@@ -50,11 +51,6 @@ def related(seeds: DataFrame, edges: DataFrame, facts: DataFrame, ws: Workspace,
     return out if out is not None else seen.limit(0).select("seed", "id", F.lit(0).alias("hop"), F.lit(0.0).alias("relevance"), F.lit("").alias("relation_type"))
 
 
-def skew_safe_lookup_many(frontier: DataFrame, steps: DataFrame) -> DataFrame:
-    """The steps from each frontier row. A hub's steps are many rows of the right side; adaptive execution splits them."""
-    return frontier.join(steps, "id")
-
-
 def active_pairs(edges: DataFrame, facts: DataFrame, kind: str) -> DataFrame:
     """Edges of a kind whose ends are both active, with their texts."""
     a = facts.where("is_active").select(F.col("id").alias("source_id"), F.col("fact").alias("source_fact"))
@@ -70,13 +66,19 @@ def orphans(facts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def consistency_counts(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts: active facts, active conflicts and replacements, orphans and their share, categories of one fact."""
-    active = facts.where("is_active").agg(F.count("*").alias("active"))
-    conflicts = active_pairs(edges, facts, "CONTRADICTS").agg(F.count("*").alias("contradicts"))
-    replaced = active_pairs(edges, facts, "SUPERSEDES").agg(F.count("*").alias("supersedes"))
-    alone = orphans(facts, edges).agg(F.count("*").alias("orphans"))
-    single = facts.where("is_active and category_id is not null").groupBy("category_id").count().agg(F.count_if(F.col("count") == 1).alias("single_fact_categories"))
-    # five single rows beside each other
-    out = active.crossJoin(conflicts).crossJoin(replaced).crossJoin(alone).crossJoin(single)
+    single = facts.where("is_active and category_id is not null").groupBy("category_id").count().agg(F.count_if(F.col("count") == 1).alias("n"))
+    parts = {
+        "active": facts.where("is_active").agg(F.count("*").alias("n")),
+        "contradicts": active_pairs(edges, facts, "CONTRADICTS").agg(F.count("*").alias("n")),
+        "supersedes": active_pairs(edges, facts, "SUPERSEDES").agg(F.count("*").alias("n")),
+        "orphans": orphans(facts, edges).agg(F.count("*").alias("n")),
+        "single_fact_categories": single,
+    }
+    rows = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("what"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    out = rows.agg(*[F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in parts])
     return out.withColumn("orphan_rate", F.round(F.when(F.col("active") > 0, F.col("orphans") / F.col("active")).otherwise(0.0), 6))
 
 

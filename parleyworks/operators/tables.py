@@ -59,8 +59,7 @@ def keyset_page(df: DataFrame, columns: list[str], after: tuple | None, size: in
 
 def offset_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """A page with the count of all rows beside each."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(df.count()).cast("bigint"))
 
 
 def batched(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import hierarchy_queries
+from . import hierarchy_queries, report_queries, search_queries, stream_queries
 
-_MODULES = (hierarchy_queries,)
+_MODULES = (hierarchy_queries, report_queries, search_queries, stream_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = hierarchy_queries.p4_found
+FLAGSHIP = QUERIES["v7_hybrid"]

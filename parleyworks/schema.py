@@ -10,18 +10,21 @@ from pyspark.sql.types import StructType
 RELATIONS = ["INFLUENCES", "SUPERSEDES", "SUPPORTS", "CONTRADICTS", "DEPENDS_ON", "DERIVED_FROM"]
 SYMMETRIC = ["SUPPORTS", "CONTRADICTS"]
 
+#: The tables by name, as DDL.
 SCHEMAS = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "exchanges": "id string, project string, timestamp string, user_message string, assistant_message string, archive_path string, line_start int, line_end int, last_indexed bigint, parent_uuid string, is_sidechain boolean, session_id string, cwd string, git_branch string, claude_version string, thinking_level string, thinking_disabled boolean, thinking_triggers string, coding_agent string, embedding_version int, embedding array<float>",
-        "tool_calls": "id string, exchange_id string, tool_name string, tool_input string, tool_result string, is_error boolean, timestamp string",
-        "facts": "id string, fact string, fact_kr string, category string, scope_type string, scope_project string, source_exchange_ids array<string>, created_at string, updated_at string, consolidated_count int, category_id string, confidence double, is_active boolean",
-        "edges": "rel_id bigint, source_id string, target_id string, relation_type string, reasoning string, created_at string",
-        "revisions": "fact_id string, previous_fact string, new_fact string, reason string, created_at string",
-    }.items()
+    "exchanges": "id string, project string, timestamp string, user_message string, assistant_message string, archive_path string, line_start int, line_end int, last_indexed bigint, parent_uuid string, is_sidechain boolean, session_id string, cwd string, git_branch string, claude_version string, thinking_level string, thinking_disabled boolean, thinking_triggers string, coding_agent string, embedding_version int, embedding array<float>",
+    "tool_calls": "id string, exchange_id string, tool_name string, tool_input string, tool_result string, is_error boolean, timestamp string",
+    "facts": "id string, fact string, fact_kr string, category string, scope_type string, scope_project string, source_exchange_ids array<string>, created_at string, updated_at string, consolidated_count int, category_id string, confidence double, is_active boolean",
+    "edges": "rel_id bigint, source_id string, target_id string, relation_type string, reasoning string, created_at string",
+    "revisions": "fact_id string, previous_fact string, new_fact string, reason string, created_at string",
 }
 
 
+def schema(name: str) -> StructType:
+    """The schema of a table; needs a session."""
+    return StructType.fromDDL(SCHEMAS[name])
+
+
 def conform(df: DataFrame, schema: StructType, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """``df`` with exactly the schema's columns: missing ones null, others cast where they can be (else null), extra ones dropped.
 
