@@ -63,10 +63,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
                         s[ids[:, None] == own[None, :]] = -np.inf
                     s = np.hstack([best_s, s])
                     i = np.hstack([best_i, np.broadcast_to(own, (len(ids), len(own)))])
-                    if s.shape[1] > k:
-                        # everything that ties with the k-th stays comparable: order by similarity, then id
-                        near = np.argpartition(-s, k - 1, axis=1)[:, : k + 16] if s.shape[1] <= k + 16 else np.argsort(-s, axis=1, kind="stable")[:, : k + 16]
-                        s, i = np.take_along_axis(s, near, 1), np.take_along_axis(i, near, 1)
+                    if s.shape[1] > k + 16:
+                        s, i = _kept(s, i, k)
                     best_s, best_i = s, i
             rows = [(ids[r], best_i[r, c], float(best_s[r, c])) for r in range(len(ids)) for c in range(best_s.shape[1]) if np.isfinite(best_s[r, c]) and (least is None or best_s[r, c] >= least)]
             yield pd.DataFrame(rows, columns=[query_id, item_id, "cosine"])
@@ -79,6 +77,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _kept(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k + 16 best columns of each row; where more than that tie with the k-th, those of the smaller ids."""
+    width = k + 16
+    near = np.argpartition(-s, width - 1, axis=1)[:, :width]
+    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    for r in np.flatnonzero((s >= kth[:, None]).sum(axis=1) > width):
+        tied = np.flatnonzero(s[r] >= kth[r])
+        near[r] = sorted(tied.tolist(), key=lambda c: (-s[r, c], i[r, c]))[:width]
+    return np.take_along_axis(s, near, 1), np.take_along_axis(i, near, 1)
+
+
 def post_filtered(found: DataFrame, rows: DataFrame, item_id: str, keep) -> DataFrame:
     """The neighbours that pass a filter applied after the search, so there may be fewer than k."""
     return found.join(rows.where(keep), item_id)

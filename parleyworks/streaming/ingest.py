@@ -39,8 +39,13 @@ def upsert_each_batch(stream: DataFrame, store: Store, name: str, progress: str,
 
 
 def without_repeats(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
-    """Rows once per key within the watermark's delay."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    """Rows once per key within the watermark's delay.
+
+    A stream's watermark begins at 1970, and what lies before it is dropped as late; so null and earlier times count as that.
+    """
+    begin = F.lit("1970-01-01 00:00:01").cast("timestamp")
+    marked = stream.withColumn("_time", F.greatest(F.coalesce(F.col(time).cast("timestamp"), begin), begin)).withWatermark("_time", delay)
+    return marked.dropDuplicatesWithinWatermark(key).drop("_time")
 
 
 def windowed_counts(events: DataFrame, time: str, width: str, slide: str | None, group: list[str], delay: str = "1 hour") -> DataFrame:
