@@ -51,6 +51,7 @@ def messages(rows: DataFrame) -> DataFrame:
     no_text = F.forall(blocks, lambda b: (b["type"] == "text") & (F.length(F.btrim(F.coalesce(b["text"], F.lit("")), F.lit(BLANKS))) == 0))
     is_list = text.startswith("[") & text.endswith("]")
     blank = F.coalesce(text == "", F.lit(True)) | empty_list | (F.coalesce(is_list, F.lit(False)) & F.coalesce(no_text, F.lit(False)))
+    begin = F.lit("2000-01-01").cast("timestamp")
     stamp = F.try_to_timestamp(F.btrim(F.col("timestamp"), F.lit(BLANKS)))
     return rows.where(F.col("type").isin("user", "assistant") & ~F.coalesce(F.col("isSidechain"), F.lit(False))).select(
         norm_id("sessionId").alias("session"),
@@ -58,7 +59,8 @@ def messages(rows: DataFrame) -> DataFrame:
         norm_id("parentUuid").alias("parent"),
         norm_id("message.role").alias("role"),
         blank.alias("blank"),
-        F.coalesce(stamp, F.lit("2000-01-01").cast("timestamp")).alias("ts"),
+        # a stream's watermark begins at 1970: null and earlier times count as a later one, or the rows would be dropped as late
+        F.least(F.greatest(F.coalesce(stamp, begin), begin), F.lit("2200-01-01").cast("timestamp")).alias("ts"),
     ).where("session is not null")
 
 
