@@ -70,6 +70,9 @@ def sound_sessions(m: pd.DataFrame) -> pd.DataFrame:
     Vectorised over all sessions: chains are followed one step for all sessions at a time only among sessions that pass
     every check that needs no order, so the number of steps is the longest such conversation.
     """
+    nothing = pd.DataFrame({"session": [], "uuid": [], "seq_no": []})
+    if m.empty:
+        return nothing
     m = m.reset_index(drop=True)
     root = m["parent"].isna()
     bad = m["blank"] | ~m["role"].isin(["user", "assistant"]) | m["uuid"].isna() | (root & (m["role"] != "user"))
@@ -78,9 +81,10 @@ def sound_sessions(m: pd.DataFrame) -> pd.DataFrame:
     # unbranched: no parent twice
     twice = m[~root].duplicated(["session", "parent"])
     ok &= ~twice.reindex(m.index, fill_value=False).groupby(group).any()
-    m, root = m[group.map(ok)], root[group.map(ok)]
+    kept = group.map(ok).astype(bool)
+    m, root = m[kept], root[kept]
     if m.empty:
-        return m.assign(seq_no=0)[["session", "uuid", "seq_no"]]
+        return nothing
     keys = pd.MultiIndex.from_arrays([m["session"], m["uuid"]])
     parent_at = pd.Series(keys.get_indexer(pd.MultiIndex.from_arrays([m["session"], m["parent"]])), index=m.index)
     child_of = pd.Series(-1, index=range(len(m)))

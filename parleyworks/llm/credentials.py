@@ -81,7 +81,7 @@ _NEXT_LINE = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)(?:[ \t]|\\t|\d+(?:\t|\\t))*
 _VALUE_LINE = re.compile(r"(?:- )?\\*[\"']?(?:value|Value|VALUE)\\*[\"']?[ \t]*[:=][ \t]*")
 _XML_VALUE = re.compile(r"\\*[\"']\s+(?:value|Value)=")
 _NUMBERED = re.compile(r"(?:^|\n|\\n)\s*$")
-_PROSE = re.compile(r"(?:(?<![A-Za-z0-9_.$/-])|(?<=\\[ntr]))(?:" + PROSE_WORDS + r")(?![A-Za-z0-9_$])", re.I)
+_PROSE = re.compile(r"(?:(?<![A-Za-z0-9_.$/-])|(?<=\\[ntr]))(?:" + PROSE_WORDS + r")(?![A-Za-z0-9_$]|\.\w)", re.I)
 _PROSE_TOKEN = re.compile(r"[^\s\"'`\\,;()\[\]{}<>「」『』“”«»„。、，：]+")
 
 
@@ -262,6 +262,18 @@ def _expand(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _unescaped(text: str) -> tuple[str, list[int] | None]:
+    """The text with ``\\uXXXX`` read, and the place of each of its characters in the original; None where nothing is escaped."""
+    if "\\u" not in text:
+        return text, None
+    parts, place, at = [], [], 0
+    for m in re.finditer(r"\\u([0-9a-fA-F]{4})", text):
+        parts += [text[at : m.start()], chr(int(m.group(1), 16))]
+        place += [*range(at, m.start()), m.start()]
+        at = m.end()
+    return "".join(parts) + text[at:], [*place, *range(at, len(text))]
+
+
 def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every credential's bare value, from 0, in order and without overlaps. Null gives none."""
     if not text:
@@ -321,16 +333,19 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
             if credential_name(name) and name.lower() == "auth" and not re.fullmatch(r"[A-Za-z0-9+/_=.-]{12,}", value):
                 continue
             add(a, b, "assigned")
-    for m in _PROSE.finditer(text):
-        if re.compile(r"\\*[\"'`]?\]?[ \t]*[=:]").match(text, m.end()):
+    plain, place = _unescaped(text)
+    for m in _PROSE.finditer(plain):
+        if re.compile(r"\\*[\"'`]?\]?[ \t]*[=:]").match(plain, m.end()):
             continue  # an assignment, read above
-        stop = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)").search(text, m.end())
-        line = text[m.end() : min(stop.start() if stop else len(text), m.end() + 60)]
+        stop = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)").search(plain, m.end())
+        line = plain[m.end() : min(stop.start() if stop else len(plain), m.end() + 60)]
         for k, t in enumerate(_PROSE_TOKEN.finditer(line)):
             word = t.group(0).rstrip(".:!?")
             bare = re.match(r"[\x21-\x7e]{8,}", word) or re.search(r"(?<=[^\x00-\x7f])[\x21-\x7e]{8,}", word)
             if bare and looks_secret(bare.group(0)):
-                add(m.end() + t.start() + bare.start(), m.end() + t.start() + bare.end(), "in text")
+                at = m.end() + t.start()
+                a, b = at + bare.start(), at + bare.end()
+                add(place[a] if place else a, place[b - 1] + 1 if place else b, "in text")
                 break
             if k >= 4:
                 break
@@ -360,7 +375,7 @@ def redact(text: str | None, mask: str = MASK) -> str | None:
 
 
 #: What a text with any credential must hold, compared without letter case: checked in the JVM before a text goes to Python.
-TRIGGERS = r"(?i)pass|pwd|pw|secret|token|key|auth|credential|psk|sess|\bsid|bearer|basic|BEGIN |eyJ|AKIA|ASIA|gh[pousr]_|glpat|AIza|sk[-_]|xox|npm_|pypi-|hf_|://|kennwort|parola|mot de passe|mdp|jeton|contraseña|clave|clé|senha|chave|ficha|identified|requirepass|парол|токен|ключ|비밀번호|비번|암호|토큰|키|パスワード|トークン|暗証番号|キー|密码|密碼|口令|令牌|密钥|密鑰|كلمة|الرمز|पासवर्ड|कूटशब्द|टोकन|รหัสผ่าน|โทเคน"
+TRIGGERS = r"(?i)login|log_in|sign_?in|logon|curl |mysql|\bconnect\(|:(?:\d{2,5}|\*):|\\u[0-9a-f]{4}|pass|pwd|pw|secret|token|key|auth|credential|psk|sess|\bsid|bearer|basic|BEGIN |eyJ|AKIA|ASIA|gh[pousr]_|glpat|AIza|sk[-_]|xox|npm_|pypi-|hf_|://|kennwort|parola|mot de passe|mdp|jeton|contraseña|clave|clé|senha|chave|ficha|identified|requirepass|парол|токен|ключ|비밀번호|비번|암호|토큰|키|パスワード|トークン|暗証番号|キー|密码|密碼|口令|令牌|密钥|密鑰|كلمة|الرمز|पासवर्ड|कूटशब्द|टोकन|รหัสผ่าน|โทเคน"
 
 
 def credentials(items: DataFrame, text: str = "text") -> DataFrame:

@@ -97,12 +97,13 @@ def mixed(docs: DataFrame, targets: DataFrame, ws: Workspace, vocabulary: str, b
     """
     spark = ws.spark
     name = lambda c: F.lower(F.btrim(F.col(c)))
-    sized = ws.save(with_tokens(docs.where("source is not null").select("doc_id", name("source").alias("source"), "text"), vocabulary), "tokens")
+    # one row per source that has a target: as many as the target table has rows
+    wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(name("source").alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("source is not null and target_share > 0").collect()}
+    named = docs.select("doc_id", name("source").alias("source"), "text").where(F.col("source").isin(list(wanted)))
+    sized = ws.save(with_tokens(named, vocabulary), "tokens")
     blocks = ws.save(cut_blocks(sized.where("tokens > 0"), ws, block_tokens, seed), "blocks")
     per_block = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
-    # one row per source: the sources that have a target are as many as the target table names
-    wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(name("source").alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("source is not null and target_share > 0").collect()}
-    have = {r["source"]: (r["blocks"], r["tokens"]) for r in per_block.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).join(F.broadcast(targets.select(name("source").alias("source")).distinct()), "source", "left_semi").collect()}
+    have = {r["source"]: (r["blocks"], r["tokens"]) for r in per_block.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).collect()}
     usable = {s: v for s, v in wanted.items() if s in have}
     total_share = sum(v[0] for v in usable.values())
     shares = {s: v[0] / total_share for s, v in usable.items()}
