@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_main_conversation, path_slug
+from ..session import Workspace, skew_safe_lookup
+from .hierarchy import prefix_sums
 
 # Tools that say nothing of what is being done.
 GENERIC_TOOLS = ["Read", "Write", "Edit", "Bash", "Glob", "Grep", "LS", "TodoWrite", "Task", "WebFetch", "WebSearch", "MultiEdit"]
@@ -75,22 +77,27 @@ def tool_frequency(calls: DataFrame, n: int, generic: list[str] | None = None) -
     return calls.where(F.col("tool_name").isNotNull() & ~F.col("tool_name").isin(generic)).groupBy("tool_name").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "tool_name").limit(n)
 
 
-def tool_sequences(calls: DataFrame, least: int, n: int, generic: list[str] | None = None) -> DataFrame:
+def tool_sequences(calls: DataFrame, ws: Workspace, least: int, n: int, generic: list[str] | None = None) -> DataFrame:
     """Pairs of tools where one was called before the other in the same exchange, at least ``least`` times.
 
-    Counted from per-exchange, per-tool, per-time counts by a running sum of earlier calls, so an exchange with very many calls
-    gives as many rows as it has tools and times, not their pairs.
+    Calls are counted per exchange, time and tool. For every tool of an exchange a running sum over its times, taken over range
+    partitions, tells how many of its calls came before each call of the others; so neither pairs of calls nor all calls of an
+    exchange come together anywhere.
     """
     generic = GENERIC_STEPS if generic is None else generic
     used = calls.where(F.col("tool_name").isNotNull() & ~F.col("tool_name").isin(generic) & F.col("timestamp").isNotNull() & F.col("exchange_id").isNotNull())
     at = used.groupBy("exchange_id", "timestamp", "tool_name").agg(F.count("*").alias("n"))
-    tools = at.groupBy("exchange_id", "tool_name").agg(F.array_sort(F.collect_list(F.struct("timestamp", "n"))).alias("times"))
-    other = tools.select("exchange_id", F.col("tool_name").alias("next_tool"), F.col("times").alias("later"))
-    pairs = F.aggregate("times", F.lit(0).cast("bigint"), lambda acc, a: acc + a["n"] * F.aggregate(F.filter("later", lambda b: b["timestamp"] > a["timestamp"]), F.lit(0).cast("bigint"), lambda s, b: s + b["n"]))
-    return (
-        tools.join(other, "exchange_id").select("tool_name", "next_tool", pairs.alias("n")).where("n > 0").groupBy("tool_name", "next_tool").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        .orderBy(F.desc("n"), "tool_name", "next_tool").limit(n)
-    )
+    tools = at.groupBy("exchange_id").agg(F.collect_set("tool_name").alias("tools"))
+    each = skew_safe_lookup(at, tools, "exchange_id", "inner").select("exchange_id", "timestamp", F.col("tool_name").alias("next_tool"), "n", F.explode("tools").alias("tool_name"))
+    # at one time the tool's own row comes last: calls at the same time are not before each other
+    own = (F.col("tool_name") == F.col("next_tool")).cast("int")
+    rows = each.withColumn("own", own).withColumn("counted", F.col("own") * F.col("n")).withColumn("series", F.xxhash64("exchange_id", "tool_name"))
+    run = prefix_sums(ws, rows, ["series", "exchange_id", "tool_name", "timestamp", "own", "next_tool"], "counted", "run")
+    first = run.groupBy("exchange_id", "tool_name", "series").agg(F.min("run").alias("first"))
+    key = F.concat_ws("|", "exchange_id", "tool_name")
+    before = skew_safe_lookup(run.withColumn("key", key), first.select(key.alias("key"), "first"), "key", "inner")
+    pairs = before.groupBy("tool_name", "next_tool").agg(F.sum(F.col("n") * (F.col("run") - F.col("first"))).alias("n"))
+    return pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "tool_name", "next_tool").limit(n)
 
 
 def project_connections(exchanges: DataFrame, more_than: int) -> DataFrame:
@@ -118,7 +125,7 @@ def most_frequent(df: DataFrame, group: str, value: str) -> DataFrame:
     return counts.groupBy(group).agg(F.min_by(F.struct(value, "n"), F.struct((-F.col("n")).alias("n"), F.col(value))).alias("b")).select(group, f"b.{value}", "b.n")
 
 
-def quantiles(df: DataFrame, value: str, points: list[float], ws=None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, points: list[float], ws: Workspace | None = None) -> DataFrame:
     """(point, value): the element at floor(point * n) of the sorted values, without interpolation.
 
     Distinct values are counted, and the running count finds the elements; no value list is gathered in one place.
@@ -138,12 +145,14 @@ def quantiles(df: DataFrame, value: str, points: list[float], ws=None) -> DataFr
 
 
 def content_duplicates(facts: DataFrame) -> DataFrame:
-    """(id, keeper): active facts with the same text and scope, and the one that stays (best confirmed, then oldest, then least id)."""
-    key = ["fact", "scope_type", F.coalesce("scope_project", F.lit(""))]
-    w = Window.partitionBy(*key)
-    active = facts.where("is_active")
-    best = F.min_by("id", F.struct((-F.col("consolidated_count")).alias("c"), "created_at", "id")).over(w)
-    return active.withColumn("copies", F.count("*").over(w)).withColumn("keeper", best).where("copies > 1").select("id", "keeper", "copies")
+    """(id, keeper): active facts with the same text and scope, and the one that stays (best confirmed, then oldest, then least id).
+
+    Groups are counted on the map side; a group of very many copies meets its one row by a lookup that stands hot keys.
+    """
+    key = F.sha2(F.to_json(F.struct(F.coalesce("fact", F.lit("")).alias("f"), F.col("fact").isNull().alias("n"), F.coalesce("scope_type", F.lit("")).alias("t"), F.coalesce("scope_project", F.lit("")).alias("p"))), 256)
+    active = facts.where("is_active").select("id", "consolidated_count", "created_at", key.alias("key"))
+    groups = active.groupBy("key").agg(F.count("*").alias("copies"), F.min_by("id", F.struct((-F.col("consolidated_count")).alias("c"), "created_at", "id")).alias("keeper")).where("copies > 1")
+    return skew_safe_lookup(active, groups, "key", "inner").select("id", "keeper", "copies")
 
 
 def agreement_by_threshold(pairs: DataFrame, score: str, agrees: str, thresholds: list[float]) -> DataFrame:
@@ -187,9 +196,8 @@ def majority(votes: DataFrame, item: list[str], verdict: str, confidence: str, v
     A vote has one voice for an item and verdict, its first by confidence.
     """
     once = votes.groupBy(*item, verdict, vote).agg(F.max(F.coalesce(confidence, F.lit(0.0))).alias("c"))
-    tally = once.groupBy(*item, verdict).agg(F.count("*").alias("votes"), F.sort_array(F.collect_list("c")).alias("cs"))
-    at = F.floor(F.col("votes") / 2) + 1 if upper else F.floor((F.col("votes") - 1) / 2) + 1
-    return tally.where(F.col("votes") >= needed).select(*item, verdict, "votes", F.element_at("cs", at.cast("int")).alias("confidence"))
+    median = F.expr(f"percentile_disc(0.5) within group (order by c{' desc' if upper else ''})")
+    return once.groupBy(*item, verdict).agg(F.count("*").alias("votes"), median.alias("confidence")).where(F.col("votes") >= needed)
 
 
 def markdown_table(df: DataFrame, rows: int = 50) -> str:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_key
 from ..schema import SYMMETRIC
-from ..session import Workspace
+from ..session import Workspace, skew_safe_lookup
 
 # The weight of an edge that questions a fact, and the order in which edges of one neighbour are tried.
 WEAK = ["CONTRADICTS", "SUPERSEDES"]
@@ -91,8 +91,9 @@ def new_edges(existing: DataFrame, proposed: DataFrame) -> DataFrame:
 
 def edge_duplicates(edges: DataFrame, id_col: str = "rel_id") -> DataFrame:
     """Edges that repeat a triple, but for the one with the least id."""
-    w = Window.partitionBy("source_id", "relation_type", "target_id").orderBy(id_col)
-    return edges.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
+    key = F.concat_ws("|", "source_id", "relation_type", "target_id")
+    first = edges.groupBy(key.alias("_key")).agg(F.min(id_col).alias("_first"))
+    return skew_safe_lookup(edges.withColumn("_key", key), first, "_key", "inner").where(F.col(id_col) != F.col("_first")).drop("_key", "_first")
 
 
 def latest_decisions(log: DataFrame) -> DataFrame:

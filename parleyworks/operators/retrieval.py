@@ -17,17 +17,18 @@ QUERIES_PER_PASS = 20_000
 K1, B = 1.2, 0.75
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", skip_same: bool = True, least: float | None = None, chunk: int = 2048) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", skip_same: bool = True, least: float | None = None, chunk: int = 2048, within: str | None = None, earlier: bool = False) -> DataFrame:
     """(query_id, item_id, cosine, rank): the k corpus vectors with the highest cosine to each query vector, exactly.
 
     The queries, a stated set, go to the executors in passes of bounded size; each task scans its rows in blocks against all of
     them and keeps k per query, so what is shuffled is tasks x queries x k. Null, zero and other-length vectors have no neighbours
-    and are none. ``skip_same`` leaves out the item with the query's own id; ``least`` drops what is less similar. Ties go to the
-    smaller id.
+    and are none. ``skip_same`` leaves out the item with the query's own id; ``least`` drops what is less similar; ``within`` names a column
+    in which both must be equal; with ``earlier`` only items of smaller id count. Ties go to the smaller id.
     """
     spark = corpus.sparkSession
     kinds = {"q": queries.schema[query_id].dataType.simpleString(), "i": corpus.schema[item_id].dataType.simpleString()}
-    usable = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
+    group = F.col(within).cast("string") if within else F.lit("")
+    usable = queries.where(F.col(vector).isNotNull()).select(query_id, vector, group.alias("_group"))
     total = usable.count()
     passes = max(1, -(-total // QUERIES_PER_PASS))
     out = None
@@ -42,10 +43,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
         keep = np.isfinite(norm) & (norm > 0)
         q = q[keep] / norm[keep][:, None]
         ids = np.array([r[0] for r in rows], dtype=object)[keep]
-        held = spark.sparkContext.broadcast((ids, q))
+        groups = np.array([r[2] for r in rows], dtype=object)[keep]
+        held = spark.sparkContext.broadcast((ids, q, groups))
 
         def scan(parts: Iterator[pd.DataFrame], held=held, dim=dim) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
+            ids, q, groups = held.value
             best_s = np.full((len(ids), 0), 0.0)
             best_i = np.empty((len(ids), 0), dtype=object)
             for p in parts:
@@ -59,6 +61,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
                         x = x[ok] / n[ok][:, None]
                     own = part[item_id].to_numpy(dtype=object)[ok]
                     s = q @ x.T
+                    if within:
+                        s[groups[:, None] != part["_group"].to_numpy(dtype=object)[ok][None, :]] = -np.inf
+                    if earlier:
+                        s[(own[None, :] >= ids[:, None]).astype(bool)] = -np.inf
                     if skip_same:
                         s[ids[:, None] == own[None, :]] = -np.inf
                     s = np.hstack([best_s, s])
@@ -69,7 +75,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
             rows = [(ids[r], best_i[r, c], float(best_s[r, c])) for r in range(len(ids)) for c in range(best_s.shape[1]) if np.isfinite(best_s[r, c]) and (least is None or best_s[r, c] >= least)]
             yield pd.DataFrame(rows, columns=[query_id, item_id, "cosine"])
 
-        found = corpus.select(item_id, vector).where(F.col(vector).isNotNull()).mapInPandas(scan, f"`{query_id}` {kinds['q']}, `{item_id}` {kinds['i']}, cosine double")
+        found = corpus.select(item_id, vector, group.alias("_group")).where(F.col(vector).isNotNull()).mapInPandas(scan, f"`{query_id}` {kinds['q']}, `{item_id}` {kinds['i']}, cosine double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"`{query_id}` {kinds['q']}, `{item_id}` {kinds['i']}, cosine double")
@@ -169,3 +175,26 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, query_id: str, item_id:
     v = vector_hits.select(query_id, item_id, F.col("rank"), F.lit("vector").alias("match"))
     t = text_hits.select(query_id, item_id, F.col("rank"), F.lit("text").alias("match"))
     return first_wins([v, t], [query_id, item_id], ["rank"]).drop("pass_no")
+
+
+def all_then_ladder(query_tokens: DataFrame, post: DataFrame, doc_id: str, query_id: str = "query_id", k: int = 10) -> DataFrame:
+    """Documents with every token of a query first, then those of the rarest-token ladder, at most ``k`` a query: (query_id, doc_id, pass_no)."""
+    whole = bm25(query_tokens, post, 1, 1.0, doc_id, query_id, k=2**31 - 1, all_tokens=True).select(query_id, doc_id, F.lit(0).alias("order"))
+    rungs = rarest_ladder(query_tokens, post, doc_id, query_id, k=2 * k).select(query_id, doc_id, (-F.col("rung")).alias("order"))
+    merged = first_wins([whole, rungs], [query_id, doc_id], ["order"])
+    w = Window.partitionBy(query_id).orderBy("pass_no", "order", doc_id)
+    return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, doc_id, "pass_no")
+
+
+def surprise_in_order(batch: DataFrame, corpus: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, surprise) of a batch that is added one by one: each row is compared with the corpus and the rows of smaller id before it."""
+    base = knn(batch, corpus.withColumnRenamed(corpus.columns[0], "item_id"), 1, query_id, "item_id", vector).select(query_id, "cosine")
+    own = knn(batch, batch.withColumnRenamed(query_id, "item_id"), 1, query_id, "item_id", vector, earlier=True).select(query_id, "cosine")
+    return surprise(base.unionByName(own), batch, query_id)
+
+
+def recall_at(found: DataFrame, truth: DataFrame, query_id: str = "query_id", item_id: str = "item_id") -> DataFrame:
+    """(queries, recall): the mean share of each query's true items that were found."""
+    hit = truth.join(found.select(query_id, item_id).distinct().withColumn("_hit", F.lit(1)), [query_id, item_id], "left")
+    per = hit.groupBy(query_id).agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("r"))
+    return per.agg(F.count("*").alias("queries"), F.avg("r").alias("recall"))

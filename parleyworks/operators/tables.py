@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Workspace, skew_safe_lookup
+from .hierarchy import prefix_sums
+
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``. Map-side: the limit runs before the shuffle (window group limit)."""
@@ -62,18 +65,31 @@ def offset_page(df: DataFrame, order: list[Column], limit: int, offset: int) ->
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(df.count()).cast("bigint"))
 
 
-def batched(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
+def numbered(ws: Workspace, df: DataFrame, group: list[str], order: list[str], out: str = "number") -> DataFrame:
+    """Add a running number from 0 within each group, in order of ``order`` (a total order with the group, no null groups).
+
+    It is a running sum over range partitions, so a group of very many rows is spread over tasks.
+    """
+    run = prefix_sums(ws, df.withColumn("_one", F.lit(1)), [*group, *order], "_one", "_run").drop("_one")
+    key = F.to_json(F.struct(*group))
+    first = run.groupBy(key.alias("_group")).agg(F.min("_run").alias("_first"))
+    return skew_safe_lookup(run.withColumn("_group", key), first, "_group", "inner").withColumn(out, F.col("_run") - F.col("_first")).drop("_run", "_first", "_group")
+
+
+def batched(ws: Workspace, df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """Add ``batch`` (from 0) and ``place`` in it: rows of a group in order, ``size`` a batch."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("_rn", rn).withColumn("batch", F.floor(F.col("_rn") / size).cast("int")).withColumn("place", (F.col("_rn") % size).cast("int")).drop("_rn")
+    n = numbered(ws, df, group, order, "_no")
+    return n.withColumn("batch", F.floor(F.col("_no") / size).cast("int")).withColumn("place", (F.col("_no") % size).cast("int")).drop("_no")
 
 
 def spread(df: DataFrame, group: list[str], index: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, evenly over ``index`` (0, 1, ...), first and last among them."""
-    n = F.max(index).over(Window.partitionBy(*group)) + 1
+    key = F.to_json(F.struct(*group))
+    size = df.groupBy(key.alias("_group")).agg((F.max(index) + 1).alias("_n"))
     step = (F.col("_n") - 1) / F.lit(max(1, most - 1))
     chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step + 0.5).cast("int"))
-    return df.withColumn("_n", n).where((F.col("_n") <= most) | F.array_contains(chosen, F.col(index).cast("int"))).drop("_n")
+    sized = skew_safe_lookup(df.withColumn("_group", key), size, "_group", "inner")
+    return sized.where((F.col("_n") <= most) | F.array_contains(chosen, F.col(index).cast("int"))).drop("_n", "_group")
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -91,8 +107,21 @@ def reconciled(files: DataFrame, index: DataFrame, key: str = "path") -> DataFra
 
 
 def budgeted(df: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """The rows of each group, in order, as long as their sizes add up to the budget; the first always stays."""
+    """The rows of each group, in order, as long as their sizes (1 at least) add up to the budget; the first always stays.
+
+    No more than budget + 1 rows of a group can stay, so the limit runs before the shuffle.
+    """
+    df = top_per_group(df, group, order, budget + 1, "_place").drop("_place")
+    size = F.greatest(size, F.lit(1))
     w = Window.partitionBy(*group).orderBy(*order)
     used = df.withColumn("_no", F.row_number().over(w)).withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     over = F.max(((F.col("_sum") > budget) & (F.col("_no") > 1)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return used.withColumn("_over", over).where("_over = 0").withColumnRenamed("_sum", "used").drop("_no", "_over")
+
+
+def with_quota(df: DataFrame, group: list[str], first: Column, order: list[Column], limit: int) -> DataFrame:
+    """``limit`` rows a group: the best ceil(limit / 2) of those that ``first`` holds for are sure, the best others fill up."""
+    sure = -(-limit // 2)
+    w = Window.partitionBy(*group, F.coalesce(first, F.lit(False))).orderBy(*order)
+    marked = df.withColumn("_sure", F.coalesce(first, F.lit(False)) & (F.row_number().over(w) <= sure))
+    return marked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_sure"), *order))).where(F.col("rank") <= limit).drop("_sure")

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import tables as R
-from ..operators.hierarchy import prefix_sums
 from ..session import Workspace
 from . import views as V
 from .views import sql
@@ -93,7 +92,7 @@ def _(s, d):
 @query("a14_tool_sequences", sql(f"""SELECT a.tool_name, b.tool_name AS next_tool, count(*) AS n FROM calls a JOIN calls b ON a.exchange_id = b.exchange_id AND a.timestamp < b.timestamp
 WHERE a.tool_name NOT IN ({_STEPS}) AND b.tool_name NOT IN ({_STEPS}) GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 1, 2 LIMIT 5"""))
 def _(s, d):
-    return A.tool_sequences(V.calls(s, d), 3, 5, ["Write", "Glob", "LS"])
+    return A.tool_sequences(V.calls(s, d), Workspace(s, "a14"), 3, 5, ["Write", "Glob", "LS"])
 
 
 @query("a15_project_profile", sql(f"""SELECT count(*) AS exchanges, count(DISTINCT session_id) AS sessions, count(DISTINCT git_branch) AS branches, min(timestamp) AS first_at, max(timestamp) AS last_at,
@@ -227,18 +226,15 @@ def _(s, d):
   SELECT DISTINCT session_id, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS FIRST, id) - 1) / 2) AS INTEGER) AS batch FROM ex WHERE session_id IS NOT NULL))
 WHERE n <= 3 OR batch IN (0, CAST(floor((n - 1) / 2.0 + 0.5) AS INTEGER), n - 1)"""))
 def _(s, d):
-    b = R.batched(V.exchange_meta(s, d).where("session_id is not null"), ["session_id"], [F.asc_nulls_first("timestamp"), F.col("id")], 2)
+    ex = V.exchange_meta(s, d).where("session_id is not null").select("session_id", F.coalesce("timestamp", F.lit("")).alias("at"), "id")
+    b = R.batched(Workspace(s, "w5"), ex, ["session_id"], ["at", "id"], 2)
     return R.spread(b.select("session_id", "batch").distinct(), ["session_id"], "batch", 3).select("session_id", "batch")
 
 
 @query("w6_batches", sql("SELECT id, CAST(floor((row_number() OVER (PARTITION BY scope_type ORDER BY created_at NULLS FIRST, id) - 1) / 20) AS INTEGER) AS batch FROM facts WHERE is_active"))
 def _(s, d):
-    # numbered by a distributed running sum: a window over a whole scope would put a hot scope in one task
-    ranged = V.facts(s, d).where("is_active").select("id", "scope_type", "created_at")
-    ws = Workspace(s, "w6")
-    numbered = prefix_sums(ws, ranged.withColumn("scope", F.coalesce("scope_type", F.lit(""))).withColumn("at", F.coalesce("created_at", F.lit(""))).withColumn("one", F.lit(1)), ["scope", "at", "id"], "one", "run")
-    first = numbered.groupBy("scope").agg(F.min("run").alias("first"))
-    return numbered.join(F.broadcast(first), "scope").select("id", F.floor((F.col("run") - F.col("first")) / 20).cast("int").alias("batch"))
+    f = V.facts(s, d).where("is_active").select("id", F.coalesce("scope_type", F.lit("")).alias("scope"), F.coalesce("created_at", F.lit("")).alias("at"))
+    return R.batched(Workspace(s, "w6"), f, ["scope"], ["at", "id"], 20).select("id", "batch")
 
 
 @query("w7_consecutive_pairs", sql("""SELECT id, next_id FROM (SELECT id, lead(id) OVER w AS next_id, row_number() OVER w AS rn FROM (SELECT f.id, e.session_id, f.created_at FROM facts f JOIN ex e ON e.id = f.src->>'$[0]')
@@ -246,8 +242,10 @@ def _(s, d):
 def _(s, d):
     f = V.facts(s, d).select("id", "created_at", F.get("source_exchange_ids", F.lit(0)).alias("x"))
     j = f.join(V.exchange_meta(s, d).select(F.col("id").alias("x"), "session_id"), "x")
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("created_at"), "id")
-    return j.select("id", F.lead("id").over(w).alias("next_id"), F.row_number().over(w).alias("rn")).where("next_id is not null and rn <= 3").select("id", "next_id")
+    # four rows of a session decide its first three pairs
+    order = [F.asc_nulls_first("created_at"), F.col("id")]
+    few = R.top_per_group(j, ["session_id"], order, 4)
+    return few.select("id", F.lead("id").over(Window.partitionBy("session_id").orderBy(*order)).alias("next_id"), "rank").where("next_id is not null and rank <= 3").select("id", "next_id")
 
 
 @query("t2_top_facts", sql("SELECT id, consolidated_count FROM facts WHERE is_active ORDER BY consolidated_count DESC, id LIMIT 20"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.tables import top_per_group
 from ..sources.files import Store
 
 
@@ -67,5 +68,6 @@ def ledger(shown: DataFrame, now, most: int = 400, days: int = 7) -> DataFrame:
     """(session_id, ids): what a session was shown lately, the last ``most`` ids, none older than ``days``. shown: session_id, id, at."""
     fresh = shown.where(F.col("at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
     last = fresh.groupBy("session_id", "id").agg(F.max("at").alias("at"))
+    last = top_per_group(last, ["session_id"], [F.desc("at"), F.desc("id")], most)
     ranked = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("l"))
-    return ranked.select("session_id", F.transform(F.slice("l", F.greatest(F.lit(1), F.size("l") - most + 1), F.lit(most)), lambda x: x["id"]).alias("ids"))
+    return ranked.select("session_id", F.transform("l", lambda x: x["id"]).alias("ids"))

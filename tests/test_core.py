@@ -55,12 +55,12 @@ def test_upsert_is_idempotent(spark):
     assert rows(parents) == [("b", 2)] and rows(children) == [("b", 8)]
 
 
-def test_pages_batches_budget(spark):
+def test_pages_batches_budget(spark, ws):
     df = spark.createDataFrame([(k // 2, f"i{k}") for k in range(10)], "a int, b string")
     assert rows(R.keyset_page(df, ["a", "b"], (1, "i2"), 3)) == [(1, "i3"), (2, "i4"), (2, "i5")]
     assert R.keyset_page(df, ["a", "b"], None, 4).count() == 4
     assert {r["total"] for r in R.offset_page(df, [F.col("b")], 2, 3).collect()} == {10}
-    b = R.batched(df, [], [F.col("b")], 3) if False else R.batched(df.withColumn("g", F.lit(1)), ["g"], [F.col("b")], 3)
+    b = R.batched(ws, df.withColumn("g", F.lit(1)), ["g"], ["b"], 3)
     assert b.groupBy("batch").count().where("batch = 3").first()["count"] == 1
     idx = spark.createDataFrame([(1, k) for k in range(11)], "g int, k int")
     assert [r["k"] for r in R.spread(idx, ["g"], "k", 3).orderBy("k").collect()] == [0, 5, 10]
@@ -68,12 +68,12 @@ def test_pages_batches_budget(spark):
     assert rows(R.budgeted(lines, ["q"], [F.col("n")], F.col("size"), 1000).select("q", "n")) == [("p", 1), ("q", 1)]
 
 
-def test_tool_sequences_counts_pairs_without_expanding_them(spark):
+def test_tool_sequences_counts_pairs_without_expanding_them(spark, ws):
     calls = [("e1", t, f"{k:02d}") for k, t in enumerate(["A", "B", "A", "B"])] + [("e2", "A", "00"), ("e2", "B", "00"), (None, "A", "01"), ("e3", None, "01")]
     df = spark.createDataFrame(calls, "exchange_id string, tool_name string, timestamp string")
-    got = {(r["tool_name"], r["next_tool"]): r["n"] for r in A.tool_sequences(df, 1, 10, []).collect()}
+    got = {(r["tool_name"], r["next_tool"]): r["n"] for r in A.tool_sequences(df, ws, 1, 10, []).collect()}
     assert got == {("A", "B"): 3, ("A", "A"): 1, ("B", "B"): 1, ("B", "A"): 1}
-    assert A.tool_sequences(df.limit(0), 1, 10, []).count() == 0
+    assert A.tool_sequences(df.limit(0), ws, 1, 10, []).count() == 0
 
 
 def test_project_connections_need_no_expansion(spark):
