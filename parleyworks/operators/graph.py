@@ -127,11 +127,14 @@ def merge_candidates(similar: DataFrame, sizes: DataFrame, threshold: float) ->
 def apply_merges(facts: DataFrame, merges: DataFrame) -> DataFrame:
     """Facts with the categories of same-domain merges replaced; chains of merges go to their end.
 
-    The candidate list is one row per merged category; its chains are resolved by doubling on the small table.
+    The candidate list is one row per merged category; its chains are resolved by doubling. The kept side is always the larger one or
+    the one of smaller id, so chains end.
     """
     step = merges.where("same_domain").groupBy(F.col("drop").alias("category_id")).agg(F.min("keep").alias("to"))
-    for _ in range(5):
+    while True:
         again = step.select(F.col("category_id").alias("to"), F.col("to").alias("_to"))
+        if not step.join(again, "to", "left_semi").limit(1).count():
+            break
         step = step.join(again, "to", "left").select("category_id", F.coalesce("_to", "to").alias("to"))
     return facts.join(step, "category_id", "left").withColumn("category_id", F.coalesce("to", "category_id")).drop("to")
 
