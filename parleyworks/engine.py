@@ -140,6 +140,16 @@ class Engine:
         fit = budgeted(lines, ["query_id"], [F.col("rank")], F.length("line"), budget)
         return fit.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
+    def answers(self, queries: DataFrame, vectors: list[DataFrame], answer: Callable, schema: str, project: str | None = None, limit: int = 10, least: float = 0.6) -> DataFrame:
+        """Answers of an injected function over the facts found for each query: it gets pandas frames (query_id, block) and returns ``schema``."""
+        hits = self.search_facts(queries, vectors, project, limit, least)
+
+        def run(parts):
+            for p in parts:
+                yield answer(p)
+
+        return self.context(hits, budget=10_000).mapInPandas(run, schema)
+
     def consistency(self) -> DataFrame:
         return G.consistency_counts(self.facts, self.edges)
 

@@ -149,3 +149,12 @@ def provenance(facts: DataFrame, exchanges: DataFrame) -> DataFrame:
     """(id, place, exchange_id, project, timestamp): the exchanges that a fact came from, in order; those gone are left out."""
     src = facts.select("id", F.posexplode("source_exchange_ids").alias("place", "exchange_id"))
     return src.join(exchanges.select(F.col("id").alias("exchange_id"), "project", "timestamp"), "exchange_id").select("id", "place", "exchange_id", "project", "timestamp")
+
+
+def ontology_view(facts: DataFrame, categories: DataFrame, edges: DataFrame, needle: str, limit: int = 40) -> DataFrame:
+    """Categories whose name contains ``needle`` without letter case, with their active facts and the relations these have; at most ``limit``."""
+    chosen = categories.where(F.contains(F.lower("category_id"), F.lit(needle.lower()))).orderBy("category_id").limit(limit)
+    inside = facts.where("is_active").join(chosen.select("category_id"), "category_id", "left_semi").select("id", "category_id")
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    counts = inside.join(ends.groupBy("id").agg(F.count("*").alias("relations")), "id", "left").groupBy("category_id").agg(F.count("*").alias("facts"), F.sum(F.coalesce("relations", F.lit(0))).alias("relations"))
+    return chosen.join(counts, "category_id", "left").select("domain_id", "category_id", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("relations", F.lit(0)).alias("relations"))

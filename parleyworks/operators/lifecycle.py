@@ -75,3 +75,28 @@ def valid_findings(findings: DataFrame, size: int, slugs: list[str], least: floa
     ok = findings.where((F.col("item_index") >= 0) & (F.col("item_index") < size) & F.col("slug").isin(slugs) & (F.col("confidence") >= least) & (F.col("confidence") <= 1))
     n = F.count("*").over(Window.partitionBy("batch", "item_index", "slug"))
     return ok.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def summarised(turns: DataFrame, summarise: Callable[[list[str]], str], group: str = "session_id", place: str = "place", text: str = "text", direct: int = 15, chunk: int = 8) -> DataFrame:
+    """(group, summary) by an injected summariser: short conversations directly, long ones by chunks and then over their summaries.
+
+    ``place`` numbers the turns of a group from 0. A task sees one chunk at a time, and then the summaries of one group; where these
+    are too many they are summarised in chunks again, so no call gets more than ``direct`` texts.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(place)
+        return pd.DataFrame({group: [p[group].iloc[0]], place: [int(p[place].iloc[0])], text: [summarise([t or "" for t in p[text]])]})
+
+    schema = f"`{group}` {turns.schema[group].dataType.simpleString()}, `{place}` int, `{text}` string"
+    level = turns.select(group, F.col(place).cast("int").alias(place), text)
+    while True:
+        sizes = level.groupBy(group).agg((F.max(place) + 1).alias("_n"))
+        longest = sizes.agg(F.max("_n")).first()[0] or 0
+        part = F.when(F.col("_n") > direct, F.floor(F.col(place) / chunk)).otherwise(F.lit(0)).cast("int")
+        sized = level.join(sizes, group).select(group, part.alias("_part"), place, text)
+        done = sized.groupBy(group, "_part").applyInPandas(run, schema)
+        if longest <= direct:
+            return done.select(group, F.col(text).alias("summary"))
+        # chunks are numbered by their first turn: the next level numbers them from 0 again
+        level = done.withColumn(place, F.floor(F.col(place) / chunk).cast("int"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The most bytes that one archive may unpack to; a smaller cap can be passed, not a larger one.
@@ -43,11 +43,16 @@ def archives(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
 
 def newer_files(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*.jsonl*") -> DataFrame:
     """(file, modified) of files that the manifest (file, modified) lacks or has older."""
-    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(plain_path("path").alias("file"), F.col("modificationTime").alias("modified"))
     seen = manifest.groupBy("file").agg(F.max("modified").alias("was"))
     return now.join(seen, "file", "left").where("was is null or modified > was").select("file", "modified")
 
 
+def plain_path(c: Column | str) -> Column:
+    """A file's address in one spelling: sources differ in the slashes after ``file:``."""
+    return F.regexp_replace(c, "^file:/+", "file:/")
+
+
 class Store:
     """Tables as immutable versions: ``name/v=N`` and a pointer file that names the current one. A reader never sees a half-written version."""
 
@@ -85,3 +90,14 @@ class Store:
         fs.delete(old, False)
         fs.rename(new, old)
         return n
+
+
+def confined(path: str, roots: list[str], endings: tuple[str, ...] = (".jsonl", ".jsonl.zst")) -> str:
+    """The real path of a file that may be read: under one of the roots once links are followed, and of a known kind; else ValueError."""
+    import os
+
+    real = os.path.realpath(path)
+    inside = any(real == (r := os.path.realpath(root)) or real.startswith(r.rstrip("/") + "/") for root in roots)
+    if not inside or not real.endswith(endings):
+        raise ValueError(f"{path} may not be read")
+    return real

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import encoded_path, exchange_id
 from ..operators.hierarchy import prefix_sums
 from ..session import Workspace
+from .files import plain_path
 
 _A = "type string, timestamp string, uuid string, parentUuid string, isSidechain boolean, sessionId string, cwd string, gitBranch string, version string, message struct<role:string,content:string>"
 _BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
@@ -24,7 +25,7 @@ _A_TYPES = ["user", "assistant", "summary", "system", "file-history-snapshot", "
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
     """(file, line, text) of every line that isn't blank, lines from 1. An empty folder gives no rows."""
     reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
-    whole = reader.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    whole = reader.text(path, wholetext=True).select(plain_path("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "text")).where(F.trim("text") != "").select("file", (F.col("pos") + 1).alias("line"), "text")
 
 

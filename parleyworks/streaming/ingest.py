@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.tables import top_per_group
-from ..sources.files import Store
+from ..operators.tables import top_per_group, upsert
+from ..session import Workspace
+from ..sources import transcripts
+from ..sources.files import Store, newer_files
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -71,3 +73,37 @@ def ledger(shown: DataFrame, now, most: int = 400, days: int = 7) -> DataFrame:
     last = top_per_group(last, ["session_id"], [F.desc("at"), F.desc("id")], most)
     ranked = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("l"))
     return ranked.select("session_id", F.transform("l", lambda x: x["id"]).alias("ids"))
+
+
+def ingest_transcripts(spark: SparkSession, path: str, store: Store, ws: Workspace, excluded: list[str] | None = None, markers: list[str] | None = None) -> dict[str, int]:
+    """Bring new and changed transcripts of either dialect into the store's ``exchanges``; returns how many files and exchanges came.
+
+    What is new is told by the manifest of files read before; a file that holds an exclusion marker or names an excluded folder is
+    noted and left out. Exchanges replace those with the same id, so a second run changes nothing.
+    """
+    manifest = store.read("files") if store.version("files") else spark.createDataFrame([], "file string, modified timestamp")
+    fresh = ws.save(newer_files(spark, path, manifest, "*.jsonl"), "fresh")
+    count = fresh.count()
+    if not count:
+        return {"files": 0, "exchanges": 0}
+    raw = transcripts.lines(spark, path).join(fresh.select("file"), "file", "left_semi")
+    if markers:
+        raw = raw.join(transcripts.excluded_files(raw, markers), "file", "left_anti")
+    if excluded:
+        raw = raw.join(transcripts.file_projects(raw, excluded).where("excluded").select("file"), "file", "left_anti")
+    raw = ws.save(raw.join(transcripts.dialects(raw), "file"), "raw")
+    parts = []
+    for kind, read in (("A", transcripts.messages_a), ("B", transcripts.messages_b)):
+        own = raw.where(F.col("dialect") == kind).drop("dialect")
+        if own.limit(1).count():
+            parts.append(transcripts.indexed(transcripts.exchanges(read(own), ws)).withColumn("tools", F.to_json("tools")))
+    new = None
+    for p in parts:
+        new = p if new is None else new.unionByName(p)
+    found = 0
+    if new is not None:
+        new = ws.save(new, "new")
+        found = new.count()
+        store.publish("exchanges", upsert(store.read("exchanges"), new, ["id"]) if store.version("exchanges") else new)
+    store.publish("files", upsert(manifest, fresh, ["file"]))
+    return {"files": count, "exchanges": found}
