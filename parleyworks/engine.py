@@ -14,6 +14,7 @@ from .operators import analytics as A
 from .operators import graph as G
 from .operators import retrieval as S
 from .operators.tables import budgeted
+from .schema import DEFAULT_AGENT
 from .session import Workspace
 
 _DAY = re.compile(r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])")
@@ -47,7 +48,7 @@ class SearchRequest:
         if self.before:
             cond = cond & (F.col("timestamp") <= self.before)
         if self.agent:
-            cond = cond & (F.coalesce("coding_agent", F.lit("claude-code")) == self.agent)
+            cond = cond & (F.coalesce("coding_agent", F.lit(DEFAULT_AGENT)) == self.agent)
         return cond
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import tables as R
+from ..schema import DEFAULT_AGENT
 from ..session import Workspace
 from . import views as V
 from .views import sql
@@ -186,7 +187,7 @@ def _(s, d):
 
 @query("filter_agent", sql("SELECT id, coalesce(coding_agent, 'claude-code') AS coding_agent FROM ex WHERE coalesce(coding_agent, 'claude-code') = 'codex'"))
 def _(s, d):
-    agent = F.coalesce("coding_agent", F.lit("claude-code"))
+    agent = F.coalesce("coding_agent", F.lit(DEFAULT_AGENT))
     return V.exchange_meta(s, d).where(agent == "codex").select("id", agent.alias("coding_agent"))
 
 
@@ -272,7 +273,7 @@ def _(s, d):
 
 @query("u3_projects_with_all_agents", sql("SELECT project FROM ex WHERE coding_agent IN ('claude-code', 'codex') GROUP BY project HAVING count(DISTINCT coding_agent) = 2 AND project IS NOT NULL"))
 def _(s, d):
-    return V.exchange_meta(s, d).where(F.col("coding_agent").isin("claude-code", "codex") & F.col("project").isNotNull()).groupBy("project").agg(F.countDistinct("coding_agent").alias("n")).where("n = 2").select("project")
+    return V.exchange_meta(s, d).where(F.col("coding_agent").isin(DEFAULT_AGENT, "codex") & F.col("project").isNotNull()).groupBy("project").agg(F.countDistinct("coding_agent").alias("n")).where("n = 2").select("project")
 
 
 @query("u4_id_difference", sql("""SELECT id, 'left' AS side FROM (SELECT DISTINCT exchange_id AS id FROM calls WHERE exchange_id IS NOT NULL EXCEPT SELECT id FROM ex) UNION ALL SELECT id, 'right' FROM (SELECT id FROM ex EXCEPT SELECT exchange_id FROM calls)"""))

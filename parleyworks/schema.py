@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 # Relation types, and those without direction.
 RELATIONS = ["INFLUENCES", "SUPERSEDES", "SUPPORTS", "CONTRADICTS", "DEPENDS_ON", "DERIVED_FROM"]
 SYMMETRIC = ["SUPPORTS", "CONTRADICTS"]
+# Fixed value: the agent of rows that name none.
+DEFAULT_AGENT = "claude-code"
 
 #: The tables by name, as DDL.
 SCHEMAS = {
