@@ -191,9 +191,15 @@ def conversations(spark: SparkSession, path: str, ws: Workspace, hot_rows: int =
     keyed = events.select("bucket", "session", "uuid", "parent", "role", "blank", "hot", F.unix_millis("ts").alias("ts_ms"), "ts").groupBy("bucket")
     out = keyed.applyInPandasWithState(_fold(gap_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     sink = ws.child("emitted")
-    (
-        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ws.child("progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
+    writer = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ws.child("progress")).outputMode("append").trigger(availableNow=True)
+    # more partitions of the state than keys would only be empty files; a query keeps the number that it starts with
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), buckets + 1))
+    try:
+        stream = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    stream.awaitTermination()
     emitted = spark.read.schema(_OUT).parquet(sink)
     small = emitted.where("not hot").select(F.col("session").alias("session_id"), "seq_no", "uuid")
     if not hot:

@@ -80,7 +80,6 @@ _SPACE = re.compile(r"(?:[ \t]|\\t)*")
 _NEXT_LINE = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)(?:[ \t]|\\t|\d+(?:\t|\\t))*")
 _VALUE_LINE = re.compile(r"(?:- )?\\*[\"']?(?:value|Value|VALUE)\\*[\"']?[ \t]*[:=][ \t]*")
 _XML_VALUE = re.compile(r"\\*[\"']\s+(?:value|Value)=")
-_NUMBERED = re.compile(r"(?:^|\n|\\n)\s*$")
 _PROSE = re.compile(r"(?:(?<![A-Za-z0-9_.$/-])|(?<=\\[ntr]))(?:" + PROSE_WORDS + r")(?![A-Za-z0-9_$]|\.\w)", re.I)
 _PROSE_TOKEN = re.compile(r"[^\s\"'`\\,;()\[\]{}<>「」『』“”«»„。、，：]+")
 
