@@ -60,7 +60,7 @@ _CODE = re.compile(
     # from the start of a word only: blobs, links and paths, names with underscores or digits, in camel case, with dots
     r"|(?<![A-Za-z0-9_])(?:[A-Za-z0-9+/=_-]{40,}"
     r"|(?:(?=[A-Za-z.~@:#-]*[_/\\0-9])[A-Za-z0-9_.~@:#?&=/\\-]*[A-Za-z_/\\](?:[A-Za-z0-9_.@:#?&=/\\-]*[A-Za-z0-9_/\\])?"
-    r"|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z][A-Za-z-]*(?:\.[A-Za-z][A-Za-z0-9]*)+)(?:\([^)\n]*\)|\[[^\]\n]*\])?)",
+    r"|[a-z]+[A-Z][A-Za-z0-9]*(?:\.[A-Za-z][A-Za-z0-9]*)*|[A-Za-z][A-Za-z-]*(?:\.[A-Za-z][A-Za-z0-9]*)+)(?:\([^)\n]*\)|\[[^\]\n]*\])?)",
     re.S,
 )
 _CODE_LINE = re.compile(
