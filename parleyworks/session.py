@@ -86,15 +86,14 @@ def _clean() -> None:
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
     """Keys that hold more than ``share`` of the rows and at least ``least``: at most ``1 / share`` values.
 
-    Counts are combined on the map side; only the largest ``1 / share`` of those that reach ``least`` come to the driver, and the rows
-    are counted only if there are any.
+    Rows are counted first, which is cheap on a written step: a small one needs no count by key. Counts by key are combined on the map
+    side, and no more keys than ``1 / share`` can come to the driver.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    top = counts.where(F.col("count") >= least).orderBy(F.desc("count")).limit(int(1 / share)).collect()
-    if not top:
-        return []
     total = df.count()
-    return [r[0] for r in top if r["count"] >= total * share]
+    if total < least:
+        return []
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[0] for r in counts.where(F.col("count") >= max(least, int(total * share))).collect()]
 
 
 def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
