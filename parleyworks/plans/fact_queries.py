@@ -79,9 +79,9 @@ def _(s, d):
     return V.facts(s, d).where("is_active").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(25)
 
 
-@query("t8_new_facts", sql("SELECT id, created_at FROM facts WHERE is_active AND created_at > '2026-05-01'"))
+@query("t8_new_facts", sql("SELECT id, created_at FROM facts WHERE is_active AND created_at > '2025-09-01'"))
 def _(s, d):
-    return V.facts(s, d).where("is_active and created_at > '2026-05-01'").select("id", "created_at")
+    return V.facts(s, d).where("is_active and created_at > '2025-09-01'").select("id", "created_at")
 
 
 @query("s9_canonical_scope", sql("""SELECT f.id, coalesce(m.cwd, f.scope_project) AS scope_project FROM facts f LEFT JOIN (SELECT slug, cwd FROM (SELECT regexp_replace(cwd, '[/._]', '-', 'g') AS slug, cwd, row_number() OVER (PARTITION BY regexp_replace(cwd, '[/._]', '-', 'g') ORDER BY count(*) DESC, cwd) AS r FROM ex WHERE cwd IS NOT NULL GROUP BY cwd) WHERE r = 1) m ON m.slug = f.scope_project"""))

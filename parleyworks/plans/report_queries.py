@@ -133,6 +133,14 @@ def _(s, d):
     return A.content_duplicates(V.facts(s, d))
 
 
+@query("a21_repeated_documents", sql("""SELECT id, first_value(id) OVER (w ORDER BY created_at NULLS FIRST, id) AS keeper, count(*) OVER w AS copies FROM (SELECT doc_id AS id, text AS fact, lower(trim(lang)) AS lang, created_at FROM documents)
+WINDOW w AS (PARTITION BY fact, lang) QUALIFY copies > 1"""))
+def _(s, d):
+    """Documents of one text and language label, and the first of them."""
+    docs = V.documents(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("fact"), F.lower(F.trim("lang")).alias("scope_type"), F.lit(None).cast("string").alias("scope_project"), F.lit(1).alias("consolidated_count"), "created_at", F.lit(True).alias("is_active"))
+    return A.content_duplicates(docs)
+
+
 @query("a23_decisions_held", sql("""SELECT l.action, count(*) AS decisions, count(*) FILTER (e.rel_id IS NOT NULL) AS still_there, round(100.0 * count(*) FILTER (e.rel_id IS NOT NULL) / count(*), 1) AS rate FROM log l
 LEFT JOIN edges e ON e.source_id = l.source_fact_id AND e.target_id = l.target_fact_id AND e.relation_type = l.relation_type_before GROUP BY 1"""))
 def _(s, d):
@@ -173,6 +181,13 @@ def _(s, d):
     return A.project_connections(V.exchange_meta(s, d), 2)
 
 
+@query("j10_projects_by_branch", sql("SELECT a.project, b.project AS other, count(*) AS links FROM ex a JOIN ex b ON a.git_branch = b.git_branch AND a.project < b.project GROUP BY 1, 2 HAVING count(*) > 2"))
+def _(s, d):
+    """The same for projects that share names of branches."""
+    ex = V.exchange_meta(s, d).select(F.col("git_branch").alias("session_id"), "project")
+    return A.project_connections(ex, 2)
+
+
 @query("j11_latest_exchange", sql("SELECT project, id, timestamp FROM ex WHERE project IS NOT NULL AND timestamp IS NOT NULL QUALIFY rank() OVER (PARTITION BY project ORDER BY timestamp DESC) = 1"))
 def _(s, d):
     ex = V.exchange_meta(s, d).where("project is not null and timestamp is not null")

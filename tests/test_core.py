@@ -194,3 +194,21 @@ def test_plans(spark, data):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
     plan = registry.QUERIES["w2_last_session"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "assistant_message" not in plan
+
+
+def test_findings_and_token_caps(spark):
+    rows_ = [(1, 0, "a", 0.9), (1, 1, "a", 0.9), (1, 1, "a", 0.8), (1, 5, "a", 0.9), (1, 2, "zz", 0.9), (1, 3, "b", 0.1), (1, 3, "b", 1.5), (2, 0, "a", 0.7)]
+    df = spark.createDataFrame(rows_, "batch int, item_index int, slug string, confidence double")
+    assert rows(L.valid_findings(df, 4, ["a", "b"], 0.6).select("batch", "item_index")) == [(1, 0), (2, 0)]
+    words = "alpha beta gamma delta epsilon zeta eta theta id7 QA".split()
+    got = spark.createDataFrame([(words,)], "w array<string>").select(T.capped_tokens(F.col("w"), 3, 5).alias("t")).first()["t"]
+    assert got == ["epsilon", "alpha", "delta", "id7", "QA"]
+    assert spark.createDataFrame([(["a", "b", "a"],)], "w array<string>").select(T.capped_tokens(F.col("w")).alias("t")).first()["t"] == ["a", "b"]
+
+
+def test_hot_keys_are_bounded(spark):
+    from parleyworks.session import hot_keys
+
+    df = spark.createDataFrame([("h",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 50, "k string")
+    assert hot_keys(df, "k", share=0.1, least=10) == ["h"]
+    assert hot_keys(df, "k", share=0.1, least=1000) == [] and hot_keys(df.limit(0), "k") == []
