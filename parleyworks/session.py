@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,30 @@ HOT_ROWS = 50_000
 _live: list["Workspace"] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run and whatever their search path is; once per context.
+
+    Functions are sent to workers by the name of their module, so the module must be there. The driver's file server hands the archive
+    out, so executors need no folder in common with the driver for it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_parleyworks_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="parleyworks-code-"), "parleyworks.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(at)
+    sc._parleyworks_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +65,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark).rstrip('/')}/parleyworks/{label}-{uuid.uuid4().hex}"
         self.steps = 0
