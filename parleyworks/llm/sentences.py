@@ -3,8 +3,9 @@
 The layout is read first: fenced code, empty lines, headings, list items, quote marks and speaker labels open units. Inside a
 paragraph every terminator (and, in scripts without one, every blank) outside quotations and brackets is a candidate; a
 maximum-entropy classifier decides it from the words around it: their case, length, digits and script, how often they end or
-open paragraphs, and whether they are known abbreviations. It is trained on reliable boundaries: breaks between paragraphs that
-end with a terminator, against terminators that lower case, a comma or an abbreviation shows to be none.
+open paragraphs (counted over all documents), and whether they are known abbreviations. It is trained on reliable boundaries:
+breaks between paragraphs that end with a terminator, against terminators that lower case, a comma or an abbreviation shows to be
+none.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on about this many documents, those with the least hash of their id.
+#: The weights are fitted on about this many documents, those with the least hash of their id; words are counted in all.
 TRAINING_TEXTS = 4_000
+#: A word seen less often has no rate.
+LEAST_SEEN = 5
+#: Words that a task counts before it gives the counts on.
+HELD_WORDS = 200_000
 
 # Abbreviations that a word or number follows within the sentence.
 CONTINUING = frozenset(
@@ -232,30 +237,110 @@ def candidates(text: str, start: int, body: int, end: int) -> list[tuple[int, in
     return found
 
 
+_CLOSED = re.compile(r"[.!?。！？।؟…][\"'”’»)\]」』）]*$")
+
+
+class Counts:
+    """How often words end paragraphs (``final``) among all places where they could (``seen``), and how often words open paragraphs
+    (``opening``) among all their occurrences (``any``); ``used`` are the words after a candidate or at a paragraph's head, ``kept``
+    those whose counts matter however small they are."""
+
+    def __init__(self) -> None:
+        self.final: Counter = Counter()
+        self.seen: Counter = Counter()
+        # of texts where case says something, and of the others
+        self.opening: tuple[Counter, Counter] = (Counter(), Counter())
+        self.any: tuple[Counter, Counter] = (Counter(), Counter())
+        self.used: set[str] = set()
+        self.kept_before: set[str] = set()
+        self.kept: set[str] = set()
+
+    def __len__(self) -> int:
+        return len(self.seen) + len(self.any[0]) + len(self.any[1])
+
+    def add(self, text: str, fitted: bool) -> None:
+        """Count a text; ``fitted``: the classifier is fitted on it."""
+        cased = _cased(text)
+        side = 0 if cased else 1
+        used = set()
+        for s, b, e, whole in blocks(text):
+            if whole:
+                continue
+            if _CLOSED.search(text[max(b, e - 6) : e]):
+                w = _shape(_last_word(text, b, len(text[:e].rstrip("\"'”’»)]」』）.!?。！？।؟…"))))
+                self.final[w] += 1
+                self.seen[w] += 1
+            head = _first_word(text, b, e)
+            used.add(head)
+            self.opening[side][head] += 1
+            self.any[side].update(_FIRST.findall(text, b, e))
+            for c in candidates(text, s, b, e):
+                w = _shape(_last_word(text, b, c[0] - len(c[2]) - len(c[3])))
+                v = _first_word(text, c[1], e)
+                self.seen[w] += 1
+                used.add(v)
+                if c[4] == "tight":
+                    self.kept_before.add(w)
+                    self.kept.add(v if cased else _uncased(v))
+        # a word in its own case where case says something, else in small letters
+        used = used if cased else {_uncased(w) for w in used}
+        self.used |= used
+        if fitted:
+            self.kept |= used
+
+    def rows(self) -> Iterator[tuple[str, str, int, int, bool, bool]]:
+        """(side, word, count, of, used, kept), both sides of a candidate."""
+        for w, n in self.seen.items():
+            yield "before", w, self.final[w], n, True, w in self.kept_before
+        opening, every = Counter(self.opening[0]), Counter(self.any[0])
+        for held, out in ((self.opening, opening), (self.any, every)):
+            for part in held:
+                for w, n in part.items():
+                    out[_uncased(w)] += n
+        for w in every.keys() | opening.keys() | self.used:
+            yield "after", w, opening[w], every[w], w in self.used, w in self.kept
+
+
+def corpus_counts(docs: DataFrame, fitted: Column, text: str = "text") -> DataFrame:
+    """(side, word, count, of) over all texts: ``count`` of ``of`` occurrences of a word before (after) a candidate end (open) a paragraph.
+
+    Each task counts, the rest is summed by word. Left out are words that no candidate stands beside, and words seen less than LEAST_SEEN
+    times unless a decision needs them: next to a terminator without a blank, or in a text the classifier is fitted on (``fitted``).
+    """
+    schema = "side string, word string, n bigint, of bigint, used boolean, kept boolean"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["side", "word", "n", "of", "used", "kept"]
+        held = Counts()
+        for p in parts:
+            for t, f in zip(p["text"], p["fitted"]):
+                held.add(t, bool(f))
+                if len(held) > HELD_WORDS:
+                    yield pd.DataFrame(list(held.rows()), columns=names)
+                    held = Counts()
+        yield pd.DataFrame(list(held.rows()), columns=names)
+
+    counted = docs.where(F.length(text) > 0).select(F.col(text).alias("text"), fitted.alias("fitted")).mapInPandas(run, schema)
+    summed = counted.groupBy("side", "word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"), F.max("used").alias("used"), F.max("kept").alias("kept"))
+    before = (F.col("of") >= LEAST_SEEN) | F.col("kept") & (F.col("n") > 0)
+    after = F.col("used") & ((F.col("of") >= LEAST_SEEN) | F.col("kept"))
+    return summed.where(F.when(F.col("side") == "before", before).otherwise(after)).select("side", "word", "n", "of")
+
+
 class Boundaries:
-    """The classifier with the counts it is fed from."""
+    """The classifier with the counts it is fed from: rows (side, word, count, of) of ``corpus_counts``."""
 
-    def __init__(self, texts: list[str], rounds: int = 300):
+    def __init__(self, texts: list[str], counts: Iterable[tuple[str, str, int, int]], rounds: int = 300):
         self.final: Counter = Counter()
         self.seen: Counter = Counter()
         self.opening: Counter = Counter()
         self.any: Counter = Counter()
-        parts = []
-        for text in texts:
-            # a word in its own case where case says something, else in small letters
-            keys = (lambda w: (w, _uncased(w))) if _cased(text) else (lambda w: (_uncased(w),))
-            own = [p for p in blocks(text) if not p[3]]
-            parts.append((text, own))
-            for s, b, e, _ in own:
-                if re.search(r"[.!?。！？।؟…][\"'”’»)\]」』）]*$", text[max(b, e - 6) : e]):
-                    w = _shape(_last_word(text, b, len(text[:e].rstrip("\"'”’»)]」』）.!?。！？।؟…"))))
-                    self.final[w] += 1
-                    self.seen[w] += 1
-                self.opening.update(keys(_first_word(text, b, e)))
-                for m in _FIRST.finditer(text, b, e):
-                    self.any.update(keys(m.group()))
-                for c in candidates(text, s, b, e):
-                    self.seen[_shape(_last_word(text, b, c[0] - len(c[2]) - len(c[3])))] += 1
+        for side, w, n, of in counts:
+            part, whole = (self.final, self.seen) if side == "before" else (self.opening, self.any)
+            whole[w] = of
+            if n:
+                part[w] = n
+        parts = [(text, [p for p in blocks(text) if not p[3]]) for text in texts]
         self.weights: dict[str, float] = {}
         rows, labels = [], []
         for text, own in parts:
@@ -310,8 +395,8 @@ class Boundaries:
         elif not cased and case in ("upper", "lower"):
             case = "uncased"
         full = term in (".", "．") and not close
-        rate = self.final[shape] / self.seen[shape] if self.seen[shape] >= 5 else -1
-        opens = self.opening[w] / self.any[w] if self.any[w] >= 5 else -1
+        rate = self.final[shape] / self.seen[shape] if self.seen[shape] >= LEAST_SEEN else -1
+        opens = self.opening[w] / self.any[w] if self.any[w] >= LEAST_SEEN else -1
         rates = "none" if rate < 0 else "0" if rate == 0 else "low" if rate < 0.03 else "some" if rate < 0.15 else "often"
         opened = "none" if opens < 0 else "0" if opens == 0 else "low" if opens < 0.01 else "some" if opens < 0.05 else "often"
         mark = "wide" if term and term[-1] in _WIDE else "dots" if term.startswith(("...", "…")) else "dot" if term == "." else term[-1:] or "blank"
@@ -407,11 +492,14 @@ def units(text: str | None, model: Boundaries) -> list[tuple[int, int]]:
 
 
 def train(docs: DataFrame, sample: int = TRAINING_TEXTS, id_col: str = "doc_id", text: str = "text") -> Boundaries:
-    """A classifier fitted on about ``sample`` texts, those with the least hash of their id."""
+    """A classifier fitted on about ``sample`` texts, those with the least hash of their id, with the words counted over all texts."""
     known = docs.where(F.length(text) > 0).select(F.xxhash64(id_col).alias("h"), F.col(text).alias("text"))
     n = known.count()
     bound = -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, sample / max(1, n))))
-    return Boundaries([r["text"] for r in known.where(F.col("h") <= F.lit(bound)).orderBy("h").limit(2 * sample).collect()])
+    fitted = F.col("h") <= F.lit(bound)
+    counts = corpus_counts(known, fitted).toArrow()
+    texts = [r["text"] for r in known.where(fitted).orderBy("h").limit(2 * sample).collect()]
+    return Boundaries(texts, zip(*(c.to_pylist() for c in counts.columns)))
 
 
 def sentence_units(docs: DataFrame, model: Boundaries, text: str = "text") -> DataFrame:

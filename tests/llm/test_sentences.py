@@ -1,8 +1,10 @@
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parleyworks.llm.sentences import sentence_units, train, units
+from parleyworks.llm.sentences import _FIRST, _cased, _first_word, blocks, sentence_units, train, units
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +56,31 @@ def test_null_empty_and_long(model, spark):
     assert sorted(tuple(r) for r in sentence_units(df, model).select("doc_id", "start_pos").collect()) == [(3, 1), (3, 1), (3, 22), (3, 22)]
     assert sentence_units(df.limit(0), model).count() == 0
     assert train(spark.createDataFrame([], "doc_id bigint, text string")) is not None
+
+
+def test_words_are_counted_over_all_documents(spark, data):
+    """However few texts the weights are fitted on, the counts are those of the whole table, by another count of single texts."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.collect() if r["text"]]
+    heads, words = Counter(), Counter()
+    for text in texts:
+        for _, b, e, whole in blocks(text):
+            if not whole and _cased(text):
+                heads[_first_word(text, b, e)] += 1
+                words.update(m.group() for m in _FIRST.finditer(text, b, e))
+    few = train(docs, sample=40)
+    frequent = [w for w, n in words.items() if n >= 5 and w in few.any and not w.startswith("~")]
+    assert len(frequent) > 100 and all((few.opening[w], few.any[w]) == (heads[w], words[w]) for w in frequent)
+    assert {w for w in heads if words[w] >= 5} <= set(few.any)
+    every = train(docs)
+    same = [w for w in every.seen if every.seen[w] >= 5]
+    assert same and all((few.final[w], few.seen[w]) == (every.final[w], every.seen[w]) for w in same)
+
+
+def test_a_rare_word_outside_the_sample_divides(spark):
+    """A terminator without a blank is decided by counts alone, those of words seen once too."""
+    plain = [(k, "The parser logs a warning. The archive is full.\n\nNothing else was said, cf. the notes.") for k in range(400)]
+    rare = [(k, f"We saw the zephyr.\n\nQuorum was reached.\n\nWe saw the zephyr.Quorum was reached. {k}") for k in range(400, 402)]
+    model = train(spark.createDataFrame(plain + rare, "doc_id bigint, text string"), sample=4)
+    text = "We saw the zephyr.Quorum was reached."
+    assert [text[a:b] for a, b in units(text, model)] == ["We saw the zephyr.", "Quorum was reached."]
