@@ -1,9 +1,10 @@
 """Mixing sources to target shares of the total size.
 
 Sizes are tokens of a public tokenizer. Each source is cut into blocks of about equal tokens, its documents in a seeded order,
-by a distributed prefix sum, so a block is a run of whole documents. The total is the largest for which no source has to repeat
-more often than it may; it is apportioned among the sources in whole blocks by Sainte-Lague's highest quotients, and each
-source's quota among its shards in the same way. Blocks are then chosen by their seeded number, whole passes first.
+by a distributed prefix sum, so a block is a run of whole documents; blocks are numbered without gaps and dealt to the shards.
+The total is the largest for which no source has to repeat more often than it may; its tokens are apportioned among the sources by
+Sainte-Lague's highest quotients, and what a source's quota has beyond whole passes among its shards in the same way. A shard's
+documents are then chosen in the order of their blocks as far as they fit; what a shard leaves over goes to the next.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import prefix_sums
@@ -77,11 +78,61 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
 
 
 def cut_blocks(docs: DataFrame, ws: Workspace, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, tokens, block): documents of a source in seeded order, block = tokens before the document / block size."""
+    """(source, doc_id, tokens, at, block): documents of a source in seeded order, at = tokens before the document, block = at / block size.
+
+    Where a document is longer than a block, numbers of blocks are left out."""
     ordered = docs.select("source", "doc_id", "tokens", F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("place"))
     summed = ws.save(prefix_sums(ws, ordered, ["source", "place", "doc_id"], "tokens", "before"), "summed")
     first = summed.groupBy("source").agg(F.min("before").alias("first"))
-    return summed.join(F.broadcast(first), "source").select("source", "doc_id", "tokens", F.floor((F.col("before") - F.col("first")) / block_tokens).cast("long").alias("block"))
+    at = F.col("before") - F.col("first")
+    return summed.join(F.broadcast(first), "source").select("source", "doc_id", "tokens", at.alias("at"), F.floor(at / block_tokens).cast("long").alias("block"))
+
+
+def dealt(blocks: DataFrame, ws: Workspace, shards: int = SHARDS) -> DataFrame:
+    """(source, doc_id, tokens, block, shard, place): blocks numbered from 0 without gaps in each source, shard = number modulo ``shards``,
+    place = tokens of the shard before the document, which tells a shard's documents apart."""
+    per_block = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.min("at").alias("start"), F.lit(1).alias("one"))
+    counted = ws.save(prefix_sums(ws, per_block, ["source", "block"], "one", "number"), "counted")
+    first = counted.groupBy("source").agg(F.min("number").alias("first"))
+    numbered = counted.join(F.broadcast(first), "source").withColumn("shard", F.pmod(F.col("number") - F.col("first"), F.lit(shards)).cast("int")).drop("first", "one")
+    summed = ws.save(prefix_sums(ws, numbered, ["source", "shard", "number"], "size", "before"), "dealt")
+    least = summed.groupBy("source", "shard").agg(F.min("before").alias("least"))
+    starts = summed.join(F.broadcast(least), ["source", "shard"]).select("source", "block", "shard", "start", (F.col("before") - F.col("least")).alias("before"))
+    return blocks.join(starts, ["source", "block"]).select("source", "doc_id", "tokens", "block", "shard", (F.col("before") + F.col("at") - F.col("start")).alias("place"))
+
+
+def fits(place: str, limit: str) -> Column:
+    """Whether a document ends within ``limit``."""
+    return F.col(place) + F.col("tokens") <= F.col(limit)
+
+
+def filled(placed: DataFrame, left: dict[str, int], quota: dict[str, int], ws: Workspace) -> DataFrame | None:
+    """(source, shard, place, further) of documents among ``placed`` that fill what is ``left`` of the quotas; None where none is needed.
+
+    A document longer than what is left would end the running sum of its source, so it is passed over, again as long as more than a
+    hundredth of the quota is left and a document fits. Where none fits any more the shortest is taken if that comes nearer to the quota."""
+    spark, chosen = ws.spark, None
+
+    def free(want: list[tuple[str, int]], most: int) -> DataFrame:
+        wanted = spark.createDataFrame(want, "source string, limit bigint")
+        rest = placed.join(F.broadcast(wanted), "source").where(F.col("tokens") <= most * F.col("limit"))
+        return rest if chosen is None else rest.join(chosen, ["source", "shard", "place"], "left_anti")
+
+    open_ = set(left)
+    while want := [(s, n) for s, n in left.items() if s in open_ and n * 100 > quota[s]]:
+        run = ws.save(prefix_sums(ws, free(want, 1), ["source", "block", "place"], "tokens", "sum"), "free")
+        first = run.groupBy("source").agg(F.min("sum").alias("first"))
+        got = ws.save(run.join(F.broadcast(first), "source").withColumn("run", F.col("sum") - F.col("first")).where(fits("run", "limit")).select("source", "shard", "place", "tokens", F.lit(1).alias("further")), "filled")
+        taken = {r["source"]: r["tokens"] for r in got.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+        open_ = set(taken)
+        left = {s: n - taken.get(s, 0) for s, n in left.items()}
+        if taken:
+            chosen = got.drop("tokens") if chosen is None else chosen.unionByName(got.drop("tokens"))
+    if want := [(s, n) for s, n in left.items() if n * 100 > quota[s]]:
+        least = free(want, 2).groupBy("source").agg(F.min(F.struct("tokens", "shard", "place")).alias("least"))
+        got = ws.save(least.select("source", "least.shard", "least.place", F.lit(1).alias("further")), "filled")
+        chosen = got if chosen is None else chosen.unionByName(got)
+    return chosen
 
 
 def mixed(docs: DataFrame, targets: DataFrame, ws: Workspace, vocabulary: str, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +144,8 @@ def mixed(docs: DataFrame, targets: DataFrame, ws: Workspace, vocabulary: str, b
     once. Documents without tokens are left out.
 
     selection: (source, doc_id, pass) - a document occurs once per pass. report: per source target_share, wanted_share (relative),
-    actual_share, tokens, tokens_available, blocks, quota, repeats.
+    actual_share, tokens, tokens_available, blocks, quota (in tokens), repeats. Tokens differ
+    from the quota by at most a hundredth of it, or by what no further whole document brings nearer.
     """
     spark = ws.spark
     name = lambda c: F.lower(F.btrim(F.col(c)))
@@ -102,30 +154,42 @@ def mixed(docs: DataFrame, targets: DataFrame, ws: Workspace, vocabulary: str, b
     named = docs.select("doc_id", name("source").alias("source"), "text").where(F.col("source").isin(list(wanted)))
     sized = ws.save(with_tokens(named, vocabulary), "tokens")
     blocks = ws.save(cut_blocks(sized.where("tokens > 0"), ws, block_tokens, seed), "blocks")
-    per_block = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
-    have = {r["source"]: (r["blocks"], r["tokens"]) for r in per_block.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).collect()}
+    placed = ws.save(dealt(blocks, ws, shards), "placed")
+    # one row per source and shard
+    per_shard = {(r["source"], r["shard"]): (r["blocks"], r["tokens"]) for r in placed.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("tokens")).groupBy("source", "shard").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).collect()}
+    have = {s: tuple(sum(v[k] for (o, _), v in per_shard.items() if o == s) for k in (0, 1)) for s in {s for s, _ in per_shard}}
     usable = {s: v for s, v in wanted.items() if s in have}
     total_share = sum(v[0] for v in usable.values())
     shares = {s: v[0] / total_share for s, v in usable.items()}
-    most = {s: have[s][0] * max(1, usable[s][1]) for s in usable}
+    most = {s: have[s][1] * max(1, usable[s][1]) for s in usable}
     # the largest total that no source has to repeat too often for
     seats = int(min((most[s] / shares[s] for s in shares), default=0))
     quota = sainte_lague(shares, seats, most)
+    full, part = {}, {}
+    for s, q in quota.items():
+        full[s], rest = divmod(q, have[s][1])
+        # what a further pass takes is apportioned among the shards by their tokens
+        by_shard = {str(k): per_shard[s, k][1] for k in range(shards) if (s, k) in per_shard}
+        part |= {(s, int(k)): n for k, n in sainte_lague({k: float(v) for k, v in by_shard.items()}, rest, by_shard).items()}
+    left = dict.fromkeys(quota, 0)
     plan = []
-    for s, q in sorted(quota.items()):
-        n = have[s][0]
-        full, rest = divmod(q, n)
-        # the blocks that a further pass takes are apportioned among the shards by their number of blocks
-        by_shard = {str(k): len(range(k, n, shards)) for k in range(min(shards, n))}
-        part = sainte_lague({k: float(v) for k, v in by_shard.items()}, rest, by_shard)
-        plan += [(s, int(k), int(full), int(v)) for k, v in part.items()]
-    plans = spark.createDataFrame(plan or [], "source string, shard int, full int, extra int")
-    numbered = blocks.join(F.broadcast(plans), (blocks["source"] == plans["source"]) & (F.pmod(blocks["block"], F.lit(shards)) == plans["shard"])).select(blocks["source"], "doc_id", "tokens", "block", "full", "extra")
-    repeats = F.col("full") + (F.floor(F.col("block") / shards) < F.col("extra")).cast("int")
-    chosen = numbered.withColumn("passes", repeats).where("passes > 0")
+    for k in range(shards):
+        limits = [(s, k, full[s], left[s] + n) for (s, j), n in sorted(part.items()) if j == k]
+        now = spark.createDataFrame(limits or [], "source string, shard int, full bigint, limit bigint")
+        taken = placed.join(F.broadcast(now), ["source", "shard"]).where(fits("place", "limit")).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect() if any(n > 0 for *_, n in limits) else []
+        left |= {s: n for s, _, _, n in limits}
+        for r in taken:
+            left[r["source"]] -= r["tokens"]
+        plan += limits
+    plans = spark.createDataFrame(plan or [], "source string, shard int, full bigint, limit bigint")
+    first = placed.join(F.broadcast(plans), ["source", "shard"]).withColumn("passes", F.col("full") + fits("place", "limit").cast("int"))
+    more = filled(first.where(F.col("passes") == F.col("full")).drop("full", "limit", "passes"), left, quota, ws)
+    if more is not None:
+        first = first.join(more, ["source", "shard", "place"], "left").withColumn("passes", F.col("passes") + F.coalesce("further", F.lit(0)))
+    chosen = first.where("passes > 0").withColumn("passes", F.col("passes").cast("int"))
     selection = chosen.select("source", "doc_id", F.explode(F.sequence(F.lit(1), "passes")).alias("pass"))
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("passes")).alias("tokens"), F.max("passes").alias("repeats"))
-    rows = [(s, w[0], float(shares.get(s, 0.0)), int(have[s][1]) if s in have else 0, int(have[s][0]) if s in have else 0, int(quota.get(s, 0)), int(w[1])) for s, w in sorted(wanted.items())]
+    rows = [(s, w[0], float(shares.get(s, 0.0)), have[s][1] if s in have else 0, have[s][0] if s in have else 0, int(quota.get(s, 0)), int(w[1])) for s, w in sorted(wanted.items())]
     base = spark.createDataFrame(rows or [], "source string, target_share double, wanted_share double, tokens_available bigint, blocks bigint, quota bigint, max_repeats int")
     joined = base.join(taken, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     whole = Window.partitionBy(F.lit(1))

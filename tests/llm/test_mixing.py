@@ -40,3 +40,27 @@ def test_shares_caps_and_repeats(spark, ws):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, selection.collect()))
     s, rep = mixed(df.limit(0), targets, ws, vocabulary())
     assert s.count() == 0 and rep.where("tokens > 0").count() == 0
+
+
+def test_documents_longer_than_blocks(spark, ws):
+    """Every document of a source of two can be chosen, though each spans several blocks."""
+    docs = [(k, "two", "word " * 500) for k in range(2)] + [(10 + k, "many", "word " * 50) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("two", 0.5, 1), ("many", 0.5, 1)], "source string, target_share double, max_repeats int")
+    selection, report = mixed(df, targets, ws, vocabulary(), block_tokens=200)
+    r = {x["source"]: x for x in report.collect()}
+    assert {x["doc_id"] for x in selection.where("source = 'two'").collect()} == {0, 1}
+    assert r["two"]["blocks"] == 2 and r["two"]["tokens"] == r["two"]["tokens_available"] and abs(r["two"]["actual_share"] - 0.5) < 0.02
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shares_with_long_and_short_documents(spark, ws, seed):
+    """Quotas are tokens: a block that holds a long document counts for all it holds, and one that is too long is passed over."""
+    docs = [(k, "mixed", "word " * (8_000 if k % 100 == 0 else 40)) for k in range(400)] + [(1000 + k, "even", "word " * 40) for k in range(100)]
+    docs += [(2000 + k, "long", "word " * 1_500) for k in range(7)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("mixed", 0.4, 1), ("even", 0.3, 2), ("long", 0.3, 3)], "source string, target_share double, max_repeats int")
+    _, report = mixed(df, targets, ws, vocabulary(), block_tokens=100, seed=seed)
+    r = {x["source"]: x for x in report.collect()}
+    assert all(x["repeats"] <= x["max_repeats"] for x in r.values()) and sum(x["quota"] for x in r.values()) > 20_000
+    assert all(abs(r[s]["tokens"] - r[s]["quota"]) <= 0.01 * r[s]["quota"] for s in ("mixed", "even")) and abs(r["long"]["tokens"] - r["long"]["quota"]) <= 800
