@@ -373,8 +373,17 @@ def redact(text: str | None, mask: str = MASK) -> str | None:
     return "".join(parts) + text[at:]
 
 
-#: What a text with any credential must hold, compared without letter case: checked in the JVM before a text goes to Python.
-TRIGGERS = r"(?i)login|log_in|sign_?in|logon|curl |mysql|\bconnect\(|:(?:\d{2,5}|\*):|\\u[0-9a-f]{4}|pass|pwd|pw|secret|token|key|auth|credential|psk|sess|\bsid|bearer|basic|BEGIN |eyJ|AKIA|ASIA|gh[pousr]_|glpat|AIza|sk[-_]|xox|npm_|pypi-|hf_|://|kennwort|parola|mot de passe|mdp|jeton|contraseña|clave|clé|senha|chave|ficha|identified|requirepass|парол|токен|ключ|비밀번호|비번|암호|토큰|키|パスワード|トークン|暗証番号|キー|密码|密碼|口令|令牌|密钥|密鑰|كلمة|الرمز|पासवर्ड|कूटशब्द|टोकन|รหัสผ่าน|โทเคน"
+#: What a text with any credential must hold, compared without letter case in every script: checked in the JVM before a text goes to
+#: Python. Issued tokens and words of running text are the patterns' own; of the others it is a part that each match holds.
+TRIGGERS = "(?iu)" + "|".join(
+    (
+        r"pass|pwd|pw|secret|token|key|auth|credential|psk|sess|sid(?![a-z])",
+        r"login|log_in|sign_?in|logon|connect\(|bearer|basic|BEGIN |://|:(?:\p{Nd}{2,5}|\*):|\\u[0-9a-f]{4}",
+        r"mysql|identified by|(?:curl|http|wget)[^\n]*?(?:-u|--user|-a|--auth)[ =]",
+        *ISSUED,
+        PROSE_WORDS,
+    )
+)
 
 
 def credentials(items: DataFrame, text: str = "text") -> DataFrame:
