@@ -319,7 +319,8 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
         start, end = _expand(text, m.start(), m.end())
         last = end
         name = text[start:end]
-        if len(name) > 80 or not credential_name(name):
+        # long names, which may be any run of letters, aren't kept
+        if not (credential_name if len(name) <= 80 else credential_name.__wrapped__)(name):
             continue
         for a, b, quoted in _assigned(text, start, end):
             value = text[a:b]
@@ -327,27 +328,35 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
             if scheme:
                 a, value = a + scheme.end(), value[scheme.end() :]
             value = value.strip() if quoted else value
-            if a >= b or "\n" in value and not value.startswith("-----BEGIN") or len(value) > 4000 or stands_for_something(value[:200], quoted):
+            if a >= b or "\n" in value and not value.startswith("-----BEGIN") or stands_for_something(value[:200], quoted):
                 continue
-            if credential_name(name) and name.lower() == "auth" and not re.fullmatch(r"[A-Za-z0-9+/_=.-]{12,}", value):
+            # a long literal is a credential by its form: no blanks, as running text and listings have
+            if len(value) > 4000 and not value.startswith("-----BEGIN") and re.search(r"\s|\\[nrt]", value):
+                continue
+            if name.lower() == "auth" and not re.fullmatch(r"[A-Za-z0-9+/_=.-]{12,}", value):
                 continue
             add(a, b, "assigned")
     plain, place = _unescaped(text)
+    # the end of the sentence, and where its next credential is (the text's length: there is none), so that no stretch is read twice
+    reach = ahead = -1
     for m in _PROSE.finditer(plain):
         if re.compile(r"\\*[\"'`]?\]?[ \t]*[=:]").match(plain, m.end()):
             continue  # an assignment, read above
-        stop = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)").search(plain, m.end())
-        line = plain[m.end() : min(stop.start() if stop else len(plain), m.end() + 60)]
-        for k, t in enumerate(_PROSE_TOKEN.finditer(line)):
+        if m.end() > reach:
+            stop = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)").search(plain, m.end())
+            reach, ahead = stop.start() if stop else len(plain), -1
+        for t in _PROSE_TOKEN.finditer(plain, m.end(), reach):
             word = t.group(0).rstrip(".:!?")
             bare = re.match(r"[\x21-\x7e]{8,}", word) or re.search(r"(?<=[^\x00-\x7f])[\x21-\x7e]{8,}", word)
-            if bare and looks_secret(bare.group(0)):
-                at = m.end() + t.start()
-                a, b = at + bare.start(), at + bare.end()
+            if bare and looks_secret(bare.group(0)[:200]):
+                a, b = t.start() + bare.start(), t.start() + bare.end()
                 add(place[a] if place else a, place[b - 1] + 1 if place else b, "in text")
+                ahead = a
                 break
-            if k >= 4:
+            if ahead >= m.end():
                 break
+        else:
+            ahead = len(plain)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in found:

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -96,3 +97,23 @@ def test_every_pattern_passes_the_triggers(spark):
     assert [t for t in texts if not find_credentials(t)] == []
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r["t"] for r in df.where(~df["t"].rlike(TRIGGERS)).collect()] == []
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        (f"The password for the staging database of the billing team is {SECRET}, as agreed.", SECRET),
+        (f"The token that the nightly job, the parser and the synchronisation of all archives share with the cooldown check is {SECRET}.", SECRET),
+        ("token = '" + SECRET * 500 + "'", SECRET * 500),
+        ("_".join(["very"] * 30) + f"_password = '{SECRET}'", SECRET),
+    ],
+)
+def test_far_and_long(text, value):
+    assert [(text[a:b]) for a, b, _ in find_credentials(text)] == [value]
+
+
+def test_far_stays_in_the_sentence_and_is_read_once():
+    assert find_credentials(f"The password is wrong. The build {SECRET} is old.") == [] and find_credentials("token = '" + "some words " * 500 + "'") == []
+    start = time.process_time()
+    assert [a for a, _, _ in find_credentials("the token and the key " * 20_000 + SECRET)] == [440_000]
+    assert time.process_time() - start < 10
