@@ -25,8 +25,10 @@ TRAINING_TEXTS = 400
 SWITCH_SENTENCE, SWITCH_LINE, SWITCH_INSIDE = 3.0, 2.0, 9.0
 #: The most that one word may speak for one language against another.
 CLIP = 7.0
-#: A sentence has so many words, or so many characters of a script without spaces, unless the text has no longer one.
+#: A sentence has so many words, or so many characters of a script without spaces, unless the text has no longer one or it is clear.
 MIN_WORDS, MIN_CHARS = 3, 5
+#: A shorter sentence counts if each of its words is in its language and all together speak for it, against the next, by so much.
+CLEAR = 9.0
 
 # Labels in other spellings, by code.
 NAMES = {
@@ -174,7 +176,8 @@ def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, f
     """For each text its sentences in order: (language, confidence, start, end), from 0; nothing for texts without language.
 
     A sentence gets the language that Viterbi gives most of its words; the confidence is the share of its words in that
-    language, weighted by how clearly the scores speak for it. Short sentences count only where a text has no longer one.
+    language, weighted by how clearly the scores speak for it. Short sentences count where
+    their words speak clearly for one language, and the longest where a text has nothing else.
     """
     n = len(model.langs)
     place: dict[int, int] = {}
@@ -252,6 +255,7 @@ def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, f
     words_in = np.diff(np.append(heads, len(word)))
     chars_in = np.add.reduceat(end - begin, heads)
     whole = (words_in >= MIN_WORDS) | (np.logical_or.reduceat(free, heads) & (chars_in >= MIN_CHARS))
+    whole |= (margin >= CLEAR) & (share[np.arange(len(heads)), lang] == share.sum(axis=1))
     tails = end[np.append(heads[1:], len(word)) - 1]
     owner = np.searchsorted(first, heads, side="right") - 1
     found: list[list[int]] = [[] for _ in texts]

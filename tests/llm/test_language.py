@@ -69,3 +69,11 @@ def test_held_out_accuracy(spark, data):
     found = label_texts(model, [r["text"] for r in rows])
     right = [max(set(x := [s[0] for s in f]), key=x.count) == r["lang"].lower() for r, f in zip(rows, found) if f]
     assert np.mean(right) > 0.97
+
+
+def test_a_short_sentence_that_is_clear_counts():
+    """One or two words are a sentence of their own language if they leave no doubt; unknown ones say nothing."""
+    model = Model([(lang, t) for lang, t in (TEXTS | {"de": TEXTS["de"] + " Vielen Dank. Wir sagen vielen Dank."}).items() for _ in range(3)])
+    assert langs(model, "The parser returns an empty list. Vielen Dank. Nobody reads the file.") == ["en", "de", "en"]
+    assert langs(model, "The parser returns an empty list. Спасибо. Nobody reads the file.") == ["en", "ru", "en"]
+    assert langs(model, "The parser returns an empty list. Oskel. Nobody reads the file.") == ["en", "en"]
