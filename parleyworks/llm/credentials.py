@@ -1,11 +1,13 @@
 """Credentials in code, configuration and prose: where their bare values lie, and the text with them masked.
 
-The text is read lexically, not parsed: a credential-named identifier is found, then what follows it is read token by token
-(closing quotes and brackets, an operator, an opening quote with its escape level, the literal). Literals that refer to
-something else (variables, calls, templates) or stand for something (placeholders, masks) are no credentials. Values that
-give themselves away by their form (key blocks, signed tokens, vendor prefixes) and fixed spots (user info of URLs,
-authorization headers, login commands) are read the same way. Only the literal's content is masked, so delimiters and escapes
-of the surrounding code stay as they are.
+A lexer reads a text once, from left to right: names (identifiers and options), quotes with their escape level, line ends and blanks
+(escaped ones too, as code lies inside JSON strings), signs, opening lines of key blocks, and words of other scripts. A name that
+names a credential is followed in value mode: what closes it, the operator, the opening quote, the literal up to the quote of the
+same escape level. Names that pass a value in another way (options of a command, arguments of a login call, the scheme of an
+authorization, the user part of a link) are rules on the same tokens. Literals that refer to something else (variables, calls,
+templates) or stand for something (placeholders, masks) are no credentials. A word for a credential in running text takes the next
+word of its sentence that can be none. Only the literal's content is masked, so delimiters and escapes of the surrounding code stay
+as they are. Every rule looks ahead over text that no other token of its kind looks over again, so the time is linear in the text.
 """
 
 from __future__ import annotations
@@ -49,39 +51,71 @@ STAND_INS = frozenset(
 # Words for a credential in running text of several languages.
 PROSE_WORDS = r"passwords?|passphrase|passcode|tokens?|secret|api[ _-]?keys?|access[ _-]?key|credentials?|kennwort|passwort|schlüssel|zugangsdaten|mot de passe|mdp|jeton|clé|contraseña|clave|senha|chave|ficha|пароль|пароля|паролем|токен|токена|ключ|parola|password|비밀번호|비번|암호|토큰|키|パスワード|トークン|暗証番号|キー|密码|密碼|口令|令牌|密钥|密鑰|كلمة المرور|كلمة السر|الرمز|पासवर्ड|कूटशब्द|टोकन|รหัสผ่าน|โทเคน|пін"
 
-_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-#: Where a word starts; in escaped text the letter of an escape such as \\n before it is no part of it.
-_START = r"(?:(?<![A-Za-z0-9_])|(?<=\\[ntr]))"
-_ISSUED = re.compile(r"(?:(?<![A-Za-z0-9_+/-])|(?<=\\[ntr]))(?:" + "|".join(ISSUED) + ")")
-_WORD = re.compile(r"pass|pwd|_?pw(?![a-z])|PW(?![A-Za-z])|secret|token|key|auth|credential|psk|sess|sid(?![a-z])", re.I)
-_NAME_CHAR = re.compile(r"[A-Za-z0-9_$-]")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'\\<>`]*):(?P<value>[^\s/@\"'\\<>`]+)@(?=[\w\[{$%])")
-_AUTH = re.compile(r"authorization[\"'\\\]]*\s*[:=,]\s*[\"'\\]*\s*(?:bearer|basic|token|digest|apikey|negotiate)\s+(?P<value>[^\s\"'\\,;<>`)]+)", re.I)
-_SCHEME = re.compile(_START + r"(?:Bearer|Basic)\s+(?P<value>[A-Za-z0-9+/_.~-]{16,}=*)")
-_COMMANDS = (
-    re.compile(_START + r"login\s+\S+\s+password\s+(?P<value>[^\s\"'\\]+)"),
-    re.compile(_START + r"(?:docker|podman|helm|oc|az|npm)\s+[^\n\\]*?login\b[^\n\\]*?\s-p[ =]?(?P<value>[^\s\"'\\]+)"),
-    re.compile(_START + r"sshpass\s+-p\s*(?P<value>[^\s\"'\\]+)"),
-    re.compile(_START + r"mysql(?:dump|admin)?\b[^\n\\]*?\s-p(?P<value>[^\s\"'\\-][^\s\"'\\]*)"),
-    re.compile(_START + r"(?:curl|http|wget)\b[^\n]*?\s(?:-u|--user|-a|--auth)[ =]\\*[\"']?[^\s:\"'\\]+:(?P<value>[^\s\"'\\]+)"),
-    re.compile(_START + r"(?:PASSWORD|IDENTIFIED BY)\s+(?:=\s*)?\\*['\"](?P<value>[^'\"\\]+)", re.I),
-    re.compile(_START + r"(?:AUTH|requirepass|masterauth)\s+(?P<value>[^\s\"'\\]{8,})"),
+# Commands that take a password with an option: -p after "login", -p without a blank, -p, and user:value.
+LOGIN_COMMANDS = frozenset("docker podman helm oc az npm".split())
+TIGHT_COMMANDS = frozenset("mysql mysqldump mysqladmin".split())
+PASS_COMMANDS = frozenset(["sshpass"])
+USER_COMMANDS = frozenset("curl http wget".split())
+USER_OPTIONS = frozenset("-u --user -a --auth".split())
+# Functions whose first or second argument is a password, and words that a password follows after a blank.
+LOGIN_CALLS = frozenset("login log_in signin sign_in authenticate auth connect logon basic_auth HTTPBasicAuth set_password setPassword".split())
+SERVER_WORDS = frozenset("AUTH requirepass masterauth".split())
+# What a name of a credential has in it.
+HINTS = r"pass|pwd|pw(?![a-z])|secret|token|key|auth|credential|psk|sess|sid(?![a-z])"
+
+#: A number of words that no credential has: a longer literal is running text.
+RUNNING_WORDS = 12
+
+_TOKEN = re.compile(
+    r"(?P<block>-----BEGIN [A-Z0-9 ]+-----)|(?P<name>[A-Za-z0-9_$-]+)|(?P<gap>[ \t]+|\\+t)|(?P<line>\r?\n|\\+r\\+n|\\+[nr])|(?P<quote>\\*[\"'`])|(?P<link>://)|(?P<colon>:)"
+    r"|(?P<foreign>[^\x00-\x7f]+)|(?P<mark>[^A-Za-z0-9_$\-\s:\\\"'`\x80-\U0010ffff]+|\\+|\s)"
 )
+_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BLOCK_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_ISSUED = re.compile("|".join(ISSUED))
+_HINT = re.compile(HINTS, re.I)
+_USER = re.compile(r"[^\s:/@\"'\\<>`]*:(?P<value>[^\s/@\"'\\<>`]+)@(?=[\w\[{$%])")
+_SCHEME_AFTER = re.compile(r"[\"'\\\]]*\s*[:=,]\s*[\"'\\]*\s*(?:bearer|basic|token|digest|apikey|negotiate)\s+(?P<value>[^\s\"'\\,;<>`)]+)", re.I)
+_SCHEME = re.compile(r"\s+(?P<value>[A-Za-z0-9+/_.~-]{16,}=*)")
+_MACHINE = re.compile(r"\s+\S+\s+password\s+(?P<value>[^\s\"'\\]+)")
+_IDENTIFIED = re.compile(r"\s+by\s+(?:=\s*)?\\*['\"](?P<value>[^'\"\\]+)", re.I)
+_SQL_PASSWORD = re.compile(r"\s+(?:=\s*)?\\*['\"](?P<value>[^'\"\\]+)")
+_SERVER = re.compile(r"\s+(?P<value>[^\s\"'\\]{8,})")
+_ARGUMENT = re.compile(r"\(\s*(?:\\*[\"'][^\"'\\\n]*\\*[\"']\s*,\s*)?\\*[\"'](?P<value>[^\"'\\\s]{6,})\\*[\"']\s*[,)]")
+_OPTION = re.compile(r"[ =]?(?P<value>[^\s\"'\\]+)")
+_OPTION_TIGHT = re.compile(r"(?P<value>[^\s\"'\\-][^\s\"'\\]*)")
+_OPTION_WIDE = re.compile(r"\s*(?P<value>[^\s\"'\\]+)")
+_OPTION_USER = re.compile(r"[ =]\\*[\"']?[^\s:\"'\\]+:(?P<value>[^\s\"'\\]+)")
+_PGPASS = re.compile(r":(?:\d{2,5}|\*):[\w*.-]+:[\w*.-]+:(?P<value>[^\s\"'\\:]+)")
 _SET = re.compile(r"set\s+(?:-[A-Za-z]+\s+)+$|setx\s+$|(?:config set|config:set|env:set|secret set|secrets set)\s+$")
 _QUOTE = re.compile(r"(\\*)([\"'`])")
 _AFTER_NAME = re.compile(r"(?:\\*[\"'`])?\]?(?:[ \t]*:[ \t]*(?:str|string|String|SecretStr|bytes|Optional\[str\])(?=[ \t]*=))?[ \t]*(?P<op>:=|=>|->|==|!=|===|!==|=|:)(?!:)[ \t]*")
+_ASSIGNS = re.compile(r"\\*[\"'`]?\]?[ \t]*[=:]")
 _BARE = re.compile(r"[^\s\"'`\\,;<>()\[\]{}]+")
 _PARAMETER = re.compile(r"[^\s\"'`\\,;<>()\[\]{}&]+")
-_CALLED = re.compile(_START + r"(?:login|log_in|signin|sign_in|authenticate|auth|connect|logon|basic_auth|HTTPBasicAuth|set_password|setPassword)\(\s*(?:\\*[\"'][^\"'\\\n]*\\*[\"']\s*,\s*)?\\*[\"'](?P<value>[^\"'\\\s]{6,})\\*[\"']\s*[,)]")
-_PGPASS = re.compile(r"(?:(?<![\w/:.@-])|(?<=\\[ntr]))[\w.*-]+:(?:\d{2,5}|\*):[\w*.-]+:[\w*.-]+:(?P<value>[^\s\"'\\:]+)")
 _WAS = re.compile(r"\\*[\"'`]?[ \t]+(?:was|is|were|used to be|changed to|set to)[ \t]+(?:now[ \t]+)?\\*[\"'`]?")
 _SPACE = re.compile(r"(?:[ \t]|\\t)*")
 _NEXT_LINE = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)(?:[ \t]|\\t|\d+(?:\t|\\t))*")
 _VALUE_LINE = re.compile(r"(?:- )?\\*[\"']?(?:value|Value|VALUE)\\*[\"']?[ \t]*[:=][ \t]*")
 _XML_VALUE = re.compile(r"\\*[\"']\s+(?:value|Value)=")
 _PROSE = re.compile(r"(?:(?<![A-Za-z0-9_.$/-])|(?<=\\[ntr]))(?:" + PROSE_WORDS + r")(?![A-Za-z0-9_$]|\.\w)", re.I)
+_FOREIGN = re.compile("(?:" + "|".join(w for w in PROSE_WORDS.split("|") if not w.isascii() and not w[0].isascii()) + r")(?![A-Za-z0-9_$]|\.\w)", re.I)
+_LONGEST = max(map(len, PROSE_WORDS.split("|")))
 _PROSE_TOKEN = re.compile(r"[^\s\"'`\\,;()\[\]{}<>「」『』“”«»„。、，：]+")
+_SENTENCE_END = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)")
+
+
+def _heads() -> tuple[tuple[str, ...], frozenset[str]]:
+    """How the name begins in which a word for a credential lies: in front, or (where a letter of another script follows) exactly."""
+    front, exact = set(), set()
+    for word in PROSE_WORDS.split("|"):
+        head = re.match(r"[a-z]*", word).group()
+        if head:
+            (exact if word[len(head) :][:1] > "\x7f" else front).add(head[:-1] if word[len(head) :].startswith("?") else head)
+    return tuple(front), frozenset(exact)
+
+
+_FRONT, _EXACT = _heads()
 
 
 @lru_cache(maxsize=100_000)
@@ -106,7 +140,6 @@ def credential_name(name: str) -> bool:
     return last == "auth" and len(parts) <= 2
 
 
-@lru_cache(maxsize=50_000)
 def stands_for_something(value: str, quoted: bool) -> bool:
     """Whether a literal is empty, a placeholder, a mask, or a reference to something else."""
     v = value.strip()
@@ -128,7 +161,7 @@ def stands_for_something(value: str, quoted: bool) -> bool:
         return not (quoted and len(v) >= 6)
     if not quoted:
         # a name, a path of names, or a name with a number is a reference
-        if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+[!?]?", v) and not re.search(r"\d.*[A-Za-z].*\d", v):
+        if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+[!?]?", v) and not _letters_between_digits(v):
             return True
         if _random_letters(v):
             return False
@@ -142,6 +175,12 @@ def stands_for_something(value: str, quoted: bool) -> bool:
     return False
 
 
+def _letters_between_digits(v: str) -> bool:
+    first = re.search(r"\d", v)
+    last = re.search(r"\d(?=\D*$)", v) if first else None
+    return bool(last) and re.search(r"[A-Za-z]", v[first.end() : last.start()]) is not None
+
+
 def _random_letters(v: str) -> bool:
     """Letters in a mix of cases that no naming style gives."""
     if len(v) < 10 or not re.fullmatch(r"[A-Za-z_-]+", v) or v.isupper() or v.islower():
@@ -153,7 +192,6 @@ def _passphrase(v: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z]+(?:[-.][A-Za-z]+){2,}", v))
 
 
-@lru_cache(maxsize=50_000)
 def looks_secret(v: str) -> bool:
     """Whether a word of running text cannot be an ordinary word: letters and digits or signs mixed, of some length."""
     if len(v) < 8 or not v.isascii() or stands_for_something(v, False):
@@ -199,8 +237,8 @@ def _assigned(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]
     name_open = text[start - 1 : start]
     # <name>value</name>
     if name_open == "<" and text[end : end + 1] == ">":
-        close = text.find("</", end)
-        if close > 0:
+        close = text.find("<", end + 1)
+        if close > 0 and text.startswith("</", close):
             yield end + 1, close, True
         return
     # key="name" value="..."
@@ -248,19 +286,6 @@ def _assigned(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]
         yield lit[0], lit[1], lit[2] or (tight and bool(re.search(r"\d", text[lit[0] : lit[1]])))
 
 
-def _expand(text: str, start: int, end: int) -> tuple[int, int]:
-    while start > 0 and _NAME_CHAR.match(text[start - 1]):
-        start -= 1
-    while end < len(text) and _NAME_CHAR.match(text[end]):
-        end += 1
-    while start < end and text[start] == "-":  # the dashes of an option
-        start += 1
-    # an escape before the name is no part of it: \n, \t
-    if start > 0 and text[start - 1] == "\\" and text[start] in "ntr" and end - start > 1:
-        start += 1
-    return start, end
-
-
 def _unescaped(text: str) -> tuple[str, list[int] | None]:
     """The text with ``\\uXXXX`` read, and the place of each of its characters in the original; None where nothing is escaped."""
     if "\\u" not in text:
@@ -273,101 +298,199 @@ def _unescaped(text: str) -> tuple[str, list[int] | None]:
     return "".join(parts) + text[at:], [*place, *range(at, len(text))]
 
 
-def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every credential's bare value, from 0, in order and without overlaps. Null gives none."""
-    if not text:
-        return []
-    found: list[tuple[int, int, str]] = []
-    blocks: list[tuple[int, int]] = []
-    for m in _BLOCK.finditer(text):
-        stop = _BLOCK_END.search(text, m.end())
-        end = stop.end() if stop else len(text)
-        if blocks and m.start() < blocks[-1][1]:
-            continue
-        blocks.append((m.start(), end))
-        body = re.sub(r"\\n|\s", "", text[m.end() : stop.start() if stop else end])
-        if not stands_for_something(body[:60], True) and len(body) >= 16:
-            found.append((m.start(), end, "private key"))
-    # certificates and public keys hold no credentials
-    for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----", text):
-        if not any(a <= m.start() < b for a, b in blocks):
-            stop = re.compile(r"-----END [A-Z0-9 ]+-----").search(text, m.end())
-            blocks.append((m.start(), stop.end() if stop else m.end()))
-
-    def add(start: int, end: int, kind: str) -> None:
-        found.append((start, end, kind))
-
-    for m in _ISSUED.finditer(text):
-        if not stands_for_something(m.group(0), True):
-            add(m.start(), m.end(), "issued token")
-    for m in _URL.finditer(text):
-        if not stands_for_something(m.group("value"), True):
-            add(m.start("value"), m.end("value"), "url password")
-    for pattern in (_AUTH, _SCHEME):
-        for m in pattern.finditer(text):
-            v = m.group("value")
-            if not stands_for_something(v, True) and re.search(r"\d|[A-Z].*[a-z]|=", v):
-                add(m.start("value"), m.end("value"), "authorization")
-    for pattern in (*_COMMANDS, _CALLED, _PGPASS):
-        for m in pattern.finditer(text):
-            if not stands_for_something(m.group("value"), True):
-                add(m.start("value"), m.end("value"), "login")
-    last = -1
-    for m in _WORD.finditer(text):
-        if m.start() < last:
-            continue
-        start, end = _expand(text, m.start(), m.end())
-        last = end
-        name = text[start:end]
-        # long names, which may be any run of letters, aren't kept
-        if not (credential_name if len(name) <= 80 else credential_name.__wrapped__)(name):
-            continue
+#: What a name may be, as a sum: part of an issued token, named like a credential, a word of a rule, the head of a word of running text.
+_MAY_ISSUE, _CREDENTIAL, _RULE, _CUE = 1, 2, 4, 8
+_RULES = LOGIN_COMMANDS | TIGHT_COMMANDS | PASS_COMMANDS | USER_COMMANDS | LOGIN_CALLS | SERVER_WORDS | {"login", "Bearer", "Basic"}
+_known: dict[str, int] = {}
+
+
+def _kind_of(word: str) -> int:
+    kind = _known.get(word)
+    if kind is None:
+        low = word.lower()
+        kind = _MAY_ISSUE if len(word) >= 11 and word[0] != "-" else 0
+        if _HINT.search(word) and credential_name(word.lstrip("-")):
+            kind |= _CREDENTIAL
+        if word in _RULES or low.endswith("authorization") or low in ("password", "identified"):
+            kind |= _RULE
+        if low.startswith(_FRONT) or low in _EXACT:
+            kind |= _CUE
+        if len(_known) > 200_000:
+            _known.clear()
+        if len(word) <= 80:  # long names, which may be any run of letters, aren't kept
+            _known[word] = kind
+    return kind
+
+
+class _Reader:
+    """One pass over a text: the credentials in code (``code``) and in running text (``prose``) go to ``found`` as (start, end, kind)."""
+
+    def __init__(self, text: str, code: bool, prose: bool):
+        self.text, self.code, self.prose = text, code, prose
+        self.found: list[tuple[int, int, str]] = []
+        # the end of the sentence, and where its next credential is (the text's length: there is none), so that no stretch is read twice
+        self.reach = self.ahead = -1
+        self.no_end = False
+
+    def add(self, m: re.Match | None, kind: str, shape: str | None = None) -> None:
+        if m and not stands_for_something(m.group("value"), True) and (shape is None or re.search(shape, m.group("value"))):
+            self.found.append((m.start("value"), m.end("value"), kind))
+
+    def run(self) -> list[tuple[int, int, str]]:
+        text, at = self.text, 0
+        command = caller = ""  # the command of the line so far, and the one that goes on over escaped line ends
+        logged = False
+        while at < len(text):
+            for m in _TOKEN.finditer(text, at):
+                kind = m.lastgroup
+                if kind == "name":
+                    word = m.group()
+                    what = _kind_of(word)
+                    if self.code and word[0] == "-" and (command or caller):
+                        self.option(m.start(), word, command, caller, logged)
+                    if not what:
+                        continue
+                    if what & _RULE and self.code:
+                        if word in LOGIN_COMMANDS or word in TIGHT_COMMANDS or word in PASS_COMMANDS:
+                            command, logged = word, False
+                        elif word in USER_COMMANDS:
+                            caller = word
+                        elif word == "login":
+                            logged = True
+                        self.rule(word, m.start(), m.end())
+                    if what & _MAY_ISSUE and self.code and (m.start() == 0 or text[m.start() - 1] not in "+/"):
+                        token = _ISSUED.match(text, m.start())
+                        if token and not stands_for_something(token.group(), True):
+                            self.found.append((m.start(), token.end(), "issued token"))
+                    if what & _CREDENTIAL and self.code:
+                        self.named(m.end() - len(word.lstrip("-")), m.end())
+                    if what & _CUE and self.prose:
+                        self.cue(_PROSE.match(text, m.start()))
+                elif kind == "line":
+                    if m.start() == 0 or text[m.start() - 1] != "\\":
+                        command = ""
+                        caller = caller if m.group()[0] == "\\" else ""
+                elif kind == "link":
+                    if self.code and m.start() and text[m.start() - 1].isalnum():
+                        self.add(_USER.match(text, m.end()), "url password")
+                elif kind == "colon":
+                    if self.code and (p := _PGPASS.match(text, m.start())):
+                        self.pgpass(m.start(), p)
+                elif kind == "foreign":
+                    if self.prose:
+                        for cue in _FOREIGN.finditer(text, m.start(), m.end() + _LONGEST):
+                            if cue.start() < m.end() and (cue.start() == 0 or text[cue.start() - 1] not in "._$/-" and not (text[cue.start() - 1].isascii() and text[cue.start() - 1].isalnum()) or text[cue.start() - 2 : cue.start()] in ("\\n", "\\t", "\\r")):
+                                self.cue(cue)
+                elif kind == "block":
+                    at = self.block(m)
+                    break
+            else:
+                break
+        return self.found
+
+    def block(self, m: re.Match) -> int:
+        """A key block, a certificate or a public key: where it ends. Only private keys are credentials."""
+        stop = None if self.no_end else _BLOCK_END.search(self.text, m.end())
+        self.no_end = stop is None
+        end = stop.end() if stop else len(self.text)
+        if self.code and _BLOCK.match(self.text, m.start()):
+            body = re.sub(r"\\n|\s", "", self.text[m.end() : stop.start() if stop else end])
+            if len(body) >= 16 and not stands_for_something(body, True):
+                self.found.append((m.start(), end, "private key"))
+        return end
+
+    def option(self, start: int, word: str, command: str, caller: str, logged: bool) -> None:
+        """An option of a command that takes a password."""
+        text = self.text
+        if caller and word in USER_OPTIONS and text[start - 1 : start].isspace():
+            self.add(_OPTION_USER.match(text, start + len(word)), "login")
+        if command and word.startswith("-p") and text[start - 1 : start].isspace():
+            if command in PASS_COMMANDS:
+                self.add(_OPTION_WIDE.match(text, start + 2), "login")
+            elif command in TIGHT_COMMANDS:
+                self.add(_OPTION_TIGHT.match(text, start + 2), "login")
+            elif logged:
+                self.add(_OPTION.match(text, start + 2), "login")
+
+    def rule(self, word: str, start: int, end: int) -> None:
+        """A word that passes a value in another way than by an operator."""
+        text, low = self.text, word.lower()
+        if low.endswith("authorization"):
+            self.add(_SCHEME_AFTER.match(text, end), "authorization", r"\d|[A-Z].*[a-z]|=")
+        elif word in ("Bearer", "Basic"):
+            self.add(_SCHEME.match(text, end), "authorization", r"\d|[A-Z].*[a-z]|=")
+        elif low == "identified":
+            self.add(_IDENTIFIED.match(text, end), "login")
+        elif low == "password":
+            self.add(_SQL_PASSWORD.match(text, end), "login")
+        elif word in SERVER_WORDS:
+            self.add(_SERVER.match(text, end), "login")
+        if word in LOGIN_CALLS:
+            self.add(_ARGUMENT.match(text, end), "login")
+            if word == "login":
+                self.add(_MACHINE.match(text, end), "login")
+
+    def pgpass(self, colon: int, m: re.Match) -> None:
+        """host:port:database:user:value, where the host is no part of a link or an address."""
+        text, start = self.text, colon
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.*-"):
+            start -= 1
+        if start < colon and (start == 0 or text[start - 1] not in "/:@"):
+            self.add(m, "login")
+
+    def named(self, start: int, end: int) -> None:
+        """The literals that a credential-named identifier gets."""
+        text, name = self.text, self.text[start:end]
         for a, b, quoted in _assigned(text, start, end):
             value = text[a:b]
             scheme = re.match(r"(?:Bearer|Basic|Token)\s+", value)
             if scheme:
                 a, value = a + scheme.end(), value[scheme.end() :]
             value = value.strip() if quoted else value
-            if a >= b or "\n" in value and not value.startswith("-----BEGIN") or stands_for_something(value[:200], quoted):
+            if a >= b or "\n" in value or value.startswith("-----BEGIN") or stands_for_something(value, quoted):
                 continue
-            # a long literal is a credential by its form: no blanks, as running text and listings have
-            if len(value) > 4000 and not value.startswith("-----BEGIN") and re.search(r"\s|\\[nrt]", value):
+            if len(re.findall(r"(?:\s|\\[nrt])+", value)) >= RUNNING_WORDS:
                 continue
             if name.lower() == "auth" and not re.fullmatch(r"[A-Za-z0-9+/_=.-]{12,}", value):
                 continue
-            add(a, b, "assigned")
-    plain, place = _unescaped(text)
-    # the end of the sentence, and where its next credential is (the text's length: there is none), so that no stretch is read twice
-    reach = ahead = -1
-    for m in _PROSE.finditer(plain):
-        if re.compile(r"\\*[\"'`]?\]?[ \t]*[=:]").match(plain, m.end()):
-            continue  # an assignment, read above
-        if m.end() > reach:
-            stop = re.compile(r"\n|\\n|[.!?。！？](?:\s|$)").search(plain, m.end())
-            reach, ahead = stop.start() if stop else len(plain), -1
-        for t in _PROSE_TOKEN.finditer(plain, m.end(), reach):
+            self.found.append((a, b, "assigned"))
+
+    def cue(self, m: re.Match | None) -> None:
+        """The credential that a word of running text announces: the next word of the sentence that can be no ordinary one."""
+        text = self.text
+        if not m or _ASSIGNS.match(text, m.end()):
+            return  # an assignment is read as code
+        if m.end() > self.reach:
+            stop = _SENTENCE_END.search(text, m.end())
+            self.reach, self.ahead = stop.start() if stop else len(text), -1
+        for t in _PROSE_TOKEN.finditer(text, m.end(), self.reach):
             word = t.group(0).rstrip(".:!?")
             bare = re.match(r"[\x21-\x7e]{8,}", word) or re.search(r"(?<=[^\x00-\x7f])[\x21-\x7e]{8,}", word)
-            if bare and looks_secret(bare.group(0)[:200]):
+            if bare and looks_secret(bare.group(0)):
                 a, b = t.start() + bare.start(), t.start() + bare.end()
-                add(place[a] if place else a, place[b - 1] + 1 if place else b, "in text")
-                ahead = a
-                break
-            if ahead >= m.end():
-                break
-        else:
-            ahead = len(plain)
+                self.found.append((a, b, "in text"))
+                self.ahead = a
+                return
+            if self.ahead >= m.end():
+                return
+        self.ahead = len(text)
+
+
+def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every credential's bare value, from 0, in order and without overlaps. Null gives none."""
+    if not text:
+        return []
+    plain, place = _unescaped(text)
+    if place is None:
+        found = _Reader(text, True, True).run()
+    else:  # running text is read with its escaped letters
+        found = _Reader(text, True, False).run()
+        found += [(place[a], place[b - 1] + 1, kind) for a, b, kind in _Reader(plain, False, True).run()]
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in found:
-        inside = next(((x, y) for x, y in blocks if x <= a < y), None)
-        if inside and a != inside[0]:
-            continue
-        if inside and kind != "private key" and not _BLOCK.match(text, a):
-            continue
-        if out and a < out[-1][1]:
-            continue
-        out.append((a, b, kind))
+        if not out or a >= out[-1][1]:
+            out.append((a, b, kind))
     return out
 
 
@@ -383,12 +506,14 @@ def redact(text: str | None, mask: str = MASK) -> str | None:
 
 
 #: What a text with any credential must hold, compared without letter case in every script: checked in the JVM before a text goes to
-#: Python. Issued tokens and words of running text are the patterns' own; of the others it is a part that each match holds.
+#: Python. It is made of the lexer's own lists, and of a part of each rule that every match of it holds.
 TRIGGERS = "(?iu)" + "|".join(
     (
-        r"pass|pwd|pw|secret|token|key|auth|credential|psk|sess|sid(?![a-z])",
-        r"login|log_in|sign_?in|logon|connect\(|bearer|basic|BEGIN |://|:(?:\p{Nd}{2,5}|\*):|\\u[0-9a-f]{4}",
-        r"mysql|identified by|(?:curl|http|wget)[^\n]*?(?:-u|--user|-a|--auth)[ =]",
+        HINTS.replace("pw(?![a-z])", "pw"),
+        r"login|bearer|basic|identified|BEGIN |://|:(?:\p{Nd}{2,5}|\*):|\\u[0-9a-f]{4}",
+        *(w + r"\(" for w in sorted(LOGIN_CALLS) if not re.search(HINTS, w, re.I)),
+        *sorted(TIGHT_COMMANDS),
+        "(?:" + "|".join(sorted(USER_COMMANDS)) + r")\b[^\n]*?(?:" + "|".join(sorted(USER_OPTIONS)) + ")[ =]",
         *ISSUED,
         PROSE_WORDS,
     )

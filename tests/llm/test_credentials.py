@@ -117,3 +117,28 @@ def test_far_stays_in_the_sentence_and_is_read_once():
     start = time.process_time()
     assert [a for a, _, _ in find_credentials("the token and the key " * 20_000 + SECRET)] == [440_000]
     assert time.process_time() - start < 10
+
+
+def test_the_filter_in_the_jvm_keeps_what_the_finder_finds(spark):
+    texts = ["Der Schlüssel lautet xK8#pQ2vLm9z!a", "пін xK8#pQ2vLm9z!a", "http -a bob:Zr7kLm29Qp h.example", "wget --user bob:Zr7kLm29Qp h.example", "token = '" + "q1W2e3R4t5" * 1_000 + "'"]
+    got = credentials(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")).collect()
+    assert sorted(r["id"] for r in got) == list(range(5)) and max(r["end_pos"] - r["start_pos"] for r in got) == 9_999
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "0123456789abcdef" * 62_500, "ab." * 330_000, '{"key": "a b", "token": 12, "password": "x"}' * 22_000, "see https://a.b/c?d=e, curl -s x " * 30_000, "-----BEGIN PRIVATE KEY-----\n" * 35_000,
+        'password="\\"' * 80_000, "curl -u " * 120_000, "login login(" * 80_000, "a:22:" * 200_000, "authorization: " * 65_000,
+    ],
+)
+def test_a_megabyte_takes_about_a_second(text):
+    start = time.process_time()
+    find_credentials(text)
+    assert time.process_time() - start < 4
+
+
+def test_whole_values_are_judged():
+    block = "-----BEGIN PRIVATE KEY-----\n" + "x7" * 40 + "\n...\n-----END PRIVATE KEY-----"
+    assert find_credentials(block) == []
+    assert find_credentials("secret = '" + "a1B2c3" * 50 + "${REST}'") == []
