@@ -1,11 +1,12 @@
 """Sentence boundaries across languages and scripts.
 
 The layout is read first: fenced code, empty lines, headings, list items, quote marks and speaker labels open units. Inside a
-paragraph every terminator (and, in scripts without one, every blank) outside quotations and brackets is a candidate; a
-maximum-entropy classifier decides it from the words around it: their case, length, digits and script, how often they end or
-open paragraphs (counted over all documents), and whether they are known abbreviations. It is trained on reliable boundaries:
-breaks between paragraphs that end with a terminator, against terminators that lower case, a comma or an abbreviation shows to be
-none.
+paragraph every terminator, closed quotation or bracket with one, and (in scripts without one) every blank is a candidate; a
+maximum-entropy classifier decides each from the words around it: their case, length, digits and script, how often they end or
+open paragraphs (counted over all documents), how a quotation was led in, and whether they are known abbreviations. It is trained on
+reliable boundaries: breaks between paragraphs, read as if a blank (or nothing) parted them, against places that lower case, a
+comma, an abbreviation or a number shows to be none, and places within sentences. What a candidate's features depend on is a short
+tuple, so its score is worked out once for all candidates that are alike.
 """
 
 from __future__ import annotations
@@ -44,16 +45,19 @@ _NUMBER = re.compile(r"[ \t]*(?:>[ \t]*)*(?P<n>\d{1,3})[.)][ \t]+(?=\S)")
 _QUOTE = re.compile(r"[ \t]*>[ \t]*")
 _SPEAKER = re.compile(r"[ \t]*(?:>[ \t]*)*(?:\*\*|__)?(?P<who>User|Assistant|System|Human|AI|Q|A|Reviewer|Me|You|Bot|Agent|Speaker[ \t]?\w{0,3})[ \t]?:(?:\*\*|__)?(?=\s|$)", re.I)
 _SPAN = re.compile(r"`[^`\n]*(?:\n(?!\s*\n)[^`\n]*)?`|[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"]+")
+_STOPS = re.compile(r"[.!?…‼⁇⁈⁉。！？｡．।॥؟۔։።᠃]+")
 _STOP = re.compile(r"(?P<term>[.!?…‼⁇⁈⁉]+|[。！？｡．]+|[।॥]+|[؟۔]+|[։።᠃]+)(?P<close>(?:[\"'”’»›)\]」』）】》*_]|“(?=\s|$|[.,;:!?]))*)(?P<gap>\s*)")
-_THAI_GAP = re.compile(r"(?<=[฀-๿])[ \t]*\n?[ \t]+(?=[฀-๿A-Za-z`\"“(])|(?<=[฀-๿])\n(?=[฀-๿])")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])[ \t]*\n?[ \t]+(?=[฀-๿A-Za-z0-9`\"“(])|(?<=[฀-๿])\n(?=[฀-๿])")
+_THAI = re.compile("[฀-๿]")
 _WIDE = "。！？｡．।॥"
 _OPENERS = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "„": "“”", "‹": "›", "‘": "’"}
 # vowel signs and tone marks belong to words, though they are no letters
 _SIGNS = "\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0900-\u0963\u0970-\u097f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"
 _MARK = re.compile("[" + re.escape("".join(_OPENERS) + "".join(_OPENERS.values()) + '"') + "]")
-_SMALL = re.compile("[a-zß-öø-ÿа-яёđłšžčćřůőű]")
-_CAPITAL = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁĐŁŠŽČĆŘŮŐŰ]")
-_LAST = re.compile(rf"(?:[^\W_]|[{_SIGNS}]|[.'’-](?=[^\W_]))+$")
+_SMALL = re.compile("[a-zß-öø-ÿа-яёđłšžčćřůőű]+")
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁĐŁŠŽČĆŘŮŐŰ]+")
+#: A word that ends a stretch, read backwards.
+_LAST = re.compile(rf"(?:[^\W_]|[{_SIGNS}]|(?<=[^\W_])[.'’-])+")
 _FIRST = re.compile(rf"[^\W_](?:[^\W_]|[{_SIGNS}])*")
 #: A terminator that no blank follows: a small word before it and a capitalised one after it.
 _TIGHT = re.compile(r"(?P<term>[.!?])(?=[^\W\d_a-z][^\W\d_A-Z]*(?:[\s,]|$))")
@@ -171,9 +175,12 @@ def _quoted(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+_DIGITS = re.compile(r"\d+")
+
+
 def _last_word(text: str, a: int, b: int) -> str:
-    m = _LAST.search(text, max(a, b - 40), b)
-    return m.group().lower() if m else ""
+    m = _LAST.match(text[max(a, b - 40) : b][::-1])
+    return m.group()[::-1].lower() if m else ""
 
 
 def _first_word(text: str, a: int, b: int) -> str:
@@ -182,7 +189,7 @@ def _first_word(text: str, a: int, b: int) -> str:
 
 
 def _shape(word: str) -> str:
-    return re.sub(r"\d+", "#", word) if word else ""
+    return word if not word or word.isalpha() else _DIGITS.sub("#", word)
 
 
 def _uncased(word: str) -> str:
@@ -194,7 +201,7 @@ def candidates(text: str, start: int, body: int, end: int) -> list[tuple[int, in
     """(end of the unit, start of the next, terminator, closers, kind, opener) inside a part: kind is ``stop``, ``tight``, ``quote``
     (with the place where the quotation or bracket opened) or ``blank``."""
     spans = _quoted(text, body, end)
-    code = [(m.start(), m.end()) for m in _SPAN.finditer(text, body, end)]
+    code = [(m.start(), m.end()) for m in _SPAN.finditer(text, body, end)] if text.find("`", body, end) >= 0 or text.find("://", body, end) >= 0 else []
     found = []
 
     def inside(k: int, among: list[tuple[int, int]] = spans) -> tuple[int, int] | None:
@@ -205,8 +212,12 @@ def candidates(text: str, start: int, body: int, end: int) -> list[tuple[int, in
         at = bisect_left(code, (k + 1, 0)) - 1
         return code[at] if at >= 0 and code[at][0] <= k < code[at][1] else None
 
-    for m in _STOP.finditer(text, body, end):
-        at = m.start("term")
+    past = body
+    for at in [m.start() for m in _STOPS.finditer(text, body, end)]:
+        if at < past:
+            continue
+        m = _STOP.match(text, at, end)
+        past = m.end("close")
         inner = in_code(at)
         # a terminator right after a link belongs to the sentence
         if inner and m.end("term") < inner[1]:
@@ -230,7 +241,7 @@ def candidates(text: str, start: int, body: int, end: int) -> list[tuple[int, in
         at = m.start("term")
         if text[at + 1].isupper() and _BEFORE_TIGHT.search(text, max(body, at - 60), at) and not inside(at) and not in_code(at):
             found.append((at + 1, at + 1, m.group("term"), "", "tight", -1))
-    for m in _THAI_GAP.finditer(text, body, end):
+    for m in _THAI_GAP.finditer(text, body, end) if _THAI.search(text, body, end) else ():
         if not inside(m.start()) and not in_code(m.start()):
             found.append((m.start(), m.end(), "", "", "blank", -1))
     found.sort()
@@ -340,74 +351,132 @@ class Boundaries:
             whole[w] = of
             if n:
                 part[w] = n
-        parts = [(text, [p for p in blocks(text) if not p[3]]) for text in texts]
         self.weights: dict[str, float] = {}
+        self.memo: dict[tuple, bool] = {}
         rows, labels = [], []
-        for text, own in parts:
+        for text in texts:
+            own = [p for p in blocks(text) if not p[3]]
             cased = _cased(text)
-            for k, (s, b, e, _) in enumerate(own):
-                for c in candidates(text, s, b, e):
-                    if c[4] == "tight":
-                        continue
+            for k, (_, b, e, _) in enumerate(own):
+                for c in candidates(text, _, b, e):
                     label = self._reliable(text, b, e, c, cased)
                     if label is not None:
-                        rows.append(self.features(text, b, e, c, cased))
+                        rows.append(self.signature(text, b, e, c, cased))
                         labels.append(label)
-                # a break between two paragraphs, read as if only a blank parted them
+                # two words within a sentence, read as if only a terminator parted them
+                words = [m.group() for m, _ in zip(_FIRST.finditer(text, b, e), range(6))]
+                if len(words) == 6:
+                    joined = f"{words[3]}.{words[4]}"
+                    c = (len(words[3]) + 1, len(words[3]) + 1, ".", "", "tight", -1)
+                    rows.append(self.signature(joined, 0, len(joined), c, cased))
+                    labels.append(0)
+                # a break between two paragraphs, read as if only a blank parted them, or nothing
                 if k + 1 < len(own):
                     m = re.search(r"(?P<term>[.!?。！？।؟…]+)(?P<close>[\"'”’»)\]」』）]*)$", text[max(b, e - 8) : e])
+                    nxt = own[k + 1]
+                    following = text[nxt[1] : nxt[2]]
                     if m:
-                        nxt = own[k + 1]
-                        joined = text[b:e] + " " + text[nxt[1] : nxt[2]]
-                        c = (e - b, e - b + 1, m.group("term"), m.group("close"), "quote" if m.group("close") else "stop", -1)
-                        rows.append(self.features(joined, 0, len(joined), c, cased))
+                        joined = text[b:e] + " " + following
+                        opened = max((o for o, c in _quoted(text, b, e) if c == e - 1), default=b - 1) - b if m.group("close") else -1
+                        c = (e - b, e - b + 1, m.group("term"), m.group("close"), "quote" if m.group("close") else "stop", opened)
+                        rows.append(self.signature(joined, 0, len(joined), c, cased))
                         labels.append(1)
-            for s, b, e, _ in own:
-                for c in candidates(text, s, b, e):
-                    if c[4] == "blank":
-                        # in a script without terminators a blank is as reliable as a break: words aren't parted by any
-                        rows.append(self.features(text, b, e, c, cased))
+                        if not m.group("close") and self.seen[_shape(_last_word(text, b, e - len(m.group("term"))))]:
+                            joined = text[b:e] + following
+                            rows.append(self.signature(joined, 0, len(joined), (e - b, e - b, m.group("term"), "", "tight", -1), cased))
+                            labels.append(1)
+                    elif _THAI.match(text, e - 1) and _THAI.match(following):
+                        joined = text[b:e] + " " + following
+                        rows.append(self.signature(joined, 0, len(joined), (e - b, e - b + 1, "", "", "blank", -1), cased))
                         labels.append(1)
-        self._fit(rows, labels, rounds)
+        self._fit([self.features(r) for r in rows], labels, rounds)
 
     def _reliable(self, text: str, b: int, e: int, c: tuple, cased: bool) -> int | None:
         end, nxt, term, close, kind = c[:5]
         following = text[nxt]
-        word = _last_word(text, b, end - len(term) - len(close))
-        if following in ",;:，；：、":
+        if following in _PAUSE:
             return 0
+        if kind == "blank":
+            # in a script without terminators a blank is as reliable as a break: words aren't parted by any, but numbers are
+            return 0 if following.isdigit() else 1
+        if kind == "tight":
+            # rather a name with a dot, unless both words are used to ending and opening sentences
+            ends, opens = self._used(text, b, e, c, cased)
+            return None if ends and opens else 0
+        word = _last_word(text, b, end - len(term) - len(close))
         if term == "." and not close and word in CONTINUING:
             return 0
+        if kind == "quote" and c[5] >= 0:
+            begins, told, bracket, caseless = _lead(text, b, c)
+            if bracket:
+                return int(begins and not (cased and following.islower()))
+            if caseless:
+                return int(told and not begins)
+            if begins and following in "—–-":
+                return 0
+            if not cased:
+                return int(told)
         w = _first_word(text, nxt, e)
         if cased and following.islower() and not _NAME.match(text, nxt) and self.opening[w] * 50 < self.any[w] and text[b:nxt].lower() != text[b:nxt]:
             return 0
         return None
 
-    def features(self, text: str, b: int, e: int, c: tuple, cased: bool) -> list[str]:
-        end, nxt, term, close, kind = c[:5]
-        word = _last_word(text, b, end - len(term) - len(close))
-        shape, following = _shape(word), text[nxt]
+    def _used(self, text: str, b: int, e: int, c: tuple, cased: bool) -> tuple[bool, bool]:
+        """Whether the word before a candidate ends, and the word after it opens, more than every fiftieth time."""
+        w, v = _shape(_last_word(text, b, c[0] - len(c[2]) - len(c[3]))), _first_word(text, c[1], e)
+        v = v if cased else _uncased(v)
+        return self.final[w] * 50 > self.seen[w], self.opening[v] * 50 > self.any[v]
+
+    def signature(self, text: str, b: int, e: int, c: tuple, cased: bool) -> tuple:
+        """What the features of a candidate depend on."""
+        end, nxt, term, close, kind, opener = c
+        following = text[nxt]
         w = _first_word(text, nxt, e)
         w = w if cased else _uncased(w)
-        case = "upper" if following.isupper() else "lower" if following.islower() else "digit" if following.isdigit() else "mark" if not following.isalpha() else "plain"
-        if case in ("upper", "lower") and _NAME.match(text, nxt):
-            case = "name"  # of a file or a variable: its case says nothing
-        elif not cased and case in ("upper", "lower"):
-            case = "uncased"
-        full = term in (".", "．") and not close
-        rate = self.final[shape] / self.seen[shape] if self.seen[shape] >= LEAST_SEEN else -1
-        opens = self.opening[w] / self.any[w] if self.any[w] >= LEAST_SEEN else -1
-        rates = "none" if rate < 0 else "0" if rate == 0 else "low" if rate < 0.03 else "some" if rate < 0.15 else "often"
+        upper, lower = following.isupper(), following.islower()
+        case = "pause" if following in _PAUSE else "upper" if upper else "lower" if lower else "digit" if following.isdigit() else "mark" if not following.isalpha() else "plain"
+        if upper or lower:
+            if _NAME.match(text, nxt):
+                case = "name"  # of a file or a variable: its case says nothing
+            elif not cased:
+                case = "uncased"
+        n = self.any[w]
+        opens = self.opening[w] / n if n >= LEAST_SEEN else -1
         opened = "none" if opens < 0 else "0" if opens == 0 else "low" if opens < 0.01 else "some" if opens < 0.05 else "often"
         mark = "wide" if term and term[-1] in _WIDE else "dots" if term.startswith(("...", "…")) else "dot" if term == "." else term[-1:] or "blank"
+        more: tuple = ()
+        if kind == "tight":
+            more = self._used(text, b, e, c, cased)
+        elif kind == "quote" and opener >= 0:
+            begins, told, bracket, caseless = _lead(text, b, c)
+            more = (begins, told, bracket, caseless, cased, following in "—–-")
+        elif term in (".", "．") and not close:
+            word = _last_word(text, b, end - len(term))
+            shape = _shape(word)
+            n = self.seen[shape]
+            rate = self.final[shape] / n if n >= LEAST_SEEN else -1
+            before = ""
+            if word.isdigit() and (m := _BEFORE_NUMBER.search(text[max(b, end - 30) : end - len(term)])):
+                before = m.group(1).lower()
+            more = ("none" if rate < 0 else "0" if rate == 0 else "low" if rate < 0.03 else "some" if rate < 0.15 else "often", "#" if word.isdigit() else word, before)
+        return (kind, case, mark, opened, more)
+
+    @staticmethod
+    def features(signature: tuple) -> list[str]:
+        kind, case, mark, opened, more = signature
+        if kind == "tight":
+            return [f"tight|ends={more[0]}|opens={more[1]}", f"tight|case={case}", f"tight|ends={more[0]}", f"tight|opens={more[1]}"]
         out = ["bias", f"mark={mark}", f"mark={mark}|case={case}", f"kind={kind}|case={case}", f"opens={opened}|case={case}", f"mark={mark}|case={case}|opens={opened}"]
-        if full:
+        if kind == "quote" and more:
+            begins, told, bracket, caseless, cased, dash = more
+            lead = f"begins={begins}|told={told}"
+            out += [f"{lead}|bracket={bracket}", f"bracket={bracket}|begins={begins}|case={case}", f"caseless={caseless}|bracket={bracket}|{lead}", f"cased={cased}|bracket={bracket}|{lead}", f"dash={dash}|bracket={bracket}|begins={begins}"]
+        elif more:
+            rates, word, before = more
             known = "go" if word in CONTINUING else "end" if word in ENDING else "no"
-            size = "one" if len(word) == 1 and word.isalpha() else "number" if word.isdigit() else "short" if len(word) <= 3 else "long"
+            size = "one" if len(word) == 1 and word.isalpha() else "number" if word == "#" else "short" if len(word) <= 3 else "long"
             out += [f"final={rates}", f"final={rates}|case={case}", f"known={known}", f"known={known}|case={case}|opens={opened}", f"size={size}", f"size={size}|case={case}", f"dots={'.' in word}|case={case}"]
-            if word.isdigit():
-                m = re.search(r"([^\W\d_]+\.?)\s+\d+$", text[max(b, end - 30) : end - len(term)])
-                before = m.group(1).lower() if m else ""
+            if word == "#":
                 out += [f"number|opens={opened}|case={case}", f"before={before}", f"before={before}|opens={opened}"]
             else:
                 out.append(f"word={word[:12]}")
@@ -415,15 +484,18 @@ class Boundaries:
 
     def _fit(self, rows: list[list[str]], labels: list[int], rounds: int) -> None:
         if not rows or len(set(labels)) < 2:
-            self.weights = {"bias": 1.0, "known=go": -6.0, "kind=stop|case=lower": -4.0}
+            self.weights = {"bias": 1.0, "known=go": -6.0, "kind=stop|case=lower": -4.0, "tight|ends=True|opens=True": 1.0}
             return
         count = Counter(f for r in rows for f in r)
         names = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 3))}
         owner = np.array([k for k, r in enumerate(rows) for f in r if f in names])
         column = np.array([names[f] for r in rows for f in r if f in names])
         y = np.array(labels, dtype=np.float64)
-        # either class weighs the same
-        share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+        # either class weighs the same, among the terminators without a blank and among the others
+        share = np.zeros(len(y))
+        tight = np.array([r[0].startswith("tight") for r in rows])
+        for part in (tight, ~tight):
+            share[part] = np.where(y[part] == 1, 0.5 / max(1, y[part].sum()), 0.5 / max(1, (1 - y[part]).sum())) * part.sum()
         w, first, second = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
         for t in range(1, rounds + 1):
             z = np.bincount(owner, weights=w[column], minlength=len(y))
@@ -434,41 +506,32 @@ class Boundaries:
         self.weights = {f: float(w[k]) for f, k in names.items()}
 
     def divides(self, text: str, b: int, e: int, c: tuple, cased: bool) -> bool:
-        """Whether a candidate is a boundary."""
-        end, nxt, term, close, kind = c[:5]
-        following = text[nxt]
-        if following in ",;:，；：、)]）」』»”":
-            return False
-        if kind == "tight":
-            # rather a name with a dot, unless both words are used to ending and opening sentences
-            w, v = _shape(_last_word(text, b, end - len(term))), _first_word(text, nxt, e)
-            v = v if cased else _uncased(v)
-            return self.final[w] * 50 > self.seen[w] and self.opening[v] * 50 > self.any[v]
-        if kind == "quote":
-            opened = c[5]
-            if opened >= 0:
-                lead = text[max(b, opened - 40) : opened].rstrip()
-                begins = not lead or lead[-1] in _BOUNDS
-                bracket = text[opened] in "(（[【"
-                told = lead.endswith((":", "："))
-                if bracket:
-                    return begins and not (cased and following.islower())
-                caseless = not (following.isupper() or following.islower()) and following.isalpha()
-                if caseless:
-                    return told and not begins
-                if begins and following in "—–-":
-                    return False
-                if not cased:
-                    return told
-        return sum(self.weights.get(f, 0.0) for f in self.features(text, b, e, c, cased)) > 0
+        """Whether a candidate is a boundary, as the classifier has it."""
+        key = self.signature(text, b, e, c, cased)
+        known = self.memo.get(key)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            known = self.memo[key] = sum(self.weights.get(f, 0.0) for f in self.features(key)) > 0
+        return known
+
+
+#: What no sentence opens with.
+_PAUSE = ",;:，；：、)]）」』»”"
+_BEFORE_NUMBER = re.compile(r"([^\W\d_]+\.?)\s+\d+$")
+_BOUNDS = ".!?。！？।؟…\"”»」』）)"
 
 
-_BOUNDS = ".!?。！？।؟…\"”»」』）)"
+def _lead(text: str, b: int, c: tuple) -> tuple[bool, bool, bool, bool]:
+    """Of a closed quotation or bracket: whether it opens a sentence, whether a colon leads it in, whether it is a bracket, and whether a
+    letter of a script without case follows."""
+    lead, following = text[max(b, c[5] - 40) : c[5]].rstrip(), text[c[1]]
+    return not lead or lead[-1] in _BOUNDS, lead.endswith((":", "：")), text[c[5]] in "(（[【", following.isalpha() and not (following.isupper() or following.islower())
 
 
 def _cased(text: str) -> bool:
     """Whether letter case says something: the text has both capitals and small letters in number."""
-    small, capital = len(_SMALL.findall(text)), len(_CAPITAL.findall(text))
+    small, capital = sum(map(len, _SMALL.findall(text))), sum(map(len, _CAPITAL.findall(text)))
     return not (small and capital * 200 < small) and not (capital and small * 4 < capital)
 
 
