@@ -2,8 +2,9 @@
 
 Code, paths and identifiers are taken out. The script of a word narrows the languages that it can be of; a word model with a
 letter-trigram fallback scores it for each of those; Viterbi with a penalty for a switch (small between sentences, large inside
-one) labels every word. All texts of a batch take their Viterbi steps together, so a step is a few array operations. The model
-is trained on a bounded sample of labelled texts.
+one) labels every word. The runs of its path are the segments; sentences get the language of most of their words. A stretch whose
+words and letters are far from what its best language has is of none that the model knows (``und``). All texts of a batch take their
+Viterbi steps together, so a step is a few array operations. The model is trained on a bounded sample of labelled texts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ MIN_WORDS, MIN_CHARS = 3, 5
 #: A shorter sentence counts if each of its words is in its language and all together speak for it, against the next, by so much.
 CLEAR = 9.0
 
+#: A stretch is of no known language if it has so many words, at most this share of them known in its language, and letters on average so
+#: many standard deviations less likely than those of the language's own words.
+LEAST_WORDS, KNOWN_SHARE, ODD = 4, 0.1, 2.8
+UNDETERMINED = "und"
+
 # Labels in other spellings, by code.
 NAMES = {
     "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french français francais", "es": "spa spanish español espanol castellano",
@@ -66,11 +73,30 @@ _CODE = re.compile(
     re.S,
 )
 _CODE_LINE = re.compile(
-    r"(?m)^[ \t>]*(?:\d+[ \t]+)?(?:[^\n]*[;{]|[{}\[\]();,]+|(?:import|from|def|const|let|var|return|export|private|public|static|class|function|set|cd|node|echo|app|git|if|for|while)\b[^\n]*[=({;:][^\n]*"
-    r"|set -[a-z]|cd [^\n]*&&[^\n]*|<[^\n]*>|#!?[ \t]*see[^\n]*|[\w.\" -]{1,40}\"?[ \t]*(?:=|:=)[ \t]*[^\n]*|\"[^\"\n]*\":[^\n]*|[A-Z_]{3,}=[^\n]*|\[[^\n\]]*\]|(?:replicas|version|timeout|name|kind|size|retries|image|etag|value)\"?:[ \t]*\S+)[ \t]*$"
+    r"(?m)^[ \t>]*(?:\d+[ \t]+)?(?:"
+    # a statement's end; prose that ends so has more words and no signs
+    r"[^\n]*\{|[^\n]*[=(){}\[\]<>\"$][^\n]*;|\w+(?:[ \t]+\w+)?;|[{}\[\]();,]+"
+    r"|(?:import|from|def|const|let|var|return|export|private|public|static|class|function|set|cd|node|echo|app|git)\b[^\n]*[=({;:][^\n]*"
+    r"|(?:if|for|while)\b(?:[ \t]*\([^\n]*|[^\n]*[=<>(][^\n]*:)"
+    r"|set -[a-z]|cd [^\n]*&&[^\n]*|<[^\n]*>|#!?[ \t]*see[^\n]*|[\w.\" -]{1,40}\"?[ \t]*(?:=|:=)[ \t]*[^\n]*|\"[^\"\n]*\":[^\n]*|[A-Z_]{3,}=[^\n]*|\[[^\n\]]*\]"
+    # a setting: a name in small letters and one value
+    r"|(?:-[ \t]+)?[a-z][a-z0-9_.-]*:[ \t]*(?:\S*[^A-Za-z\s]\S*|[A-Za-z][\w-]*)?"
+    r")[ \t]*$"
 )
+_CODE_MARK = re.compile(r"[;{}=<>\[\]#]|\bset -|&&|\":|[(][^)]*:|(?m:^[ \t>-]*[a-z][a-z0-9_.-]*:)")
+_CLUSTER = regex.compile(r"\X")
+
 
-_CODE_MARK = re.compile(r"[;{}=<>\[\]#]|\bset -|\b(?:replicas|version|timeout|name|kind|size|retries|image|etag|value)\b|&&|\":|[(][^)]*:")
+def composed(text: str) -> tuple[str, list[int] | None]:
+    """The text in composed form, and for each of its characters (and the end) the place in the original; None where nothing changed."""
+    if unicodedata.is_normalized("NFC", text):
+        return text, None
+    parts, place = [], []
+    for m in _CLUSTER.finditer(text):
+        c = unicodedata.normalize("NFC", m.group())
+        parts.append(c)
+        place += [m.start()] * len(c) if len(c) != len(m.group()) else range(m.start(), m.end())
+    return "".join(parts), [*place, len(text)]
 
 
 def label_code(label: str | None) -> str | None:
@@ -114,7 +140,7 @@ class Model:
         letters: dict[str, Counter] = defaultdict(Counter)
         scripts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in samples:
-            for kind, form, _, _ in tokens(unicodedata.normalize("NFC", text)):
+            for kind, form, _, _ in tokens(composed(text)[0]):
                 if kind in ("line", "stop"):
                     continue
                 scripts[lang][kind] += len(form)
@@ -136,20 +162,31 @@ class Model:
         self.count = {lang: Counter(dict(c.most_common(words))) for lang, c in self.count.items()}
         self.tri = dict(letters)
         self.tri_total = {lang: sum(c.values()) for lang, c in letters.items()}
-        self.cache: dict[tuple[str, str], np.ndarray | None] = {}
+        self.cache: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray] | None] = {}
+        # how likely the letters of a language's own words are: the mean and spread that the test for unknown languages needs
+        self.usual = np.zeros((len(self.langs), 2), dtype=np.float32)
+        for lang in self.langs:
+            own = [(self._letters(w, lang), n) for w, n in self.count[lang].items() if len(w) > 1]
+            values, weights = np.array([v for v, _ in own] or [0.0]), np.array([n for _, n in own] or [1.0])
+            mean = np.average(values, weights=weights)
+            self.usual[at[lang]] = mean, max(0.1, np.sqrt(np.average((values - mean) ** 2, weights=weights)))
+
+    def _letters(self, w: str, lang: str) -> float:
+        """Log likelihood of a word's letters, per trigram."""
+        padded, tri, t = f" {w} ", self.tri.get(lang, {}), self.tri_total.get(lang, 0)
+        return sum(log((tri.get(padded[k : k + 3], 0) + 0.02) / (t + 0.02 * 20_000)) for k in range(len(padded) - 2)) / max(1, len(w))
 
     def _log(self, w: str, lang: str, script: str) -> float:
         n, total = self.count.get(lang, {}).get(w, 0), self.total.get(lang, 0)
         if script in _NO_SPACES:
             return log((n + 0.05) / (total + 0.05 * 5_000))
-        padded, tri, t = f" {w} ", self.tri.get(lang, {}), self.tri_total.get(lang, 0)
-        guess = sum(log((tri.get(padded[k : k + 3], 0) + 0.02) / (t + 0.02 * 20_000)) for k in range(len(padded) - 2))
-        guess = max(guess, -60.0)
+        guess = max(self._letters(w, lang) * max(1, len(w)), -60.0)
         smooth = 5.0 * np.exp(guess / max(1, len(w)) * 3)
         return log((n + smooth) / (total + 5.0))
 
-    def scores(self, kind: str, form: str) -> np.ndarray | None:
-        """Log scores by language, the best at 0; None for a script that no language of the model is written in."""
+    def scores(self, kind: str, form: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Log scores by language, the best at 0; whether the word is known, and how odd its letters are (in standard deviations), by
+        language. None for a script that no language of the model is written in."""
         key = (kind, form if kind in _NO_SPACES else _plain(form, kind))
         if key in self.cache:
             return self.cache[key]
@@ -166,29 +203,38 @@ class Model:
             best = max(sums.values())
             for k, v in sums.items():
                 out[k] = max(v - best, -CLIP * (max(1, len(form) // 4) if kind == "cjk" else 1))
+            known, odd = np.ones(len(self.langs), dtype=np.float32), np.zeros(len(self.langs), dtype=np.float32)
+            if kind not in _NO_SPACES:
+                for k in sums:
+                    known[k] = key[1] in self.count.get(self.langs[k], ())
+                    odd[k] = 0.0 if known[k] else (self.usual[k, 0] - self._letters(key[1], self.langs[k])) / self.usual[k, 1]
+            out = (out, known, odd)
         if len(self.cache) > 500_000:
             self.cache.clear()
         self.cache[key] = out
         return out
 
 
-def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
-    """For each text its sentences in order: (language, confidence, start, end), from 0; nothing for texts without language.
+def label_texts(model: Model, texts: list[str | None]) -> tuple[list[list[tuple[str, float, int, int]]], list[list[tuple[str, float, int, int]]]]:
+    """For each text its sentences, and its segments: lists of (language, confidence, start, end) in order, from 0, as places in the text
+    as given; nothing for texts without language.
 
-    A sentence gets the language that Viterbi gives most of its words; the confidence is the share of its words in that
+    Segments are the runs of one language in the Viterbi path, over sentences and inside them; a whole segment may be ``und``. A
+    sentence gets the language that the path gives most of its words. The confidence is the share of its words in that
     language, weighted by how clearly the scores speak for it. Short sentences count where
-    their words speak clearly for one language, and the longest where a text has nothing else.
+    their words speak clearly for one language, and the longest where a text has nothing else; ``und`` ones don't count.
     """
     n = len(model.langs)
     place: dict[int, int] = {}
-    rows: list[np.ndarray] = []
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     word, gaps, begins, ends, loose, sentences = [], [], [], [], [], []
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     sentence = 0
     for k, text in enumerate(texts):
         gap = 2
         sentence += 1
-        for kind, form, start, end in tokens(unicodedata.normalize("NFC", text)) if text else ():
+        plain, origin = composed(text) if text else ("", None)
+        for kind, form, start, end in tokens(plain) if plain else ():
             if kind == "line" or kind == "stop":
                 sentence += 1
                 gap = max(gap, 2 if kind == "line" else 1)
@@ -201,22 +247,72 @@ def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, f
                     rows.append(s)
                 word.append(at)
                 gaps.append(gap)
-                begins.append(start)
-                ends.append(end)
+                begins.append(origin[start] if origin else start)
+                ends.append(origin[end] if origin else end)
                 loose.append(kind in _NO_SPACES)
                 sentences.append(sentence)
                 gap = 0
         first[k + 1] = len(word)
     out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+    runs: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
     if not word:
-        return out
-    scores = np.stack(rows)[np.array(word)]
+        return out, runs
+    word = np.array(word)
+    scores = np.stack([r[0] for r in rows])[word]
     cost = np.array([SWITCH_INSIDE, SWITCH_SENTENCE, SWITCH_LINE], dtype=np.float32)[np.array(gaps)]
+    path = _viterbi(scores, cost, first)
+
+    begin, end, free = np.array(begins), np.array(ends), np.array(loose)
+    weight = np.where(free, np.maximum(1, (end - begin) // 2), 1).astype(np.float32)
+    known, odd = np.stack([r[1] for r in rows]), np.stack([r[2] for r in rows])
+
+    def judged(new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the stretches that begin where ``new`` is set: first word, language, whether the path has no other, margin, confidence, whether it is of no known language, and its end."""
+        heads, number = np.flatnonzero(new), np.cumsum(new) - 1
+        share = np.zeros((len(heads), n), dtype=np.float32)
+        np.add.at(share, (number, path), weight)
+        lang = share.argmax(axis=1)
+        at = np.arange(len(word))
+        mine, others = scores[at, lang[number]], scores.copy()
+        others[at, lang[number]] = -np.inf
+        margin = np.add.reduceat(mine - others.max(axis=1), heads) if n > 1 else np.full(len(heads), CLIP)
+        sure = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        own, whole = share[np.arange(len(heads)), lang], share.sum(axis=1)
+        words = np.diff(np.append(heads, len(word)))
+        strange = np.add.reduceat(odd[word, lang[number]], heads) / words
+        unknown = (words >= LEAST_WORDS) & (np.add.reduceat(known[word, lang[number]], heads) <= KNOWN_SHARE * words) & (strange > ODD) & ~np.logical_or.reduceat(free, heads)
+        confidence = np.where(unknown, 1 - np.add.reduceat(known[word, lang[number]], heads) / words, own / whole * sure)
+        return heads, lang, own == whole, margin, np.round(confidence, 4), unknown, end[np.append(heads[1:], len(word)) - 1]
+
+    opens = np.zeros(len(word), dtype=bool)
+    opens[first[:-1][first[:-1] < first[1:]]] = True
+    heads, lang, alone, margin, confidence, unknown, tails = judged(opens | (np.diff(sentences, prepend=-1) != 0))
+    whole = (np.diff(np.append(heads, len(word))) >= MIN_WORDS) | (np.logical_or.reduceat(free, heads) & (np.add.reduceat(end - begin, heads) >= MIN_CHARS))
+    whole |= (margin >= CLEAR) & alone
+    owner = np.searchsorted(first, heads, side="right") - 1
+    found: list[list[int]] = [[] for _ in texts]
+    for s, k in enumerate(owner.tolist()):
+        if not unknown[s]:
+            found[k].append(s)
+    for k, own in enumerate(found):
+        kept = [s for s in own if whole[s]] or sorted(own, key=lambda s: int(begin[heads[s]] - tails[s]))[:1]
+        out[k] = [(model.langs[lang[s]], float(confidence[s]), int(begin[heads[s]]), int(tails[s])) for s in kept]
+
+    heads, lang, _, _, confidence, unknown, tails = judged(opens | (np.diff(path, prepend=-1) != 0))
+    owner = np.searchsorted(first, heads, side="right") - 1
+    for s, k in enumerate(owner.tolist()):
+        runs[k].append((UNDETERMINED if unknown[s] else model.langs[lang[s]], float(confidence[s]), int(begin[heads[s]]), int(tails[s])))
+    return out, runs
+
+
+def _viterbi(scores: np.ndarray, cost: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The best language of every word, all texts' steps taken together; text k has the words first[k] to first[k + 1]."""
+    n = scores.shape[1]
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths, starts = lengths[order], first[:-1][order]
     best = np.zeros((len(order), n), dtype=np.float32)
-    back = np.zeros((len(word), n), dtype=np.int8)
+    back = np.zeros((len(scores), n), dtype=np.int8)
     every = np.arange(n, dtype=np.int8)[None, :]
     for t in range(int(sorted_lengths[0])):
         live = int(np.searchsorted(-sorted_lengths, -t, side="left"))
@@ -230,41 +326,14 @@ def label_texts(model: Model, texts: list[str | None]) -> list[list[tuple[str, f
         stay = now >= switched[:, None]
         back[at] = np.where(stay, every, top[:, None].astype(np.int8))
         best[:live] = np.where(stay, now, switched[:, None]) + scores[at]
-    path = np.zeros(len(word), dtype=np.int8)
+    path = np.zeros(len(scores), dtype=np.int8)
     state = best.argmax(axis=1)
     for t in range(int(sorted_lengths[0]) - 1, -1, -1):
         live = int(np.searchsorted(-sorted_lengths, -t, side="left"))
         at = starts[:live] + t
         path[at] = state[:live]
         state[:live] = back[at, state[:live]]
-
-    begin, end, free = np.array(begins), np.array(ends), np.array(loose)
-    weight = np.where(free, np.maximum(1, (end - begin) // 2), 1).astype(np.float32)
-    new = np.concatenate([[True], np.diff(sentences) != 0])
-    heads = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
-    share = np.zeros((len(heads), n), dtype=np.float32)
-    np.add.at(share, (number, path), weight)
-    lang = share.argmax(axis=1)
-    mine = scores[np.arange(len(word)), lang[number]]
-    others = scores.copy()
-    others[np.arange(len(word)), lang[number]] = -np.inf
-    margin = np.add.reduceat(mine - others.max(axis=1), heads) if n > 1 else np.full(len(heads), CLIP)
-    sure = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-    confidence = np.round(share[np.arange(len(heads)), lang] / share.sum(axis=1) * sure, 4)
-    words_in = np.diff(np.append(heads, len(word)))
-    chars_in = np.add.reduceat(end - begin, heads)
-    whole = (words_in >= MIN_WORDS) | (np.logical_or.reduceat(free, heads) & (chars_in >= MIN_CHARS))
-    whole |= (margin >= CLEAR) & (share[np.arange(len(heads)), lang] == share.sum(axis=1))
-    tails = end[np.append(heads[1:], len(word)) - 1]
-    owner = np.searchsorted(first, heads, side="right") - 1
-    found: list[list[int]] = [[] for _ in texts]
-    for s, k in enumerate(owner.tolist()):
-        found[k].append(s)
-    for k, own in enumerate(found):
-        kept = [s for s in own if whole[s]] or sorted(own, key=lambda s: int(begin[heads[s]] - tails[s]))[:1]
-        out[k] = [(model.langs[lang[s]], float(confidence[s]), int(begin[heads[s]]), int(tails[s])) for s in kept]
-    return out
+    return path
 
 
 def train(labelled: DataFrame, per_lang: int = TRAINING_TEXTS, id_col: str = "id", lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -287,8 +356,9 @@ def train(labelled: DataFrame, per_lang: int = TRAINING_TEXTS, id_col: str = "id
     return Model(samples)
 
 
-def segments(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Per row of ``items`` and sentence: the other columns, ``lang``, ``confidence``, ``start_pos``, ``end_pos`` (characters from 1).
+def segments(items: DataFrame, model: Model, text: str = "text", sentences: bool = False) -> DataFrame:
+    """Per row of ``items`` and stretch of one language: the other columns, ``lang``, ``confidence``, ``start_pos``, ``end_pos``
+    (characters from 1 of the text as given). With ``sentences``, per row and whole sentence.
 
     Null and empty texts and texts of code alone give none. Rows are processed whole, without a shuffle.
     """
@@ -299,7 +369,7 @@ def segments(items: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for p in parts:
-            rows = [(k, lang, sure, a + 1, b) for k, found in enumerate(label_texts(m, list(p[text]))) for lang, sure, a, b in found]
+            rows = [(k, lang, sure, a + 1, b) for k, found in enumerate(label_texts(m, list(p[text]))[0 if sentences else 1]) for lang, sure, a, b in found]
             hits = pd.DataFrame(rows, columns=["_k", "lang", "confidence", "start_pos", "end_pos"])
             yield pd.concat([p[others].iloc[hits["_k"]].reset_index(drop=True), hits.drop(columns="_k")], axis=1)
 

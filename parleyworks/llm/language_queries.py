@@ -36,12 +36,13 @@ def trained(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of every message and fact, with its language and confidence."""
+    """Every stretch of one language of every message and fact, with its language and confidence."""
     return segments(items(spark, sf_dir), trained(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p6_segments(spark, sf_dir).groupBy("src_table", "row_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    whole = segments(items(spark, sf_dir), trained(spark, sf_dir), sentences=True)
+    found = whole.groupBy("src_table", "row_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
     judged = found.join(labels(spark, sf_dir), ["src_table", "row_id"], "left")
     right = (F.size("langs") == 1) & F.coalesce(F.col("label") == F.col("langs")[0], F.lit(False))
     return judged.where(~right).select("src_table", "row_id", F.explode("langs").alias("lang"))

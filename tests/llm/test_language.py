@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -20,7 +22,7 @@ def model():
 
 
 def langs(model, text):
-    return [s[0] for s in label_texts(model, [text])[0]]
+    return [s[0] for s in label_texts(model, [text])[0][0]]
 
 
 def test_single_and_mixed(model):
@@ -38,16 +40,17 @@ def test_variants(model):
 
 def test_code_has_no_language(model):
     for t in ("`read_queue(30)`", "```\nx = open_file[3]\n```", "/work/src/open_file.ts:32", "", None, "1234 !!", "setItem(42)"):
-        assert label_texts(model, [t]) == [[]]
+        assert label_texts(model, [t]) == ([[]], [[]])
 
 
 def test_positions_and_confidence(model):
     t = "The parser returns an empty list. Die alte Sperre hält das Archiv offen."
-    found = label_texts(model, [t, t])
+    found, runs = label_texts(model, [t, t])
     assert found[0] == found[1]
     (a, ca, s1, e1), (b, cb, s2, e2) = found[0]
     assert (t[s1:e1], t[s2:e2]) == ("The parser returns an empty list", "Die alte Sperre hält das Archiv offen")
     assert 0.5 < ca <= 1 and 0.5 < cb <= 1
+    assert [r[0] for r in runs[0]] == ["en", "de"] and [r[2:] for r in runs[0]] == [(s1, e1), (s2, e2)]
 
 
 def test_labels():
@@ -66,7 +69,7 @@ def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     model = train(docs.where("doc_id % 2 = 0"), id_col="doc_id")
     rows = docs.where("doc_id % 2 = 1 and lang is not null and length(text) > 0").select("lang", "text").collect()
-    found = label_texts(model, [r["text"] for r in rows])
+    found = label_texts(model, [r["text"] for r in rows])[0]
     right = [max(set(x := [s[0] for s in f]), key=x.count) == r["lang"].lower() for r, f in zip(rows, found) if f]
     assert np.mean(right) > 0.97
 
@@ -77,3 +80,42 @@ def test_a_short_sentence_that_is_clear_counts():
     assert langs(model, "The parser returns an empty list. Vielen Dank. Nobody reads the file.") == ["en", "de", "en"]
     assert langs(model, "The parser returns an empty list. Спасибо. Nobody reads the file.") == ["en", "ru", "en"]
     assert langs(model, "The parser returns an empty list. Oskel. Nobody reads the file.") == ["en", "en"]
+
+
+@pytest.fixture(scope="module")
+def trained(spark, data):
+    return train(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"), id_col="doc_id")
+
+
+def spans(model, text):
+    return [(lang, text[a:b]) for lang, _, a, b in label_texts(model, [text])[1][0]]
+
+
+def test_a_stretch_inside_a_sentence_is_a_segment(trained):
+    text = "The parser logs a warning and el trabajo nocturno devuelve una lista vacía desde el martes pasado before the lease expires and the archive is full."
+    assert [lang for lang, _ in spans(trained, text)] == ["en", "es", "en"]
+    assert spans(trained, text)[1][1].startswith("el trabajo") and spans(trained, text)[1][1].endswith("martes pasado")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Det gamla låset håller arkivet öppet innan tiden går ut och ingen läser filen längre.", "Vanha lukko pitää arkiston avoinna ennen kuin määräaika umpeutuu eikä kukaan lue tiedostoa.",
+        "Stary zamek trzyma otwarte archiwum przed upływem terminu i nikt nie czyta pliku.", "Αυτό το αρχείο μένει ανοιχτό μέχρι τη λήξη της προθεσμίας.",
+    ],
+)
+def test_languages_that_the_model_does_not_know(trained, text):
+    whole, runs = label_texts(trained, [text])
+    assert whole[0] == [] and {r[0] for r in runs[0]} <= {"und"}
+
+
+def test_places_are_those_of_the_text_as_given(trained):
+    text = unicodedata.normalize("NFD", "Die alte Sperre hält das Archiv offen, weil die Schlange über Nacht voll läuft.")
+    assert spans(trained, text) == [("de", text[:-1])]
+
+
+def test_prose_that_ends_like_code_is_prose(trained):
+    for t in ("Wir haben das gestern so besprochen;", "For the record, the archive is full (as before).", "If the build fails, nobody reads the log; the parser keeps it.", "Zur Erinnerung: das Archiv ist voll."):
+        assert label_texts(trained, [t])[0][0], t
+    for t in ("return x;", "const a = f(1);", "  replicas: 3\n  image: repo/app:1.2\n  kind: Deployment", "for i in range(10):", "if (x == 1) {", "etag: ab12", "break;"):
+        assert label_texts(trained, [t])[0][0] == [], t
