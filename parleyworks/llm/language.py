@@ -122,7 +122,7 @@ def _plain(word: str, script: str) -> str:
 
 def tokens(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, form, start, end) of the words and boundaries of a text without its code; kind is a script, ``line`` or ``stop``."""
-    if "\n" in text or "`" in text or "=" in text or "/" in text or "_" in text or re.search(r"[A-Za-z0-9]\.[A-Za-z]|[a-z][A-Z0-9]|;", text):
+    if "\n" in text or "`" in text or "=" in text or "/" in text or "_" in text or re.search(r"[A-Za-z0-9]\.[A-Za-z]|[a-z][A-Z0-9(]|;|:$", text):
         keep = lambda m: re.sub(r"[^\n]", " ", m.group(0))
         text = _CODE.sub(keep, text)
         if _CODE_MARK.search(text):
