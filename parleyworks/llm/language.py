@@ -77,7 +77,7 @@ _CODE_LINE = re.compile(
     # a statement's end; prose that ends so has more words and no signs
     r"[^\n]*\{|[^\n]*[=(){}\[\]<>\"$][^\n]*;|\w+(?:[ \t]+\w+)?;|[{}\[\]();,]+"
     r"|(?:import|from|def|const|let|var|return|export|private|public|static|class|function|set|cd|node|echo|app|git)\b[^\n]*[=({;:][^\n]*"
-    r"|(?:if|for|while)\b(?:[ \t]*\([^\n]*|[^\n]*[=<>(][^\n]*:)"
+    r"|(?:if|for|while)\b(?:[ \t]*\([^\n]*|[^\n]*[=<>(][^\n]*:|[^\n]*[ \t]:)"
     r"|set -[a-z]|cd [^\n]*&&[^\n]*|<[^\n]*>|#!?[ \t]*see[^\n]*|[\w.\" -]{1,40}\"?[ \t]*(?:=|:=)[ \t]*[^\n]*|\"[^\"\n]*\":[^\n]*|[A-Z_]{3,}=[^\n]*|\[[^\n\]]*\]"
     # a setting: a name in small letters and one value
     r"|(?:-[ \t]+)?[a-z][a-z0-9_.-]*:[ \t]*(?:\S*[^A-Za-z\s]\S*|[A-Za-z][\w-]*)?"
