@@ -83,7 +83,7 @@ _CODE_LINE = re.compile(
     r"|(?:-[ \t]+)?[a-z][a-z0-9_.-]*:[ \t]*(?:\S*[^A-Za-z\s]\S*|[A-Za-z][\w-]*)?"
     r")[ \t]*$"
 )
-_CODE_MARK = re.compile(r"[;{}=<>\[\]#]|\bset -|&&|\":|[(][^)]*:|(?m:^[ \t>-]*[a-z][a-z0-9_.-]*:)")
+_CODE_MARK = re.compile(r"[;{}=<>\[\]#]|\bset -|&&|\":|[(][^)]*:|(?m:^[ \t>-]*[a-z][a-z0-9_.-]*:)|(?m:\b(?:if|for|while)\b[^\n]*:[ \t]*$)")
 _CLUSTER = regex.compile(r"\X")
 
 

@@ -4,7 +4,8 @@ Texts are brought to one form: compatibility forms resolved, letter case and mar
 characters dropped, words (runs of letters and digits) taken. Any run of ``run`` words of an item holds, among pieces of
 ``piece`` words laid end to end over the item, at least budget + 1 whole pieces; so a document with at most ``budget`` errors in
 such a run holds one of them exactly. Piece hits are looked up by a rolling window of words against a table of the items'
-pieces; around a hit Myers' bit-parallel distance bounds the errors of the stretch, and what passes is checked exactly.
+pieces; around a hit Myers' bit-parallel distance gives the errors of the stretch, and the least of them is reported: 0 for a
+passage that is there word by word, up to the budget for one that was edited.
 """
 
 from __future__ import annotations
@@ -15,17 +16,22 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Workspace
+
 #: Consecutive words of an item that make a leak.
 RUN = 12
-#: Edits, in words, that a stretch may differ by to be reported as near (0: exact runs only).
-BUDGET = 0
-#: The most items that are held in memory on every executor; more are matched in blocks.
+#: Edits, in words, that a stretch may differ by (0: exact runs only).
+BUDGET = 2
+#: The most items that are held in memory on every executor at once; more are matched in passes one after the other.
 ITEMS_PER_BLOCK = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
+# marks belong to the letter before them: a vowel sign doesn't end a word
+_MARKED_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]")
 
 
@@ -37,21 +43,7 @@ def plain_words(text: str | None) -> list[str]:
         return _WORD.findall(text.lower())
     t = _INVISIBLE.sub("", text)
     t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
-    # marks belong to the letter before them: a vowel sign doesn't end a word
-    out, word = [], []
-    for c in t:
-        kind = unicodedata.category(c)
-        if kind[0] in "LN":
-            word.append(c)
-        elif kind[0] == "M":
-            if word:
-                word.append(c)
-        elif word:
-            out.append("".join(word))
-            word = []
-    if word:
-        out.append("".join(word))
-    return out
+    return _MARKED_WORD.findall(t)
 
 
 def piece_length(run: int = RUN, budget: int = BUDGET) -> int:
@@ -107,9 +99,9 @@ class Pieces:
             for a in range(0, len(words) - self.piece + 1, self.piece):
                 self.at[tuple(words[a : a + self.piece])].append((k, a))
 
-    def leaks(self, text: str | None) -> list[object]:
-        """The ids of the items of which the text holds a run."""
-        found = []
+    def leaks(self, text: str | None) -> list[tuple[object, int]]:
+        """The items of which the text holds a run, with the least errors of such a run."""
+        found: list[tuple[object, int]] = []
         plain = plain_words(text)
         if len(plain) < self.run - self.budget:
             return found
@@ -125,40 +117,47 @@ class Pieces:
                 for item, a in self.at.get(tuple(words[k - p + 1 : k + 1]), ()):
                     hits[item].append((k - p + 1, a))
         for item, at in hits.items():
-            if any(self._verified(words, self.words[item], d, a) for d, a in at):
-                found.append(self.ids[item])
+            errors = self._errors(words, self.words[item], at)
+            if errors <= self.budget:
+                found.append((self.ids[item], errors))
         return found
 
-    def _verified(self, doc: list[int], item: list[int], d: int, a: int) -> bool:
-        """Whether a run of the item about its piece at a lies about position d of the document, within the budget."""
+    def _errors(self, doc: list[int], item: list[int], hits: list[tuple[int, int]]) -> int:
+        """The least distance of a run of the item about one of its pieces (item's place a) to what lies about the hit (document's place d)."""
         run, budget, p = self.run, self.budget, self.piece
-        low, high = max(0, a + p - run), min(len(item), a + run)
-        near = doc[max(0, d - (a - low) - budget) : d + (high - a) + budget]
-        for start in range(low, min(a, high - run) + 1):
-            pattern = item[start : start + run]
-            if min(myers(pattern, near), default=run) <= budget:
-                # within a budget of 0 this is equality, checked word by word
-                if budget or self._holds(near, pattern):
-                    return True
-        return False
-
-    @staticmethod
-    def _holds(text: list[int], pattern: list[int]) -> bool:
-        n = len(pattern)
-        return any(text[k : k + n] == pattern for k in range(len(text) - n + 1))
-
-
-def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, budget: int = BUDGET, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id): every document with the items of which it holds at least ``run`` consecutive words.
-
-    The items are the stated, small side: they go to the executors in blocks of at most ``ITEMS_PER_BLOCK``, each a pass over
-    the documents; no document moves. An item with fewer words than ``run`` cannot leak. Null and empty texts hold nothing.
+        least = budget + 1
+        seen: set[tuple[int, int]] = set()
+        for d, a in hits:
+            low, high = max(0, a + p - run), min(len(item), a + run)
+            for start in range(low, min(a, high - run) + 1):
+                # hits of one diagonal share their runs
+                if (start, d - a) in seen:
+                    continue
+                seen.add((start, d - a))
+                at = d - (a - start)
+                near = doc[max(0, at - budget) : at + run + budget]
+                # a run has at most ``least`` - 1 words that don't occur there at all, or its distance is no less
+                there = set(near)
+                if sum(w in there for w in item[start : start + run]) <= run - least:
+                    continue
+                least = min(least, min(myers(item[start : start + run], near), default=run))
+                if not least:
+                    return 0
+        return least
+
+
+def leaked(docs: DataFrame, items: DataFrame, ws: Workspace, run: int = RUN, budget: int = BUDGET, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """(doc_id, item_id, errors): every document with the items of which it holds at least ``run`` consecutive words with at most ``budget``
+    words changed, left out or added; errors is the least of these (0: word by word).
+
+    The items are the stated, small side: they go to the executors in blocks of at most about ``per_block``, one pass over the documents
+    after the other, so no more than a block is in memory anywhere; no document moves. An item with fewer words than ``run`` cannot
+    leak. Null and empty texts hold nothing.
     """
     spark = docs.sparkSession
-    count = items.count()
-    blocks = max(1, -(-count // ITEMS_PER_BLOCK))
+    blocks = max(1, -(-items.count() // per_block))
     kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}
-    schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}"
+    schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}, errors int"
     out = None
     for b in range(blocks):
         rows = items.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)).select(item_id, text).orderBy(item_id).collect()
@@ -167,9 +166,11 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, budget: int = BUDG
         def scan(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             pieces = held.value
             for p in parts:
-                hits = [(d, i) for d, t in zip(p[doc_id], p[text]) for i in pieces.leaks(t)]
-                yield pd.DataFrame(hits, columns=[doc_id, item_id])
+                yield pd.DataFrame([(d, i, e) for d, t in zip(p[doc_id], p[text]) for i, e in pieces.leaks(t)], columns=[doc_id, item_id, "errors"])
 
         found = docs.where(F.length(text) > 0).select(doc_id, text).mapInPandas(scan, schema)
+        if blocks > 1:
+            found = ws.save(found, "leaks")
+            held.destroy()
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.groupBy(doc_id, item_id).agg(F.min("errors").alias("errors"))
