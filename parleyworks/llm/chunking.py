@@ -1,7 +1,7 @@
 """Splitting oversized texts at natural boundaries, by packing the tree of their structure.
 
-A text is read as a tree: sections by heading level, blocks (paragraphs, lists, tables, fenced code), items and lines,
-sentences, words, characters. Sibling subtrees are merged bottom-up as long as they fit; only a node that is too large
+A text is read as a tree: sections by heading level, blocks (paragraphs, lists, tables, fenced code), items with the items below
+them by indent, lines, sentences, words, characters. Fenced code has lines, but no items and sentences. Sibling subtrees are merged bottom-up as long as they fit; only a node that is too large
 itself is descended into. Each piece but the first then begins with the end of the piece before it, the overlap.
 """
 
@@ -20,7 +20,10 @@ OVERLAP = 200
 
 _HEADING = re.compile(r"(?m)^(#{1,6})[ \t]+\S")
 _FENCE = re.compile(r"(?m)^[ \t]*(```|~~~)")
-_ITEM = re.compile(r"(?m)^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
+_ITEM = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:[-*+•]|\d{1,3}[.)])[ \t]+")
+_GAP = re.compile(r"\n[ \t]*\n\s*")
+_LINE = re.compile(r"\n")
+_WORD = re.compile(r"\s+|(?<=[,;:，、；：])")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？｡])[」』”’）]*|(?<=[।؟])\s*")
 
 
@@ -44,13 +47,20 @@ def _fences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: The level of list items.
+ITEMS = 7
+
+
 class _Tree:
     """Children of a span, level by level, found only when the span is descended into."""
 
     def __init__(self, text: str):
         self.text = text
         self.fences = _fences(text)
-        self.headings = [(m.start(), len(m.group(1))) for m in _HEADING.finditer(text) if not self._fenced(m.start())]
+        self.headings: list[list[int]] = [[] for _ in range(6)]
+        for m in _HEADING.finditer(text):
+            if not self._fenced(m.start()):
+                self.headings[len(m.group(1)) - 1].append(m.start())
 
     def _fenced(self, at: int) -> bool:
         i = bisect_left(self.fences, (at + 1, 0)) - 1
@@ -59,19 +69,22 @@ class _Tree:
     def split(self, a: int, b: int, level: int) -> list[int]:
         t = self.text
         if level < 6:  # headings of one rank; deeper ones belong to the section they stand in
-            return [p for p, rank in self.headings if rank == level + 1 and a < p < b]
+            of = self.headings[level]
+            return of[bisect_left(of, a + 1) : bisect_left(of, b)]
         if level == 6:  # blocks: fenced code, and what empty lines part
             cuts = {x for f in self.fences for x in f if a < x < b}
-            cuts |= {x for x in _cuts(re.compile(r"\n[ \t]*\n\s*"), t, a, b, True) if not self._fenced(x)}
+            cuts |= {x for x in _cuts(_GAP, t, a, b, True) if not self._fenced(x)}
             return sorted(cuts)
-        if level == 7:
-            return _cuts(_ITEM, t, a, b, False)
+        if level == ITEMS:  # the items with the least indent; those below them belong to them
+            items = [(m.start(), len(m.group("indent").expandtabs(4))) for m in _ITEM.finditer(t, a, b) if m.start() > a and not self._fenced(m.start())]
+            least = min((indent for _, indent in items), default=0)
+            return [x for x, indent in items if indent == least]
         if level == 8:
-            return _cuts(re.compile(r"\n"), t, a, b, True)
+            return _cuts(_LINE, t, a, b, True)
         if level == 9:
-            return _cuts(_SENTENCE, t, a, b, True)
+            return [x for x in _cuts(_SENTENCE, t, a, b, True) if not self._fenced(x - 1)]
         if level == 10:
-            return _cuts(re.compile(r"\s+|(?<=[,;:，、；：])"), t, a, b, True)
+            return _cuts(_WORD, t, a, b, True)
         return []
 
 
@@ -89,7 +102,8 @@ def _pack(tree: _Tree, a: int, b: int, level: int, limit: int) -> list[tuple[int
     spans: list[tuple[int, int]] = []
     edges = [a, *cuts, b]
     for x, y in zip(edges, edges[1:]):
-        parts = [(x, y)] if y - x <= limit else _pack(tree, x, y, level + 1, limit)
+        # an item may have items below it
+        parts = [(x, y)] if y - x <= limit else _pack(tree, x, y, level if level == ITEMS else level + 1, limit)
         for p in parts:
             if spans and p[1] - spans[-1][0] <= limit:
                 spans[-1] = (spans[-1][0], p[1])

@@ -56,10 +56,12 @@ def sainte_lague(shares: dict[str, float], seats: int, most: dict[str, int] | No
 def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Add ``tokens``: the number of tokens of ``text`` by the byte-level BPE whose ranks are in the file ``vocabulary``.
 
-    Null and empty texts have 0. Strings of special tokens count as ordinary text.
+    The file is read on the driver and sent to the executors, as large as the vocabulary; it needs to be nowhere else. Null and empty texts have 0. Strings of special tokens count as ordinary text.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text) + ", tokens bigint"
     others = [c for c in docs.columns if c != text]
+    with open(vocabulary, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
@@ -68,8 +70,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
 
         # Fixed value: the published split pattern of this vocabulary.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in held.value.splitlines() if line.strip())}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for p in parts:
             yield p[others].assign(tokens=[len(coder.encode_ordinary(t)) if t else 0 for t in p[text]])

@@ -54,3 +54,19 @@ def test_frames(spark):
     assert got.where("length(piece) > 2000").count() == 0
     assert split_texts(df, only_long=False).where("id = 3").count() == 1
     assert split_texts(df.limit(0)).count() == 0
+
+
+def test_nested_items_stay_with_their_item():
+    inner = "".join(f"  - inner {k} " + "word " * 8 + "\n" for k in range(3))
+    text = "".join(f"- outer {k} " + "word " * 8 + "\n" + inner for k in range(8))
+    p = holds(text, 420, 20)
+    assert all(text[b:].startswith("- outer") for _, b in p[:-1])
+    # an item that is too large itself is cut between the items below it
+    p = holds("- outer " + "word " * 8 + "\n" + inner * 6, 420, 20)
+    assert len(p) > 1 and all(("- outer " + "word " * 8 + "\n" + inner * 6)[b:].startswith("  - inner") for _, b in p[:-1])
+
+
+def test_items_and_sentences_inside_code_are_none():
+    code = "```\n" + "".join(f"- x{k}. Y = {k}\n" for k in range(40)) + "```\n"
+    p = holds("before\n\n" + code + "\nafter", 200, 0)
+    assert all(("before\n\n" + code + "\nafter")[b - 1] == "\n" for _, b in p[:-1])
