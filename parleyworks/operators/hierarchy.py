@@ -8,7 +8,7 @@ Nodes that no round reaches hang from a loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Workspace, skew_safe_lookup
@@ -38,18 +38,18 @@ def _rank_chains(ws: Workspace, links: DataFrame) -> DataFrame:
     inner = links.select(F.col("nid").alias("ptr"), F.lit(True).alias("_inner"))
     state = ws.save(
         links.join(inner, "ptr", "left").select("nid", "ptr", F.lit(1).cast("long").alias("dist"), F.col("_inner").isNull().alias("done")),
-        "chain",
+        "chain", done=F.count_if("done"),
     )
-    while True:
+    while state.seen["done"] < state.seen["rows"]:
         active = state.where(~F.col("done"))
         there = state.select(F.col("nid").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("done").alias("_done"))
         step = active.join(there, "ptr").select("nid", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"))
-        left, new = step.agg(F.count("*"), F.count_if("done")).first()
-        if left == 0 or new == 0:
-            break
-        merged = ws.save(state.where("done").unionByName(step), "chain")
+        merged = ws.save(state.where("done").unionByName(step), "chain", done=F.count_if("done"))
+        stuck = merged.seen["done"] == state.seen["done"]
         ws.drop(state)
         state = merged
+        if stuck:
+            break
     return state.where("done").select("nid", F.col("ptr").alias("head"), "dist")
 
 
@@ -71,7 +71,7 @@ def build_hierarchy(nodes: DataFrame, ws: Workspace, id_col: str = "id", parent_
     )
     named = ws.save(distinct.withColumn("nid", F.monotonically_increasing_id()), "named")
     ids = named.select(F.col("id").alias("parent"), F.col("nid").alias("par"))
-    tree = ws.save(skew_safe_lookup(named.select("nid", "parent"), ids, "parent").select("nid", "par"), "tree")
+    tree = ws.save(skew_safe_lookup(named.select("nid", "parent"), ids, "parent", rows=named.seen["rows"]).select("nid", "par"), "tree")
 
     only = (
         tree.where(F.col("par").isNotNull())
@@ -93,10 +93,10 @@ def build_hierarchy(nodes: DataFrame, ws: Workspace, id_col: str = "id", parent_
     lengths = placed.groupBy("head").agg((F.max("dist") + 1).alias("len"))
     heads = placed.where("dist = 0").select(F.col("nid").alias("head"), "par").join(lengths, "head")
     above = placed.select(F.col("nid").alias("par"), F.col("head").alias("up"), (F.col("dist") + 1).alias("hop"))
-    heads = ws.save(skew_safe_lookup(heads, above, "par").select("head", "len", "up", "hop", F.col("par").isNotNull().alias("child")), "heads")
+    heads = ws.save(skew_safe_lookup(heads, above, "par", rows=placed.seen["rows"]).select("head", "len", "up", "hop", F.col("par").isNotNull().alias("child")), "heads")
 
     done_heads = _ranges(ws, heads)
-    full = skew_safe_lookup(placed.select("nid", "head", "dist"), done_heads, "head", "inner")
+    full = skew_safe_lookup(placed.select("nid", "head", "dist"), done_heads, "head", "inner", rows=placed.seen["rows"])
     numbered = full.select(
         "nid",
         "root",
@@ -105,7 +105,7 @@ def build_hierarchy(nodes: DataFrame, ws: Workspace, id_col: str = "id", parent_
         (F.col("head_pre") + F.col("dist")).alias("tree_pre"),
     )
     roots = named.select(F.col("nid").alias("root"), F.col("id").alias("root_id"))
-    numbered = ws.save(skew_safe_lookup(numbered, roots, "root"), "numbered")
+    numbered = ws.save(skew_safe_lookup(numbered, roots, "root", rows=placed.seen["rows"]), "numbered")
     return (
         named.join(numbered, "nid", "left")
         .select(
@@ -130,26 +130,25 @@ def _ranges(ws: Workspace, heads: DataFrame) -> DataFrame:
             F.coalesce("hop", F.lit(0)).cast("long").alias("way"),
             F.col("len").alias("size"),
             (~F.col("child")).alias("done"),
-                    ).where("done or anc != head"),
-        "up",
-    )
-    while True:
+        ).where("done or anc != head"),
+        "up", done=F.count_if("done"),
+    )
+    while state.seen["done"] < state.seen["rows"]:
         active = state.where(~F.col("done"))
         gained = active.groupBy(F.col("anc").alias("head")).agg(F.sum("size").alias("more"))
         there = state.select(F.col("head").alias("anc"), F.col("anc").alias("_anc"), F.col("way").alias("_way"), F.col("done").alias("_done"))
-        step = skew_safe_lookup(active, there, "anc", "inner").select(
+        step = skew_safe_lookup(active, there, "anc", "inner", rows=state.seen["rows"] - state.seen["done"]).select(
             "head", F.col("_anc").alias("anc"), (F.col("way") + F.col("_way")).alias("way"), "size", F.col("_done").alias("done")
         )
         merged = ws.save(
             state.where("done").unionByName(step).join(gained, "head", "left")
             .select("head", "anc", "way", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "done"),
-            "up",
-        )
-        n, new = merged.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
-        before = state.agg(F.count_if("done")).first()[0]
+            "up", done=F.count_if("done"),
+        )
+        stuck = merged.seen["done"] == state.seen["done"]
         ws.drop(state)
         state = merged
-        if n == 0 or new == before:
+        if stuck:
             break
     reached = state.where("done").select("head", F.col("anc").alias("root"), F.col("way").alias("head_depth"), F.col("size").alias("head_size"))
 
@@ -158,37 +157,76 @@ def _ranges(ws: Workspace, heads: DataFrame) -> DataFrame:
     running = ws.save(prefix_sums(ws, kids, ["up", "head"], "head_size", "run"), "run")
     first = running.groupBy("up").agg(F.min("run").alias("first"))
     # a child chain starts right after the last node of its parent chain (hop) and the ranges of its elder siblings
-    start = skew_safe_lookup(running, first, "up", "inner").select("head", "up", (F.col("hop") + F.col("run") - F.col("first")).alias("off"))
+    start = skew_safe_lookup(running, first, "up", "inner", rows=running.seen["rows"]).select("head", "up", (F.col("hop") + F.col("run") - F.col("first")).alias("off"))
 
     # downwards: the offsets on the way to the root add up
     down = ws.save(
         reached.select("head").join(start, "head", "left")
         .select("head", F.coalesce("up", "head").alias("anc"), F.coalesce("off", F.lit(0)).alias("pre"), F.col("up").isNull().alias("done")),
-        "down",
-    )
-    while down.where(~F.col("done")).limit(1).count():
+        "down", done=F.count_if("done"),
+    )
+    while down.seen["done"] < down.seen["rows"]:
         there = down.select(F.col("head").alias("anc"), F.col("anc").alias("_anc"), F.col("pre").alias("_pre"), F.col("done").alias("_done"))
-        step = skew_safe_lookup(down.where(~F.col("done")), there, "anc", "inner").select(
+        step = skew_safe_lookup(down.where(~F.col("done")), there, "anc", "inner", rows=down.seen["rows"] - down.seen["done"]).select(
             "head", F.col("_anc").alias("anc"), (F.col("pre") + F.col("_pre")).alias("pre"), F.col("_done").alias("done")
         )
-        merged = ws.save(down.where("done").unionByName(step), "down")
+        merged = ws.save(down.where("done").unionByName(step), "down", done=F.count_if("done"))
         ws.drop(down)
         down = merged
     return ws.save(reached.join(down.select("head", F.col("pre").alias("head_pre")), "head"), "ranges")
 
 
+#: Ranges are joined by blocks of preorder numbers; a block has a power of this many numbers.
+BLOCK_BASE = 64
+
+
+def _blocks(nodes: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Add ``_tier`` and ``_block``: one row per block that the range first..last touches, with blocks of BLOCK_BASE ** tier numbers, no longer
+    than the range. So a range has at most BLOCK_BASE + 1 rows, and blocks reach no further beyond it than its own length."""
+    length = last - first + 1
+    tier = F.floor(F.log(float(BLOCK_BASE), length.cast("double")) + 1e-9).cast("int")
+    sized = nodes.where(length > 0).withColumn("_tier", tier).withColumn("_size", F.pow(F.lit(float(BLOCK_BASE)), F.col("_tier")).cast("long"))
+    return sized.withColumn("_block", F.explode(F.sequence(F.floor(first / F.col("_size")), F.floor(last / F.col("_size"))))).drop("_size")
+
+
+def _at_tiers(nodes: DataFrame, at: Column, most: int) -> DataFrame:
+    """Add ``_tier`` and ``_block``: one row per tier that ranges of up to ``most`` numbers may have."""
+    tiers = [0]
+    while BLOCK_BASE ** (tiers[-1] + 1) <= most:
+        tiers.append(tiers[-1] + 1)
+    places = F.array(*[F.struct(F.lit(t).alias("_tier"), F.floor(at / F.lit(BLOCK_BASE**t)).alias("_block")) for t in tiers])
+    return nodes.withColumn("_p", F.explode(places)).select("*", "_p._tier", "_p._block").drop("_p")
+
+
 def ancestors_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, ancestor, ancestor_depth) of each id of ``wanted`` (a column ``id``): the nodes of its tree whose range holds it."""
-    w = tree.join(wanted.select("id").distinct(), "id", "left_semi").where("tree_pre is not null").select("id", F.col("root").alias("_root"), F.col("tree_pre").alias("_at"))
-    a = tree.where("tree_pre is not null").select(F.col("id").alias("ancestor"), "root", "tree_pre", "tree_last", F.col("depth").alias("ancestor_depth"))
-    return w.join(a, (F.col("_root") == F.col("root")) & F.col("_at").between(F.col("tree_pre"), F.col("tree_last")) & (F.col("id") != F.col("ancestor"))).select("id", "ancestor", "ancestor_depth")
+    """(id, ancestor, ancestor_depth) of each id of ``wanted`` (a column ``id``): the nodes of its tree whose range holds it.
+
+    Ranges meet numbers by blocks of preorder numbers, so pairs of nodes of one tree that aren't related are not made."""
+    ok = tree.where("tree_pre is not null")
+    most = ok.agg(F.max("subtree_size")).first()[0] or 1  # one number
+    w = ok.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_at"))
+    a = ok.where("tree_last > tree_pre").select(F.col("id").alias("ancestor"), "root", "tree_pre", "tree_last", F.col("depth").alias("ancestor_depth"))
+    below = _blocks(a, F.col("tree_pre") + 1, F.col("tree_last"))
+    return _at_tiers(w, F.col("_at"), most).join(below, ["root", "_tier", "_block"]).where(F.col("_at").between(F.col("tree_pre") + 1, F.col("tree_last"))).select("id", "ancestor", "ancestor_depth")
 
 
 def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, descendant, distance) of each id of ``wanted`` (a column ``id``), by its nested-set range."""
-    w = tree.join(wanted.select("id").distinct(), "id", "left_semi").where("tree_pre is not null").select("id", F.col("root").alias("_root"), F.col("tree_pre").alias("_pre"), F.col("tree_last").alias("_last"), F.col("depth").alias("_depth"))
-    d = tree.where("tree_pre is not null").select(F.col("id").alias("descendant"), "root", "tree_pre", "depth")
-    return w.join(d, (F.col("_root") == F.col("root")) & (F.col("tree_pre") > F.col("_pre")) & (F.col("tree_pre") <= F.col("_last"))).select("id", "descendant", (F.col("depth") - F.col("_depth")).alias("distance"))
+    """(id, descendant, distance) of each id of ``wanted`` (a column ``id``), by its nested-set range, joined by blocks like ``ancestors_of``."""
+    ok = tree.where("tree_pre is not null")
+    w = ok.where("tree_last > tree_pre").join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_pre"), F.col("tree_last").alias("_last"), F.col("depth").alias("_depth"))
+    most = w.agg(F.max(F.col("_last") - F.col("_pre"))).first()[0] or 1  # one number
+    d = ok.select(F.col("id").alias("descendant"), "root", "tree_pre", "depth")
+    ranges = _blocks(w, F.col("_pre") + 1, F.col("_last"))
+    return _at_tiers(d, F.col("tree_pre"), most).join(ranges, ["root", "_tier", "_block"]).where((F.col("tree_pre") > F.col("_pre")) & (F.col("tree_pre") <= F.col("_last"))).select("id", "descendant", (F.col("depth") - F.col("_depth")).alias("distance"))
+
+
+def paths_of(tree: DataFrame, wanted: DataFrame, separator: str = "/") -> DataFrame:
+    """(id, path) of each id of ``wanted`` that is in ``tree``: the ids from its root to itself; null for nodes on or below a loop.
+
+    A path is one value of a row, as long as its node is deep."""
+    up = ancestors_of(tree, wanted).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ancestor_depth", "ancestor"))), lambda a: a["ancestor"]), separator).alias("_up"))
+    own = tree.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "depth")
+    return own.join(up, "id", "left").select("id", F.when(F.col("depth") >= 0, F.concat_ws(separator, "_up", "id")).alias("path"))
 
 
 def with_paths(tree: DataFrame, ws: Workspace) -> DataFrame:

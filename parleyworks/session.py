@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than this share of the rows, and at least HOT_ROWS rows, is treated apart in lookups.
@@ -46,13 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset (tests, one machine)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on this machine.
+
+    On a cluster a folder of one machine would lose steps, so there the setting must be made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parleyworks-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -75,12 +79,14 @@ class Workspace:
         self.steps += 1
         return f"{self.path}/{self.steps:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back, with its path as attribute ``saved_at``."""
+    def save(self, df: DataFrame, name: str, **figures: Column) -> DataFrame:
+        """Write ``df`` and return it as read back, with its path as attribute ``saved_at`` and, as attribute ``seen``, the number of its
+        ``rows`` and the aggregates ``figures``, which are taken while it is written."""
         at = self.child(name)
-        df.write.parquet(at)
+        watch = Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()]).write.parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
-        back.saved_at = at
+        back.saved_at, back.seen = at, watch.get
         return back
 
     def drop(self, *dfs: DataFrame | None) -> None:
@@ -108,26 +114,27 @@ def _clean() -> None:
             ws.close()
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS, rows: int | None = None) -> list:
     """Keys that hold more than ``share`` of the rows and at least ``least``: at most ``1 / share`` values.
 
-    Rows are counted first, which is cheap on a written step: a small one needs no count by key. Counts by key are combined on the map
-    side, and no more keys than ``1 / share`` can come to the driver.
+    ``rows`` is how many rows there are at most, where that is known; else they are counted. Few rows need no count by key. Counts by key
+    are combined on the map side, and no more keys than ``1 / share`` can come to the driver.
     """
-    total = df.count()
+    total = df.count() if rows is None else rows
     if total < least:
         return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
     return [r[0] for r in counts.where(F.col("count") >= max(least, int(total * share))).collect()]
 
 
-def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
+def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE, least: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Join ``big`` with ``small`` (one row per ``key``) where a few keys may hold most rows of ``big``.
 
     The rows of hot keys meet their partner by a broadcast of the hot part of ``small``, which has at most ``1 / share``
-    rows; all others by an ordinary join. Rows with a null key are kept for ``left`` and dropped for ``inner``.
+    rows; all others by an ordinary join. Rows with a null key are kept for ``left`` and dropped for ``inner``. ``rows`` is a bound
+    of the number of rows of ``big``, where one is known.
     """
-    hot = hot_keys(big, key, share, least)
+    hot = hot_keys(big, key, share, least, rows)
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from parleyworks.operators.hierarchy import ancestors_of, build_hierarchy, descendants_of, prefix_sums, with_paths
+from parleyworks.operators.hierarchy import ancestors_of, build_hierarchy, descendants_of, paths_of, prefix_sums, with_paths
 
 SCHEMA = "id string, parent string"
 
@@ -103,3 +103,29 @@ def test_skew_safe_lookup(spark, least):
     got = sorted(skew_safe_lookup(big, small, "k", "left", share=0.2, least=least).collect(), key=repr)
     assert got == sorted(big.join(small, "k", "left").collect(), key=repr)
     assert skew_safe_lookup(big, small, "k", "inner", share=0.2, least=least).count() == 41
+
+
+def test_ranges_over_several_tiers(spark, ws):
+    """A tree of more nodes than two tiers of blocks hold numbers: descendants and paths of all nodes against brute force."""
+    r = random.Random(4)
+    pairs = [(f"n{k:05d}", f"n{max(0, k - r.randint(1, 60)):05d}" if k else None) for k in range(4_200)] + [("x", "y"), ("y", "x")]
+    tree = ws.save(build_hierarchy(spark.createDataFrame(pairs, SCHEMA), ws), "tree")
+    parent = dict(pairs)
+    path = {}
+    for i, p in pairs[:4_200]:
+        path[i] = [*path.get(p, []), i]
+    wanted = spark.createDataFrame([(f"n{k:05d}",) for k in range(0, 4_200, 70)] + [("x",), ("no",), ("n00000",)], "id string")
+    got = {r["id"]: r["path"] for r in paths_of(tree, wanted).collect()}
+    assert got == {f"n{k:05d}": "/".join(path[f"n{k:05d}"]) for k in range(0, 4_200, 70)} | {"x": None}
+    below = sorted(map(tuple, descendants_of(tree, wanted).collect()))
+    assert below == sorted((w, d, len(p) - len(path[w])) for w in (f"n{k:05d}" for k in range(0, 4_200, 70)) for d, p in path.items() if w in p[:-1])
+    assert parent["x"] == "y" and paths_of(tree.limit(0), wanted).count() == 0 and descendants_of(tree, wanted.limit(0)).count() == 0
+
+
+def test_saved_steps_carry_their_figures(spark, ws):
+    from pyspark.sql import functions as F
+
+    got = ws.save(spark.range(10).withColumn("odd", F.col("id") % 2 == 1), "step", odd=F.count_if("odd"))
+    assert (got.seen["rows"], got.seen["odd"]) == (10, 5)
+    none = ws.save(spark.range(10).where("id > 99"), "none", most=F.max("id"))
+    assert none.seen["rows"] == 0 and none.seen["most"] is None and none.count() == 0
