@@ -27,11 +27,11 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return _both_ways(edges).groupBy("v").agg(F.count("*").alias("deg"), F.min("n").alias("n1"), F.max("n").alias("n2"))
 
 
-def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Links none of whose ends is in ``gone`` (column v)."""
+def _without(edges: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
+    """Links none of whose ends is in ``gone`` (column v); ``rows`` is how many links there are."""
     for end in ("a", "b"):
         flag = gone.select(F.col("v").alias(end), F.lit(True).alias("_gone"))
-        edges = skew_safe_lookup(edges, flag, end).where("_gone is null").drop("_gone")
+        edges = skew_safe_lookup(edges, flag, end, rows=rows).where("_gone is null").drop("_gone")
     return edges
 
 
@@ -42,25 +42,21 @@ def _rank(ws: Workspace, twos: DataFrame) -> DataFrame:
     # an arc enters v from x; it goes on from v into y. (p, q) is the arc that it points to, end is set when that has left the chain
     state = ws.save(
         arcs.join(inside, "y", "left").select(
-            "x", "v", F.when(F.col("_in"), F.col("v")).alias("p"), F.when(F.col("_in"), F.col("y")).alias("q"), F.when(F.col("_in").isNull(), F.col("y")).alias("end"), F.least("v", "y").alias("least")
+            "x", "v", F.when(F.col("_in"), F.col("v")).alias("p"), F.when(F.col("_in"), F.col("y")).alias("q"), F.when(F.col("_in").isNull(), F.col("y")).alias("end"), F.least("v", "y").alias("least"), F.lit(True).alias("new")
         ),
-        "arcs",
-    )
-    left, done, low = None, state.where(F.col("end").isNotNull()).count(), None
-    while True:
+        "arcs", open=F.count_if(F.col("end").isNull()),
+    )
+    # arcs of a ring never end: as soon as a step over twice as many arcs tells none of them a lesser vertex, they know their least one
+    while state.seen["open"]:
         there = state.select(F.col("x").alias("p"), F.col("v").alias("q"), F.col("p").alias("_p"), F.col("q").alias("_q"), F.col("end").alias("_end"), F.col("least").alias("_least"))
-        new = ws.save(
-            state.where(F.col("end").isNotNull()).unionByName(
-                state.where(F.col("end").isNull()).join(there, ["p", "q"]).select("x", "v", F.col("_p").alias("p"), F.col("_q").alias("q"), F.col("_end").alias("end"), F.least("least", "_least").alias("least"))
-            ),
-            "arcs",
+        ahead = state.where(F.col("end").isNull()).join(there, ["p", "q"]).select(
+            "x", "v", F.col("_p").alias("p"), F.col("_q").alias("q"), F.col("_end").alias("end"), F.least("least", "_least").alias("least"), (F.col("_end").isNotNull() | (F.col("_least") < F.col("least"))).alias("new")
         )
-        r = new.agg(F.count_if(F.col("end").isNull()).alias("left"), F.count_if(F.col("end").isNotNull()).alias("done"), F.sum(F.when(F.col("end").isNull(), F.xxhash64("least") % 1_000_003)).alias("low")).first()
+        step = ws.save(state.where(F.col("end").isNotNull()).withColumn("new", F.lit(False)).unionByName(ahead), "arcs", open=F.count_if(F.col("end").isNull()), new=F.count_if("new"))
         ws.drop(state)
-        state = new
-        if r["left"] == 0 or (r["done"] == done and r["low"] == low):
+        state = step
+        if not state.seen["new"]:
             break
-        left, done, low = r["left"], r["done"], r["low"]
     return state.groupBy("v").agg(F.min("end").alias("t1"), F.max("end").alias("t2"), F.min("least").alias("least"))
 
 
@@ -70,19 +66,18 @@ def _core(ws: Workspace, edges: DataFrame) -> DataFrame:
     while True:
         both = _both_ways(state)
         least = both.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = skew_safe_lookup(both, least, "v", "inner").where("n > v and n != m").select(F.col("m").alias("a"), F.col("n").alias("b")).distinct()
-        large = ws.save(large, "large")
+        large = skew_safe_lookup(both, least, "v", "inner", rows=2 * state.seen["rows"]).where("n > v and n != m").select(F.col("m").alias("a"), F.col("n").alias("b"), (F.col("m") < F.col("v")).alias("moved"))
+        large = ws.save(large.groupBy("a", "b").agg(F.max("moved").alias("moved")), "large", moved=F.count_if("moved"))
         down = large.select(F.col("b").alias("v"), F.col("a").alias("n"))
-        small_least = down.groupBy("v").agg(F.min("n").alias("m"))
-        joined = skew_safe_lookup(down, small_least, "v", "inner")
-        small = ws.save(
-            joined.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("n").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))).alias("e")).select("e.*").where("a != b").distinct(),
-            "small",
-        )
-        same = state.exceptAll(small).limit(1).count() == 0 and small.exceptAll(state).limit(1).count() == 0
+        small_least = down.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("tops"))
+        joined = skew_safe_lookup(down, small_least, "v", "inner", rows=large.seen["rows"])
+        ends = F.array(F.struct(F.col("m").alias("a"), F.col("n").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))
+        small = joined.select(F.explode(ends).alias("e"), (F.col("tops") > 1).alias("moved")).select("e.*", "moved").where("a != b")
+        small = ws.save(small.groupBy("a", "b").agg(F.max("moved").alias("moved")), "small", moved=F.count_if("moved"))
         ws.drop(state, large)
         state = small
-        if same:
+        # no vertex but the least of its neighbours has a larger neighbour, and none hangs from two: all are stars
+        if not large.seen["moved"] and not small.seen["moved"]:
             return state.select(F.col("b").alias("v"), F.col("a").alias("label"))
 
 
@@ -93,28 +88,27 @@ def connected_groups(links: DataFrame, ws: Workspace) -> DataFrame:
     are no links, and an id that has no others is left out. An empty table gives no rows.
     """
     edges = ws.save(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    total = edges.count()
     hooks: list[DataFrame] = []
-    count = total
+    count = edges.seen["rows"]
     while count:
         degrees = ws.save(_degrees(edges), "degrees")
         # of two vertices that have only each other the smaller one stays
         pairs = degrees.where("deg = 1")
         other = degrees.select(F.col("v").alias("n1"), F.col("deg").alias("_deg"))
-        leaves = ws.save(skew_safe_lookup(pairs, other, "n1", "inner").where("_deg > 1 or n1 < v").select("v", F.col("n1").alias("to")), "leaves")
+        leaves = ws.save(skew_safe_lookup(pairs, other, "n1", "inner", rows=min(degrees.seen["rows"], 2 * count)).where("_deg > 1 or n1 < v").select("v", F.col("n1").alias("to")), "leaves")
         hooks.append(leaves)
-        stripped = ws.save(_without(edges, leaves), "stripped")
+        stripped = ws.save(_without(edges, leaves, count), "stripped")
         ws.drop(degrees, edges)
         twos = ws.save(_degrees(stripped).where("deg = 2").select("v", "n1", "n2"), "twos")
         edges = stripped
-        if twos.limit(1).count():
+        if twos.seen["rows"]:
             chains = ws.save(_rank(ws, twos), "chains")
             # a ring hooks to its least vertex, a chain to the smaller of its ends
             hooks.append(ws.save(chains.select("v", F.coalesce("t1", "least").alias("to")).where("v != to"), "hooks"))
             joins = chains.where("t1 != t2").select(F.col("t1").alias("a"), F.col("t2").alias("b"))
-            edges = ws.save(_without(stripped, chains.select("v")).unionByName(joins).distinct(), "edges")
+            edges = ws.save(_without(stripped, chains.select("v"), stripped.seen["rows"]).unionByName(joins).distinct(), "edges")
             ws.drop(stripped, twos)
-        left = edges.count()
+        left = edges.seen["rows"]
         if left > (1 - MIN_SHRINK) * count:
             hooks.append(ws.save(_core(ws, edges).select("v", F.col("label").alias("to")), "solved"))
             break
@@ -126,16 +120,16 @@ def connected_groups(links: DataFrame, ws: Workspace) -> DataFrame:
     for h in hooks[1:]:
         up = up.unionByName(h)
     up = ws.save(up, "up")
+    rows = up.seen["rows"]
     while True:
         there = up.select(F.col("v").alias("to"), F.col("to").alias("_to"))
-        new = ws.save(skew_safe_lookup(up, there, "to").select("v", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "up")
-        moved = new.where("moved").limit(1).count()
+        new = ws.save(skew_safe_lookup(up, there, "to", rows=rows).select("v", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "up", moved=F.count_if("moved"))
         ws.drop(up)
         up = new.select("v", "to")
         up.saved_at = new.saved_at
-        if not moved:
+        if not new.seen["moved"]:
             break
     # the vertices that nothing hooks away are the groups' tops
     least = up.groupBy("to").agg(F.min("v").alias("_least")).select("to", F.least("to", "_least").alias("group"))
     least = ws.save(least, "least")
-    return skew_safe_lookup(up, least, "to", "inner").select(F.col("v").alias("id"), "group").unionByName(least.select(F.col("to").alias("id"), "group"))
+    return skew_safe_lookup(up, least, "to", "inner", rows=rows).select(F.col("v").alias("id"), "group").unionByName(least.select(F.col("to").alias("id"), "group"))
