@@ -184,7 +184,9 @@ def bootstrap_means(df: DataFrame, group: str, value: str, rounds: int, seed: in
         total += p
         weight = weight + F.when(F.col("u") > total, 1).otherwise(0)
         p /= k + 1
-    rows = df.withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in df.columns])).select(group, value, "_id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    # rows that are equal are told apart by a number of their own
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    rows = counted.withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in df.columns], "_copy")).select(group, value, "_id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     drawn = rows.select(group, value, "round", F.struct("round").alias("r"), "_id").withColumn("u", u).withColumn("w", weight)
     means = drawn.groupBy(group, "round").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     return means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(group, F.element_at("ms", int(rounds * 0.025) + 1).alias("low"), F.element_at("ms", int(rounds * 0.975)).alias("high"))

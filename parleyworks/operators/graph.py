@@ -124,19 +124,23 @@ def merge_candidates(similar: DataFrame, sizes: DataFrame, threshold: float) ->
     return both.select(stays.alias("keep"), F.when(stays == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("drop"), "cosine", (F.col("a_domain") == F.col("b_domain")).alias("same_domain"))
 
 
-def apply_merges(facts: DataFrame, merges: DataFrame) -> DataFrame:
+def apply_merges(facts: DataFrame, merges: DataFrame, ws: Workspace) -> DataFrame:
     """Facts with the categories of same-domain merges replaced; chains of merges go to their end.
 
-    The candidate list is one row per merged category; its chains are resolved by doubling. The kept side is always the larger one or
-    the one of smaller id, so chains end.
+    Chains are resolved by doubling, each step written, in no more rounds than twice the logarithm of their number. Merges that run in
+    a loop have no end: their categories, and what leads there, go to the least category of the loop.
     """
-    step = merges.where("same_domain").groupBy(F.col("drop").alias("category_id")).agg(F.min("keep").alias("to"))
-    while True:
-        again = step.select(F.col("category_id").alias("to"), F.col("to").alias("_to"))
-        if not step.join(again, "to", "left_semi").limit(1).count():
+    one = merges.where("same_domain").groupBy(F.col("drop").alias("category_id")).agg(F.min("keep").alias("to"))
+    step = ws.save(one.withColumn("least", F.col("to")).withColumn("on", F.lit(True)), "merges")
+    for _ in range(step.seen["rows"].bit_length() + 1):
+        again = step.select(F.col("category_id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        moved = F.col("_to").isNotNull()
+        step = ws.save(step.select("category_id", "to", "least").join(again, "to", "left").select("category_id", F.coalesce("_to", "to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least"), moved.alias("on")), "merges", on=F.count_if("on"))
+        if not step.seen["on"]:
             break
-        step = step.join(again, "to", "left").select("category_id", F.coalesce("_to", "to").alias("to"))
-    return facts.join(step, "category_id", "left").withColumn("category_id", F.coalesce("to", "category_id")).drop("to")
+    # what still moves after so many rounds is in a loop, whose least member each of its members knows
+    ends = step.join(step.where("on").select(F.col("category_id").alias("to"), F.col("least").alias("_end")), "to", "left").select("category_id", F.coalesce("_end", "to").alias("to"))
+    return facts.join(ends, "category_id", "left").withColumn("category_id", F.coalesce("to", "category_id")).drop("to")
 
 
 def ontology_tree(facts: DataFrame, categories: DataFrame) -> DataFrame:

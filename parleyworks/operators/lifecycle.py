@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable
+from ..session import Workspace, skew_safe_lookup
 
 
 def deactivated(facts: DataFrame, gone: DataFrame) -> DataFrame:
@@ -16,9 +17,11 @@ def deactivated(facts: DataFrame, gone: DataFrame) -> DataFrame:
     return facts.join(gone.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left").withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).drop("_gone")
 
 
-def rewritten(facts: DataFrame, changes: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(facts, revisions) after ``changes`` (id, new_fact, reason): the last text of an id in the batch counts; equal texts change nothing."""
-    one = changes.where("new_fact is not null").groupBy("id").agg(F.max("new_fact").alias("new_fact"), F.max("reason").alias("reason"))
+def rewritten(facts: DataFrame, changes: DataFrame, now: str, place: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(facts, revisions) after ``changes`` (id, new_fact, reason, and ``place``, their order): the last text of an id in the batch counts,
+    with its own reason (of two at one place the greater text); equal texts change nothing."""
+    last = F.max_by(F.struct("new_fact", "reason"), F.struct(place, "new_fact", F.coalesce("reason", F.lit("")))).alias("_last")
+    one = changes.where("new_fact is not null").groupBy("id").agg(last).select("id", "_last.new_fact", "_last.reason")
     j = facts.join(one, "id", "left").withColumn("_new", F.col("new_fact").isNotNull() & ~F.col("new_fact").eqNullSafe(F.col("fact")))
     revisions = j.where("_new").select(F.col("id").alias("fact_id"), F.col("fact").alias("previous_fact"), "new_fact", "reason", F.lit(now).alias("created_at"))
     out = j.withColumn("fact", F.when(F.col("_new"), F.col("new_fact")).otherwise(F.col("fact"))).withColumn("updated_at", F.when(F.col("_new"), F.lit(now)).otherwise(F.col("updated_at"))).drop("new_fact", "reason", "_new")
@@ -26,13 +29,13 @@ def rewritten(facts: DataFrame, changes: DataFrame, now: str) -> tuple[DataFrame
 
 
 def consolidated(facts: DataFrame, verdicts: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(facts, revisions) after ``verdicts`` (old_id, new_id, verdict, merged): a duplicate confirms the old fact and retires the new one;
+    """(facts, revisions) after ``verdicts`` (old_id, new_id, verdict, merged), in order of the new facts' ids: a duplicate confirms the old fact and retires the new one;
     a contradiction retires the old one; an evolution rewrites the old one, confirms it and retires the new one; others change nothing."""
     old = verdicts.groupBy(F.col("old_id").alias("id")).agg(F.count_if(F.col("verdict").isin("DUPLICATE", "EVOLUTION")).alias("more"), F.bool_or(F.col("verdict") == "CONTRADICTION").alias("out"))
     new = verdicts.where(F.col("verdict").isin("DUPLICATE", "EVOLUTION")).select(F.col("new_id").alias("id"), F.lit(True).alias("merged_away")).distinct()
     j = facts.join(old, "id", "left").join(new, "id", "left")
     counted = j.withColumn("consolidated_count", F.col("consolidated_count") + F.coalesce("more", F.lit(0)).cast("int")).withColumn("is_active", F.col("is_active") & ~F.coalesce("out", F.lit(False)) & F.col("merged_away").isNull()).drop("more", "out", "merged_away")
-    texts = verdicts.where("verdict = 'EVOLUTION'").select(F.col("old_id").alias("id"), F.col("merged").alias("new_fact"), F.lit("evolution").alias("reason"))
+    texts = verdicts.where("verdict = 'EVOLUTION'").select(F.col("old_id").alias("id"), F.col("merged").alias("new_fact"), F.lit("evolution").alias("reason"), F.col("new_id").alias("place"))
     return rewritten(counted, texts, now)
 
 
@@ -77,26 +80,30 @@ def valid_findings(findings: DataFrame, size: int, slugs: list[str], least: floa
     return ok.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def summarised(turns: DataFrame, summarise: Callable[[list[str]], str], group: str = "session_id", place: str = "place", text: str = "text", direct: int = 15, chunk: int = 8) -> DataFrame:
+def summarised(turns: DataFrame, summarise: Callable[[list[str]], str], ws: Workspace, group: str = "session_id", place: str = "place", text: str = "text", direct: int = 15, chunk: int = 8) -> DataFrame:
     """(group, summary) by an injected summariser: short conversations directly, long ones by chunks and then over their summaries.
 
     ``place`` numbers the turns of a group from 0. A task sees one chunk at a time, and then the summaries of one group; where these
-    are too many they are summarised in chunks again, so no call gets more than ``direct`` texts.
+    are too many they are summarised in chunks again, so no call gets more than ``direct`` texts. Every level is written, so no text
+    is summarised twice.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(place)
-        return pd.DataFrame({group: [p[group].iloc[0]], place: [int(p[place].iloc[0])], text: [summarise([t or "" for t in p[text]])]})
+        return pd.DataFrame({group: [p[group].iloc[0]], place: [int(p[place].iloc[0])], text: [summarise([t or "" for t in p[text]])], "_last": [bool(p["_last"].iloc[0])]})
 
-    schema = f"`{group}` {turns.schema[group].dataType.simpleString()}, `{place}` int, `{text}` string"
+    schema = f"`{group}` {turns.schema[group].dataType.simpleString()}, `{place}` int, `{text}` string, `_last` boolean"
     level = turns.select(group, F.col(place).cast("int").alias(place), text)
+    out = None
     while True:
         sizes = level.groupBy(group).agg((F.max(place) + 1).alias("_n"))
-        longest = sizes.agg(F.max("_n")).first()[0] or 0
-        part = F.when(F.col("_n") > direct, F.floor(F.col(place) / chunk)).otherwise(F.lit(0)).cast("int")
-        sized = level.join(sizes, group).select(group, part.alias("_part"), place, text)
-        done = sized.groupBy(group, "_part").applyInPandas(run, schema)
-        if longest <= direct:
-            return done.select(group, F.col(text).alias("summary"))
+        last = F.col("_n") <= direct
+        part = F.when(last, F.lit(0)).otherwise(F.floor(F.col(place) / chunk)).cast("int")
+        sized = skew_safe_lookup(level, sizes, group, "inner").select(group, part.alias("_part"), place, text, last.alias("_last"))
+        done = ws.save(sized.groupBy(group, "_part").applyInPandas(run, schema), "summaries", left=F.count_if(~F.col("_last")))
+        ended = done.where("_last").select(group, F.col(text).alias("summary"))
+        out = ended if out is None else out.unionByName(ended)
+        if not done.seen["left"]:
+            return out
         # chunks are numbered by their first turn: the next level numbers them from 0 again
-        level = done.withColumn(place, F.floor(F.col(place) / chunk).cast("int"))
+        level = done.where("not _last").select(group, F.floor(F.col(place) / chunk).cast("int").alias(place), text)

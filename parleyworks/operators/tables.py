@@ -125,3 +125,19 @@ def with_quota(df: DataFrame, group: list[str], first: Column, order: list[Colum
     w = Window.partitionBy(*group, F.coalesce(first, F.lit(False))).orderBy(*order)
     marked = df.withColumn("_sure", F.coalesce(first, F.lit(False)) & (F.row_number().over(w) <= sure))
     return marked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_sure"), *order))).where(F.col("rank") <= limit).drop("_sure")
+
+
+def filled_forward(ws: Workspace, df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """``columns`` with each null replaced by the last value before it in its group, by ``order`` (unique in a group).
+
+    Rows are range-partitioned by group and order, so a long group is spread over many tasks; only the last values of each group in each
+    partition are brought together.
+    """
+    ranged = ws.save(df.repartitionByRange(group, order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("_pid", group).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    come = ends.select("_pid", group, *[F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in columns])
+    inside = Window.partitionBy("_pid", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(come, ["_pid", group])
+    kept = [c for c in df.columns if c not in columns]
+    return joined.select(*kept, *[F.coalesce(F.last(c, ignorenulls=True).over(inside), f"_in_{c}").alias(c) for c in columns])

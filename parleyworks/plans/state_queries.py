@@ -10,6 +10,7 @@ from ..operators import lifecycle as L
 from ..operators import retrieval as S
 from ..operators import tables as R
 from ..schema import SYMMETRIC
+from ..session import Workspace
 from ..sources import sync
 from ..streaming.ingest import ledger
 from . import search_queries as SQ
@@ -83,7 +84,7 @@ def _(s, d):
     sizes = V.vectors(s, d).select(F.col("item_id").alias("category_id"), (F.col("label") % 3).alias("domain_id"), (F.col("item_id") % 9).alias("facts"))
     merges = G.merge_candidates(SQ._near(s, d, 5), sizes, 0.3)
     facts = V.vectors(s, d).select(F.col("item_id").alias("id"), F.col("item_id").alias("category_id"))
-    return G.apply_merges(facts, merges).select("id", "category_id")
+    return G.apply_merges(facts, merges, Workspace(s, "g15")).select("id", "category_id")
 
 
 @query("g16_small_to_stable", sql("""SELECT query_id AS category_id, item_id AS stable_id, round(cosine, 6) AS cosine FROM (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM near n JOIN vec q ON q.vec_id = n.query_id WHERE n.item_id % 9 > 1 AND q.label % 3 = n.label % 3) WHERE r = 1 AND cosine >= 0.25""", SQ._KNN))

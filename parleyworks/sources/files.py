@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most bytes that one archive may unpack to; a smaller cap can be passed, not a larger one.
+#: Fixed value: the most bytes that an archive may unpack to as one text; a smaller cap can be passed, not a larger one.
 CAP = 256 * 1024 * 1024
 
 
 def archives(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
     """(file, text) of plain and zstd-compressed transcripts; of two variants of a file the newer one. A file that unpacks to more
-    than the cap, or isn't valid, has a null text."""
+    than the cap, or isn't valid, has a null text; ``archive_lines`` reads files of any size."""
     cap = min(cap, CAP)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").load(path)
-    named = raw.withColumn("file", F.regexp_replace("path", r"\.zst$", "")).where(F.col("file").endswith(".jsonl"))
-    w = Window.partitionBy("file").orderBy(F.desc("modificationTime"), "path")
-    newest = named.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file", "path", "content")
+    newest = _newest(spark, path)
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -41,6 +36,51 @@ def archives(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
     return newest.mapInPandas(unpack, "file string, text string")
 
 
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, content): of two variants of a file the newer one. Variants are ranked by name and time alone; contents aren't shuffled
+    as long as the list of names is small enough to be sent around, which Spark decides."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").load(path)
+    named = raw.withColumn("file", F.regexp_replace("path", r"\.zst$", "")).where(F.col("file").endswith(".jsonl"))
+    best = named.groupBy("file").agg(F.max_by("path", F.struct("modificationTime", F.col("path").endswith(".zst").cast("int") * -1)).alias("path"))
+    return raw.select("path", "content").join(best, "path")
+
+
+def archive_lines(spark: SparkSession, path: str, per_frame: int = 10_000) -> DataFrame:
+    """(file, line, text): the lines, from 1, of plain and zstd-compressed transcripts, unpacked as a stream, so files may unpack to any
+    size. Of two variants the newer one counts; of a file that isn't valid the lines before the fault. Blank lines are left out."""
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import zstandard
+
+        for p in parts:
+            for file, at, content in zip(p["file"], p["path"], p["content"]):
+                stream = io.BytesIO(bytes(content))
+                if at.endswith(".zst"):
+                    stream = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
+                held: list[tuple[int, str]] = []
+                reader = io.TextIOWrapper(io.BufferedReader(stream), "utf-8", "replace", newline="\n")
+                n = 0
+                while True:
+                    try:
+                        text = reader.readline()
+                    except zstandard.ZstdError:
+                        break
+                    if not text:
+                        break
+                    n += 1
+                    if text.strip():
+                        held.append((n, text.rstrip("\r\n")))
+                    if len(held) >= per_frame:
+                        yield pd.DataFrame({"file": file, "line": [k for k, _ in held], "text": [t for _, t in held]})
+                        held = []
+                if held:
+                    yield pd.DataFrame({"file": file, "line": [k for k, _ in held], "text": [t for _, t in held]})
+
+    return _newest(spark, path).mapInPandas(unpack, "file string, line int, text string")
+
+
 def newer_files(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*.jsonl*") -> DataFrame:
     """(file, modified) of files that the manifest (file, modified) lacks or has older."""
     now = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(plain_path("path").alias("file"), F.col("modificationTime").alias("modified"))
@@ -54,7 +94,8 @@ def plain_path(c: Column | str) -> Column:
 
 
 class Store:
-    """Tables as immutable versions: ``name/v=N`` and a pointer file that names the current one. A reader never sees a half-written version."""
+    """Tables as immutable versions ``name/v=N``. The current one is the highest that is complete, which the mark that Spark writes last
+    tells, so a reader sees whole versions only, at any moment."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -64,12 +105,17 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _numbers(self, name: str, complete: bool) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return []
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("v=")]
+        return [int(x.getName()[2:]) for x in found if not complete or fs.exists(mark(x, "_SUCCESS"))]
+
     def version(self, name: str) -> int:
         """The current version, 0 where there is none."""
-        fs, p = self._fs(f"{self.root}/{name}/current.json")
-        if not fs.exists(p):
-            return 0
-        return int(json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])["version"])
+        return max(self._numbers(name, True), default=0)
 
     def read(self, name: str) -> DataFrame:
         n = self.version(name)
@@ -78,17 +124,9 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/v={n}")
 
     def publish(self, name: str, df: DataFrame) -> int:
-        """Write the next version, then turn the pointer to it."""
-        n = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-        jvm = self.spark.sparkContext._jvm
-        fs, new = self._fs(f"{self.root}/{name}/{uuid.uuid4().hex}.tmp")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": n}).encode()))
-        out.close()
-        old = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/current.json")
-        fs.delete(old, False)
-        fs.rename(new, old)
+        """Write the next version, whose number no other one has, a broken one neither."""
+        n = max(self._numbers(name, False), default=0) + 1
+        df.write.mode("error").parquet(f"{self.root}/{name}/v={n}")
         return n
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import encoded_path, exchange_id
 from ..operators.hierarchy import prefix_sums
-from ..session import Workspace
+from ..operators.tables import filled_forward
+from ..session import Workspace, skew_safe_lookup
 from .files import plain_path
 
 _A = "type string, timestamp string, uuid string, parentUuid string, isSidechain boolean, sessionId string, cwd string, gitBranch string, version string, message struct<role:string,content:string>"
@@ -22,11 +23,16 @@ _B_TYPES = ["session_meta", "turn_context", "response_item", "event_msg", "compa
 _A_TYPES = ["user", "assistant", "summary", "system", "file-history-snapshot", "queue-operation"]
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
-    """(file, line, text) of every line that isn't blank, lines from 1. An empty folder gives no rows."""
-    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
-    whole = reader.text(path, wholetext=True).select(plain_path("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "text")).where(F.trim("text") != "").select("file", (F.col("pos") + 1).alias("line"), "text")
+def lines(spark: SparkSession, path: str, ws: Workspace, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
+    """(file, line, text) of every line that isn't blank, lines from 1. An empty folder gives no rows.
+
+    Files are read in splits and numbered by a distributed prefix sum, so a long file is many tasks."""
+    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("lineSep", "\n")
+    found = reader.text(path).select(plain_path("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("text"))
+    # a task numbers its lines in order; what it numbers is written once before the numbers are used
+    run = prefix_sums(ws, found.withColumn("one", F.lit(1)), ["file", "block", "at"], "one", "before")
+    first = run.groupBy("file").agg(F.min("before").alias("first"))
+    return skew_safe_lookup(run, first, "file", "inner").where(F.trim("text") != "").select("file", (F.col("before") - F.col("first") + 1).cast("int").alias("line"), "text")
 
 
 def dialects(raw: DataFrame, within: int = 40) -> DataFrame:
@@ -59,17 +65,17 @@ def messages_a(raw: DataFrame) -> DataFrame:
     ).where((F.col("text") != "") | (F.size("tools") > 0))
 
 
-def messages_b(raw: DataFrame) -> DataFrame:
-    """Dialect B lines as messages; folder and branch are carried on from the lines before, results are joined to calls by call id."""
+def messages_b(raw: DataFrame, ws: Workspace) -> DataFrame:
+    """Dialect B lines as messages; folder and branch are carried on from the lines before, results are joined to calls by call id (the
+    first line of a call's counts)."""
     m = raw.select("file", "line", F.from_json("text", _B).alias("m")).where("m.type is not null")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    carried = m.select(
-        "file", "line", "m", F.last("m.payload.cwd", ignorenulls=True).over(w).alias("cwd"), F.last("m.payload.git.branch", ignorenulls=True).over(w).alias("git_branch"),
-        F.last(F.when(F.col("m.type") == "session_meta", F.col("m.payload.id")), ignorenulls=True).over(w).alias("session_id"), F.last("m.payload.cli_version", ignorenulls=True).over(w).alias("version"),
-    ).where("m.type = 'response_item'")
+    named = m.select(
+        "file", "line", "m", F.col("m.payload.cwd").alias("cwd"), F.col("m.payload.git.branch").alias("git_branch"), F.when(F.col("m.type") == "session_meta", F.col("m.payload.id")).alias("session_id"), F.col("m.payload.cli_version").alias("version")
+    )
+    carried = filled_forward(ws, named, "file", "line", ["cwd", "git_branch", "session_id", "version"]).where("m.type = 'response_item'")
     kind = F.col("m.payload.type")
     text = F.array_join(F.transform("m.payload.content", lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    results = carried.where(kind.endswith("_output")).select("file", F.col("m.payload.call_id").alias("call_id"), F.col("m.payload.output").alias("tool_result")).dropDuplicates(["file", "call_id"])
+    results = carried.where(kind.endswith("_output")).groupBy("file", F.col("m.payload.call_id").alias("call_id")).agg(F.min_by("m.payload.output", "line").alias("tool_result"))
     said = carried.where((kind == "message") & F.col("m.payload.role").isin("user", "assistant")).select(
         "file", "line", F.col("m.payload.role").alias("role"), F.trim(F.coalesce(text, F.lit(""))).alias("text"), F.array().cast("array<struct<id:string,tool_name:string,tool_input:string,tool_result:string>>").alias("tools"), F.col("m.timestamp").alias("timestamp"), "session_id", "cwd", "git_branch", "version",
     )

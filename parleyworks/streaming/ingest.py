@@ -86,14 +86,14 @@ def ingest_transcripts(spark: SparkSession, path: str, store: Store, ws: Workspa
     count = fresh.count()
     if not count:
         return {"files": 0, "exchanges": 0}
-    raw = transcripts.lines(spark, path).join(fresh.select("file"), "file", "left_semi")
+    raw = transcripts.lines(spark, path, ws).join(fresh.select("file"), "file", "left_semi")
     if markers:
         raw = raw.join(transcripts.excluded_files(raw, markers), "file", "left_anti")
     if excluded:
         raw = raw.join(transcripts.file_projects(raw, excluded).where("excluded").select("file"), "file", "left_anti")
     raw = ws.save(raw.join(transcripts.dialects(raw), "file"), "raw")
     parts = []
-    for kind, read in (("A", transcripts.messages_a), ("B", transcripts.messages_b)):
+    for kind, read in (("A", transcripts.messages_a), ("B", lambda own: transcripts.messages_b(own, ws))):
         own = raw.where(F.col("dialect") == kind).drop("dialect")
         if own.limit(1).count():
             parts.append(transcripts.indexed(transcripts.exchanges(read(own), ws)).withColumn("tools", F.to_json("tools")))

@@ -155,13 +155,13 @@ def test_graph(spark, ws):
     assert G.related(seeds, edges.limit(0), facts, ws).count() == 0
 
 
-def test_merges_follow_chains(spark):
+def test_merges_follow_chains(spark, ws):
     sizes = spark.createDataFrame([("a", "d", 5), ("b", "d", 3), ("c", "d", 1)], "category_id string, domain_id string, facts int")
     similar = spark.createDataFrame([("a", "b", 0.95), ("b", "a", 0.95), ("c", "b", 0.92), ("a", "c", 0.5)], "query_id string, item_id string, cosine double")
     merges = G.merge_candidates(similar, sizes, 0.9)
     assert rows(merges.select("keep", "drop")) == [("a", "b"), ("b", "c")]
     facts = spark.createDataFrame([(1, "c"), (2, "b"), (3, "a"), (4, None)], "id int, category_id string")
-    assert rows(G.apply_merges(facts, merges).select("id", "category_id")) == [(1, "a"), (2, "a"), (3, "a"), (4, None)]
+    assert rows(G.apply_merges(facts, merges, ws).select("id", "category_id")) == [(1, "a"), (2, "a"), (3, "a"), (4, None)]
 
 
 def test_consolidation(spark):
@@ -212,3 +212,26 @@ def test_hot_keys_are_bounded(spark):
     df = spark.createDataFrame([("h",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 50, "k string")
     assert hot_keys(df, "k", share=0.1, least=10) == ["h"]
     assert hot_keys(df, "k", share=0.1, least=1000) == [] and hot_keys(df.limit(0), "k") == []
+
+
+def test_merges_in_a_loop_go_to_its_least(spark, ws):
+    pairs = [("b", "c"), ("c", "a"), ("a", "b"), ("t", "b"), ("0", "t"), *[(f"k{k:02d}", f"k{k + 1:02d}") for k in range(40)]]
+    merges = spark.createDataFrame([(d, k, True) for d, k in pairs], "drop string, keep string, same_domain boolean")
+    facts = spark.createDataFrame([(d,) for d, _ in pairs] + [("free",)], "category_id string")
+    got = G.apply_merges(facts.withColumn("was", F.col("category_id")), merges, ws).collect()
+    assert {r["was"]: r["category_id"] for r in got} == {x: "a" for x in "abct0"} | {f"k{k:02d}": "k40" for k in range(40)} | {"free": "free"}
+
+
+def test_the_last_text_of_an_id_counts_with_its_reason(spark):
+    facts = spark.createDataFrame([("f", "old", True, "k", 1, ""), ("g", "same", True, "k", 1, "")], FACTS)
+    changes = spark.createDataFrame([("f", "zebra", "a first", 1), ("f", "apple", "b last", 2), ("g", "same", "none", 1), ("f", None, "null", 3)], "id string, new_fact string, reason string, place int")
+    out, revisions = L.rewritten(facts, changes, "now")
+    assert {r["id"]: r["fact"] for r in out.collect()} == {"f": "apple", "g": "same"}
+    assert rows(revisions.select("fact_id", "previous_fact", "new_fact", "reason")) == [("f", "old", "apple", "b last")]
+
+
+def test_equal_rows_are_drawn_apart(spark):
+    """With all rows equal but two values, the interval is that of the same numbers with a column that tells them apart."""
+    df = spark.createDataFrame([("g", float(k % 2)) for k in range(400)], "g string, v double")
+    r = A.bootstrap_means(df, "g", "v", 300, 1).first()
+    assert 0.42 < r["low"] < 0.48 and 0.52 < r["high"] < 0.58

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -32,12 +33,19 @@ def test_confined(tmp_path):
             confined(bad, [str(tmp_path / "in")])
 
 
-def test_summaries(spark):
-    turns = [("long", k, f"t{k}") for k in range(40)] + [("short", k, f"s{k}") for k in range(3)]
-    calls = L.summarised(spark.createDataFrame(turns, "session_id string, place int, text string"), lambda texts: f"({len(texts)}:{texts[0]})")
-    got = {r["session_id"]: r["summary"] for r in calls.collect()}
-    assert got["short"].endswith("s0))") or got["short"] == "(3:s0)"
-    assert got["long"] == "(5:(8:t0))"
+def test_summaries(spark, ws, tmp_path):
+    turns = [("long", k, f"t{k}") for k in range(130)] + [("short", k, f"s{k}") for k in range(3)]
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def summarise(texts):
+        (calls / uuid.uuid4().hex).write_text("")
+        return f"({len(texts)}:{texts[0]})"
+
+    got = {r["session_id"]: r["summary"] for r in L.summarised(spark.createDataFrame(turns, "session_id string, place int, text string"), summarise, ws).collect()}
+    assert got == {"short": "(3:s0)", "long": "(3:(8:(8:t0)))"}
+    # 17 chunks, 3 chunks of these, the last three, the short one: none twice
+    assert len(list(calls.iterdir())) == 22
 
 
 def test_ontology_view(spark):

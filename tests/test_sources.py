@@ -34,12 +34,12 @@ def folder(tmp_path):
 
 
 def test_both_dialects(spark, ws, folder):
-    raw = transcripts.lines(spark, folder)
+    raw = transcripts.lines(spark, folder, ws)
     kinds = {r["file"].rsplit("/", 1)[1]: r["dialect"] for r in transcripts.dialects(raw).collect()}
     assert kinds == {"a.jsonl": "A", "b.jsonl": "B"}
     a = transcripts.exchanges(transcripts.messages_a(raw.where("file like '%a.jsonl'")), ws).collect()
     assert [(r["user_message"], r["assistant_message"], [t["tool_name"] for t in r["tools"]], r["cwd"]) for r in a] == [("hello", "hi\n\ndone", ["Read"], "/w2")]
-    b = transcripts.exchanges(transcripts.messages_b(raw.where("file like '%b.jsonl'")), ws).collect()
+    b = transcripts.exchanges(transcripts.messages_b(raw.where("file like '%b.jsonl'"), ws), ws).collect()
     assert [(r["user_message"], r["assistant_message"], r["tools"][0]["tool_result"], r["session_id"], r["git_branch"]) for r in b] == [("go", "went", "out", "s9", "main")]
     rows_a = transcripts.indexed(transcripts.exchanges(transcripts.messages_a(raw.where("file like '%a.jsonl'")), ws)).first()
     assert (rows_a["project"], rows_a["line_start"], rows_a["line_end"]) == ("proj", 3, 6)
@@ -47,7 +47,7 @@ def test_both_dialects(spark, ws, folder):
     assert {r["project"]: r["excluded"] for r in transcripts.file_projects(raw, ["/p/"]).collect()} == {"-w": False, "-p-q": True}
     md = transcripts.rendered(raw.where("file like '%a.jsonl'")).first()["markdown"]
     assert "## User\n\nhello" in md and "**Read**" in md and "```\nok\n```" in md
-    assert transcripts.lines(spark, folder, "*.none").count() == 0
+    assert transcripts.lines(spark, folder, ws, "*.none").count() == 0
 
 
 def test_archives(spark, tmp_path):
@@ -110,3 +110,36 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 200
     shown = spark.createDataFrame([("s", f"f{k}", f"2026-01-0{1 + k % 9} 00:00:00") for k in range(9)], "session_id string, id string, at string").withColumn("at", F.col("at").cast("timestamp"))
     assert ingest.ledger(shown, "2026-01-09 00:00:00", most=3).first()["ids"] == ["f6", "f7", "f8"]
+
+
+def test_archives_of_any_size_by_lines(spark, tmp_path):
+    import zstandard
+
+    big = "\n".join(["first", "", *(f'{{"n": {k}}}' for k in range(30_000))]) + "\r\n"
+    (tmp_path / "x.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(big.encode()))
+    (tmp_path / "bad.jsonl.zst").write_bytes(b"nothing")
+    (tmp_path / "y.jsonl").write_text("plain")
+    got = files.archive_lines(spark, str(tmp_path), per_frame=1_000)
+    assert got.where("file like '%x.jsonl'").agg(F.count("*"), F.min("line"), F.max("line"), F.max_by("text", "line")).first() == (30_001, 1, 30_002, '{"n": 29999}')
+    assert got.where("file like '%y.jsonl'").first()["text"] == "plain" and got.where("file like '%bad%'").count() == 0
+
+
+def test_lines_of_a_file_in_splits(spark, ws, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"line {k}\r\n" if k % 3 else "\n" for k in range(1, 2_001)))
+    (tmp_path / "b.jsonl").write_text("only")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = [(r["file"].rsplit("/", 1)[1], r["line"], r["text"]) for r in transcripts.lines(spark, str(tmp_path), ws).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted([("a.jsonl", k, f"line {k}") for k in range(1, 2_001) if k % 3] + [("b.jsonl", 1, "only")])
+
+
+def test_filled_forward(spark, ws):
+    from parleyworks.operators.tables import filled_forward
+
+    data = [(g, k, f"v{k}" if k % 7 == 3 else None, k if k == 0 and g == "a" else None) for g in "abc" for k in range(40)]
+    got = filled_forward(ws, spark.createDataFrame(data, "g string, k int, v string, w int"), "g", "k", ["v", "w"]).collect()
+    last = lambda k: next((f"v{j}" for j in range(k, -1, -1) if j % 7 == 3), None)
+    assert sorted(map(tuple, got), key=repr) == sorted([(g, k, last(k), 0 if g == "a" else None) for g in "abc" for k in range(40)], key=repr)
