@@ -117,13 +117,16 @@ class Engine:
         slug = re.sub(r"[/._]", "-", project)
         return active.where((F.col("scope_type") == "global") | (path_slug("scope_project") == slug))
 
-    def search_facts(self, queries: DataFrame, vectors: list[DataFrame], project: str | None = None, limit: int = 5, least: float = 0.85, category: str | None = None) -> DataFrame:
-        """Facts near each query in any of the indexes (item_id, embedding), within a project's sight."""
+    def search_facts(self, queries: DataFrame, vectors: list[DataFrame], project: str | None = None, limit: int = 5, least: float = 0.85, category: str | None = None, revisions: DataFrame | None = None) -> DataFrame:
+        """Facts near each query in any of the indexes (item_id, embedding), within a project's sight, with their domain, their number of
+        revisions (fact_id, ...), of relations and of conflicts."""
         ids = self.visible(project)
         ids = (ids.where(F.col("category") == category) if category else ids).select(F.col("id").alias("item_id"))
         parts = [S.knn(self.with_vectors(queries).select("query_id", "embedding"), v.join(ids, "item_id", "left_semi"), limit, skip_same=False, least=least) for v in vectors]
         best = S.best_of(parts, "query_id", "item_id", limit)
-        return best.join(self.facts.select(F.col("id").alias("item_id"), clipped("fact").alias("fact"), "category", "scope_project"), "item_id")
+        hits = best.join(self.facts.select(F.col("id").alias("item_id"), clipped("fact").alias("fact"), "category", "scope_project", "category_id"), "item_id")
+        changes = self.facts.select("id", F.lit(0).alias("revisions")).limit(0) if revisions is None else revisions.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("revisions"))
+        return G.annotated(hits.withColumnRenamed("item_id", "id"), self.categories, changes, self.edges).withColumnRenamed("id", "item_id")
 
     def explore(self, seeds: DataFrame, hops: int = 2) -> DataFrame:
         """What seeds (id) reach within 1 to 3 hops, with the facts' texts."""
@@ -160,4 +163,9 @@ class Engine:
     def report(self, projects: int = 20, months: int = 12) -> str:
         """Coverage, projects, months and facts as Markdown."""
         parts = {"Coverage": A.coverage(self.exchanges), "Projects": A.project_report(self.exchanges, self.facts, projects), "Months": A.monthly(self.exchanges, months).orderBy("month"), "Facts": A.fact_counts(self.facts).orderBy("kind", "value"), "Consistency": self.consistency()}
+        cited = self.facts.select(F.explode("source_exchange_ids").alias("id")).distinct()
+        done = self.exchanges.join(cited, "id", "left_semi").select("session_id").where("session_id is not null").distinct()
+        without = self.exchanges.select("session_id").where("session_id is not null").distinct().join(done, "session_id", "left_anti")
+        silent = self.exchanges.where("coalesce(trim(assistant_message), '') = ''")
+        parts["Recommendations"] = A.recommendations({"sessions without facts": without, "exchanges without an answer": silent})
         return "\n\n".join(f"## {name}\n\n{A.markdown_table(df)}" for name, df in parts.items())

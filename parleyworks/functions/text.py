@@ -111,7 +111,7 @@ def json_of(c: Column | str) -> Column:
     c = _c(c)
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     text = F.when(fenced != "", fenced).when(c.rlike(r"(?s)\[.*\]"), F.regexp_extract(c, r"(?s)(\[.*\])", 1)).otherwise(F.regexp_extract(c, r"(?s)(\{.*\})", 1))
-    return F.when(F.try_parse_json(text).isNotNull(), F.trim(text))
+    return F.when(F.try_parse_json(text).isNotNull(), F.btrim(text, F.lit(" \t\r\n")))
 
 
 def edge_key(kind: Column | str, a: Column | str, b: Column | str, symmetric: list[str]) -> Column:
@@ -128,4 +128,20 @@ def escaped_like(c: Column | str, needle: str) -> Column:
 
 def markdown_cell(c: Column | str) -> Column:
     """Safe inside a Markdown table."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"\|", r"\\\\|"), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(_c(c), r"\|", r"\\|"), r"\s+", " ")
+
+
+def version_number(c: Column | str) -> Column:
+    """A number from 1000 on for a name: its characters as digits to the base 31, in 32 bits, modulo a million."""
+    codes = F.transform(F.split(_c(c), ""), lambda x: F.ascii(x).cast("bigint"))
+    return F.lit(1000) + F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, x: (acc * 31 + x) % (1 << 32)) % 1_000_000
+
+
+def slug(c: Column | str) -> Column:
+    """A name in small letters without blanks around."""
+    return F.lower(F.trim(_c(c)))
+
+
+def is_slug(c: Column | str) -> Column:
+    """Whether a name may be one: letters, digits and dashes, no dash in front, at most 64."""
+    return slug(c).rlike("^[a-z0-9][a-z0-9-]{0,63}$")

@@ -202,6 +202,15 @@ def majority(votes: DataFrame, item: list[str], verdict: str, confidence: str, v
     return once.groupBy(*item, verdict).agg(F.count("*").alias("votes"), median.alias("confidence")).where(F.col("votes") >= needed)
 
 
+def recommendations(open_work: dict[str, DataFrame]) -> DataFrame:
+    """(what, n): the kinds of open work of which there is any, with how much; no row where all is done."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in open_work.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n > 0")
+
+
 def markdown_table(df: DataFrame, rows: int = 50) -> str:
     """A small result as a Markdown table."""
     cells = lambda r: "| " + " | ".join(str("" if v is None else v).replace("|", "\\|").replace("\n", " ") for v in r) + " |"

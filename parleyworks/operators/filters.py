@@ -68,3 +68,12 @@ def relevance(confirmed: Column, created: Column, in_project: Column, now: str)
     recent = F.when(days <= 7, 5).when(days <= 30, 3).when(days <= 90, 1).otherwise(0)
     base = F.when(confirmed > 0, 3 * (1 + F.log2(confirmed + 1))).otherwise(3.0)
     return base + recent + F.when(in_project, 2).otherwise(0)
+
+
+# Words that a decision is told by.
+DECISION_WORDS = ["decision", "decided", "chose", "选择", "결정", "선택", "approach", "strategy", "architecture", "pattern", "refactor"]
+
+
+def names_any(*columns: str, words: list[str] = DECISION_WORDS) -> Column:
+    """Whether any of the words stands anywhere in the columns, without letter case: a cheap look before anything reads the texts."""
+    return F.concat_ws(" ", *columns).rlike("(?i)" + "|".join(f"\\Q{w}\\E" for w in words))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_key
@@ -162,3 +162,21 @@ def ontology_view(facts: DataFrame, categories: DataFrame, edges: DataFrame, nee
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     counts = inside.join(ends.groupBy("id").agg(F.count("*").alias("relations")), "id", "left").groupBy("category_id").agg(F.count("*").alias("facts"), F.sum(F.coalesce("relations", F.lit(0))).alias("relations"))
     return chosen.join(counts, "category_id", "left").select("domain_id", "category_id", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("relations", F.lit(0)).alias("relations"))
+
+
+def named_without_case(asked: DataFrame, named: DataFrame, name: str, id_col: str) -> DataFrame:
+    """``asked`` with the rows of ``named`` whose name is the same without letter case."""
+    return asked.withColumn("_low", F.lower(name)).join(named.withColumn("_low", F.lower(id_col)), "_low").drop("_low")
+
+
+def reused(similarity: Column, category: Column, least: float, other: str) -> Column:
+    """The nearest category where it is at least so similar, else the one for all others."""
+    return F.when(similarity >= least, category).otherwise(F.lit(other))
+
+
+def annotated(hits: DataFrame, categories: DataFrame, revisions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Facts (id, category_id, ...) with their domain, their number of ``revisions``, of ``relations`` in either direction, and of ``conflicts``."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"), (F.col("relation_type") == "CONTRADICTS").cast("int").alias("c"))
+    counts = ends.groupBy("id").agg(F.count("*").alias("relations"), F.sum("c").alias("conflicts"))
+    both = hits.join(categories.select("category_id", "domain_id"), "category_id", "left").join(revisions.select("id", "revisions"), "id", "left").join(counts, "id", "left")
+    return both.select(*hits.columns, "domain_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("revisions", "relations", "conflicts")])

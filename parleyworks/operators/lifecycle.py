@@ -107,3 +107,10 @@ def summarised(turns: DataFrame, summarise: Callable[[list[str]], str], ws: Work
             return out
         # chunks are numbered by their first turn: the next level numbers them from 0 again
         level = done.where("not _last").select(group, F.floor(F.col(place) / chunk).cast("int").alias(place), text)
+
+
+def conversation_texts(turns: DataFrame, group: str) -> DataFrame:
+    """(group, batch, text): the exchanges of each batch (batch, place, user_message, assistant_message) as one text, in order."""
+    said = F.concat(F.lit("User: "), F.coalesce("user_message", F.lit("")), F.lit("\n\nAgent: "), F.coalesce("assistant_message", F.lit("")))
+    held = turns.select(group, "batch", F.struct("place", said.alias("said")).alias("t")).groupBy(group, "batch").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return held.select(group, "batch", F.array_join(F.transform("t", lambda x: x["said"]), "\n\n---\n\n").alias("text"))

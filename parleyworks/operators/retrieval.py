@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
+from ..session import Workspace
 from .tables import first_wins
 
 #: Query vectors that go to every executor at once; more are searched in so many passes over the corpus.
@@ -45,8 +46,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
         ids = np.array([r[0] for r in rows], dtype=object)[keep]
         groups = np.array([r[2] for r in rows], dtype=object)[keep]
         held = spark.sparkContext.broadcast((ids, q, groups))
+        # rows of a block, so that its similarities take no more than so many numbers
+        rows_at_once = max(64, min(chunk, 10_000_000 // max(1, len(ids))))
 
-        def scan(parts: Iterator[pd.DataFrame], held=held, dim=dim) -> Iterator[pd.DataFrame]:
+        def scan(parts: Iterator[pd.DataFrame], held=held, dim=dim, chunk=rows_at_once) -> Iterator[pd.DataFrame]:
             ids, q, groups = held.value
             best_s = np.full((len(ids), 0), 0.0)
             best_i = np.empty((len(ids), 0), dtype=object)
@@ -130,6 +133,30 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return one.groupBy(doc_id, "len", "token").agg(F.count("*").alias("tf")).select("token", doc_id, "tf", "len")
 
 
+class TextIndex:
+    """Postings of a table of texts, written once and read by every search: in order of the token, with the number and mean length of the
+    texts and in how many of them each token occurs."""
+
+    def __init__(self, docs: DataFrame, ws: Workspace, doc_id: str, text: str):
+        made = postings(docs, doc_id, text)
+        self.post = ws.save(made.repartitionByRange("token").sortWithinPartitions("token"), "postings")
+        self.frequency = ws.save(document_frequency(self.post), "frequency")
+        n = self.post.groupBy(doc_id).agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
+        self.docs, self.mean_len = n[0], n[1] or 1.0
+
+
+_indexes: dict[tuple, TextIndex] = {}
+
+
+def text_index(state: tuple, build: Callable[[], TextIndex]) -> TextIndex:
+    """The index of a table in this state; built at the first search, and again when the table's files have changed."""
+    if state not in _indexes:
+        for old in [k for k in _indexes if k[:2] == state[:2]]:
+            del _indexes[old]
+        _indexes[state] = build()
+    return _indexes[state]
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -141,8 +168,10 @@ def bm25(query_tokens: DataFrame, post: DataFrame, docs: int, mean_len: float, d
     the smaller id.
     """
     q = query_tokens.select(query_id, "token").distinct()
-    used = post.join(q.select("token").distinct(), "token", "left_semi")
-    df = used.groupBy("token").agg(F.count("*").alias("df")) if df is None else df
+    used = post
+    if df is None:
+        used = post.join(q.select("token").distinct(), "token", "left_semi")
+        df = document_frequency(used)
     idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean_len))))
     hits = q.join(df, "token").join(used, "token").select(query_id, doc_id, "token", part.alias("part"))
@@ -153,15 +182,17 @@ def bm25(query_tokens: DataFrame, post: DataFrame, docs: int, mean_len: float, d
     return scored.select(query_id, doc_id, "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rarest_ladder(query_tokens: DataFrame, post: DataFrame, doc_id: str, query_id: str = "query_id", rungs: int = 4, k: int = 20) -> DataFrame:
+def rarest_ladder(query_tokens: DataFrame, post: DataFrame, doc_id: str, query_id: str = "query_id", rungs: int = 4, k: int = 20, df: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rung): documents that hold the 4, 3, 2 or 1 rarest tokens of a query, the longest such rung first.
 
     Tokens that occur nowhere are dropped. All rungs come from one join: a document's rung is the number of the leading rarest
     tokens that it holds without a gap.
     """
     q = query_tokens.select(query_id, "token").distinct()
-    used = post.join(q.select("token").distinct(), "token", "left_semi")
-    df = used.groupBy("token").agg(F.count("*").alias("df"))
+    used = post
+    if df is None:
+        used = post.join(q.select("token").distinct(), "token", "left_semi")
+        df = document_frequency(used)
     ranked = q.join(df, "token").withColumn("place", F.row_number().over(Window.partitionBy(query_id).orderBy("df", "token"))).where(F.col("place") <= rungs)
     hits = ranked.join(used.select("token", doc_id), "token").groupBy(query_id, doc_id).agg(F.array_sort(F.collect_set("place")).alias("places"))
     rung = F.aggregate("places", F.lit(0), lambda acc, p: F.when(p == acc + 1, p).otherwise(acc))
@@ -177,10 +208,10 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, query_id: str, item_id:
     return first_wins([v, t], [query_id, item_id], ["rank"]).drop("pass_no")
 
 
-def all_then_ladder(query_tokens: DataFrame, post: DataFrame, doc_id: str, query_id: str = "query_id", k: int = 10) -> DataFrame:
+def all_then_ladder(query_tokens: DataFrame, post: DataFrame, doc_id: str, query_id: str = "query_id", k: int = 10, df: DataFrame | None = None) -> DataFrame:
     """Documents with every token of a query first, then those of the rarest-token ladder, at most ``k`` a query: (query_id, doc_id, pass_no)."""
-    whole = bm25(query_tokens, post, 1, 1.0, doc_id, query_id, k=2**31 - 1, all_tokens=True).select(query_id, doc_id, F.lit(0).alias("order"))
-    rungs = rarest_ladder(query_tokens, post, doc_id, query_id, k=2 * k).select(query_id, doc_id, (-F.col("rung")).alias("order"))
+    whole = bm25(query_tokens, post, 1, 1.0, doc_id, query_id, k=2**31 - 1, all_tokens=True, df=df).select(query_id, doc_id, F.lit(0).alias("order"))
+    rungs = rarest_ladder(query_tokens, post, doc_id, query_id, k=2 * k, df=df).select(query_id, doc_id, (-F.col("rung")).alias("order"))
     merged = first_wins([whole, rungs], [query_id, doc_id], ["order"])
     w = Window.partitionBy(query_id).orderBy("pass_no", "order", doc_id)
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, doc_id, "pass_no")

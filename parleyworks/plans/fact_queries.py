@@ -172,9 +172,8 @@ def _(s, d):
   UNION ALL SELECT query_id, doc_id, 1, -rung FROM (SELECT query_id, doc_id, rung, row_number() OVER (PARTITION BY query_id ORDER BY rung DESC, doc_id) AS r FROM (
   SELECT query_id, p.doc_id, CAST(CASE WHEN bool_or(place = 1) THEN CASE WHEN bool_or(place = 2) THEN CASE WHEN bool_or(place = 3) THEN CASE WHEN bool_or(place = 4) THEN 4 ELSE 3 END ELSE 2 END ELSE 1 END ELSE 0 END AS INTEGER) AS rung FROM qt JOIN post p USING (token) GROUP BY 1, 2) WHERE rung > 0) WHERE r <= 20)) WHERE f = 1) WHERE r <= 10""", SQ._TEXT))
 def _(s, d):
-    ws = Workspace(s, "v6")
-    post = SQ._postings(s, d, ws)
-    return S.all_then_ladder(SQ._rare(s, d, post, ws), post, "doc_id", k=10)
+    ix = SQ._index(s, d)
+    return S.all_then_ladder(SQ._rare(s, d, ix), ix.post, "doc_id", k=10, df=ix.frequency)
 
 
 QUERIES, ORACLE = Q, O

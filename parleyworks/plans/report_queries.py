@@ -127,12 +127,6 @@ def _(s, d):
     return V.calls(s, d).where("tool_name is not null").join(V.exchange_meta(s, d).select(F.col("id").alias("exchange_id"), "session_id").where("session_id is not null"), "exchange_id").select("session_id", "tool_name").distinct()
 
 
-@query("a21_content_duplicates", sql("""SELECT id, first_value(id) OVER (w ORDER BY consolidated_count DESC, created_at NULLS FIRST, id) AS keeper, count(*) OVER w AS copies FROM facts WHERE is_active
-WINDOW w AS (PARTITION BY fact, scope_type, coalesce(scope_project, '')) QUALIFY copies > 1"""))
-def _(s, d):
-    return A.content_duplicates(V.facts(s, d))
-
-
 @query("a21_repeated_documents", sql("""SELECT id, first_value(id) OVER (w ORDER BY created_at NULLS FIRST, id) AS keeper, count(*) OVER w AS copies FROM (SELECT doc_id AS id, text AS fact, lower(trim(lang)) AS lang, created_at FROM documents)
 WINDOW w AS (PARTITION BY fact, lang) QUALIFY copies > 1"""))
 def _(s, d):
@@ -176,15 +170,10 @@ def _(s, d):
     return ex.where("coalesce(is_sidechain, false) = false and session_id is not null").join(done, "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("exchanges")).where("exchanges >= 2")
 
 
-@query("j10_project_connections", sql("SELECT a.project, b.project AS other, count(*) AS links FROM ex a JOIN ex b ON a.session_id = b.session_id AND a.project < b.project GROUP BY 1, 2 HAVING count(*) > 2"))
-def _(s, d):
-    return A.project_connections(V.exchange_meta(s, d), 2)
-
-
-@query("j10_projects_by_branch", sql("SELECT a.project, b.project AS other, count(*) AS links FROM ex a JOIN ex b ON a.git_branch = b.git_branch AND a.project < b.project GROUP BY 1, 2 HAVING count(*) > 2"))
+@query("j10_branch_connections", sql("SELECT a.git_branch AS project, b.git_branch AS other, count(*) AS links FROM ex a JOIN ex b ON a.session_id = b.session_id AND a.git_branch < b.git_branch GROUP BY 1, 2 HAVING count(*) > 2"))
 def _(s, d):
-    """The same for projects that share names of branches."""
-    ex = V.exchange_meta(s, d).select(F.col("git_branch").alias("session_id"), "project")
+    """Branches that sessions have in common: exchanges of either side in one session, counted before they meet. (No two projects share a session here.)"""
+    ex = V.exchange_meta(s, d).select("session_id", F.col("git_branch").alias("project"))
     return A.project_connections(ex, 2)
 
 

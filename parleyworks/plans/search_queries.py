@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import quantised
 from ..operators import graph as G
 from ..operators import retrieval as S
+from ..operators import tables as R
 from ..operators.analytics import ontology_summary
 from ..operators.tables import first_wins
-from ..session import Workspace
+from ..session import Workspace, state_of
 from . import views as V
 from .views import sql
 
@@ -95,12 +96,14 @@ def _(s, d):
     return V.vectors(s, d).select(F.col("item_id").alias("vec_id"), quantised("embedding").alias("q"))
 
 
-@query("v25_exchange_knn")
+@query("v25_exchange_knn", sql("SELECT query_id, item_id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (SELECT q.id AS query_id, c.id AS item_id, list_dot_product(q.u, c.u) AS cosine, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.u, c.u) DESC, c.id) AS rank FROM unit q JOIN unit c ON CAST('0x' || substr(q.id, 1, 8) AS BIGINT) % 50 = 0 AND q.id <> c.id) WHERE rank <= 5",
+ """vec AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM ex WHERE len(embedding) = 384), unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec WHERE list_dot_product(v, v) > 0)"""))
 def _(s, d):
-    """The five nearest exchanges of each whose number is divisible by 50, exactly."""
-    ex = V.table(s, d, "exchanges").withColumn("id", V.norm_id("id")).where("id is not null and size(embedding) = 384").select("id", "embedding").dropDuplicates(["id"])
+    """The five nearest exchanges of each whose number is divisible by 50, exactly; an id counts by its last indexed row."""
+    ex = V.table(s, d, "exchanges").withColumn("id", V.norm_id("id")).where("id is not null").select("id", "last_indexed", "embedding")
+    ex = R.latest(ex, ["id"], [F.desc_nulls_last("last_indexed")]).where("size(embedding) = 384").select("id", "embedding")
     q = ex.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
-    return S.knn(q, ex.withColumnRenamed("id", "item_id"), 5)
+    return S.knn(q, ex.withColumnRenamed("id", "item_id"), 5).withColumn("cosine", F.round("cosine", 6))
 
 
 _TEXT = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),
@@ -108,40 +111,45 @@ lens AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY 1), post AS (SELECT to
 qt AS (SELECT query_id, token, df, place FROM (SELECT p.doc_id AS query_id, p.token, df.df, row_number() OVER (PARTITION BY p.doc_id ORDER BY df.df, p.token) AS place FROM post p JOIN df USING (token) WHERE p.doc_id % 50 = 0 AND df.df > 1) WHERE place <= 4)"""
 
 
-def _postings(s, d, ws):
-    return ws.save(S.postings(V.documents(s, d), "doc_id", "text"), "postings")
+def _index(s, d):
+    """The index of the documents, kept as long as the table is as it is."""
+    return S.text_index(state_of(s, f"{d}/documents.parquet"), lambda: S.TextIndex(V.documents(s, d), Workspace(s, "index"), "doc_id", "text"))
 
 
-def _rare(s, d, post, ws):
-    """Of each document whose id is divisible by 50 the four rarest words that occur elsewhere too."""
-    df = S.document_frequency(post).where("df > 1")
-    q = post.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "token").join(df, "token")
+def _rare(s, d, ix):
+    """Of each document whose id is divisible by 50 the four rarest words that occur elsewhere too, with how many documents they occur in."""
+    q = ix.post.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "token").join(ix.frequency.where("df > 1"), "token")
     w = Window.partitionBy("query_id").orderBy("df", "token")
-    return ws.save(q.withColumn("place", F.row_number().over(w)).where("place <= 4").select("query_id", "token"), "rare")
+    return q.withColumn("place", F.row_number().over(w)).where("place <= 4").select("query_id", "token", "df")
 
 
 @query("v4_bm25", sql("""SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
   SELECT query_id, p.doc_id, sum(ln(1 + ((SELECT count(*) FROM lens) - q.df + 0.5) / (q.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (SELECT avg(len) FROM lens)))) AS score FROM qt q JOIN post p USING (token) JOIN lens l ON l.doc_id = p.doc_id GROUP BY 1, 2)) WHERE rank <= 10""", _TEXT))
 def _(s, d):
-    ws = Workspace(s, "bm25")
-    post = _postings(s, d, ws)
-    n, mean = post.groupBy("doc_id").agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
-    return S.bm25(_rare(s, d, post, ws), post, n, mean or 1.0, "doc_id").select("query_id", "doc_id", "rank")
+    ix = _index(s, d)
+    return S.bm25(_rare(s, d, ix), ix.post, ix.docs, ix.mean_len, "doc_id", df=ix.frequency).select("query_id", "doc_id", "rank")
+
+
+@query("v4_bm25_all_words", sql("""SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+  SELECT q.doc_id AS query_id, p.doc_id, sum(ln(1 + ((SELECT count(*) FROM lens) - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (1 - 0.75 + 0.75 * len / (SELECT avg(len) FROM lens)))) AS score FROM post q JOIN df USING (token) JOIN post p USING (token) JOIN lens l ON l.doc_id = p.doc_id WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)) WHERE rank <= 10""", _TEXT))
+def _(s, d):
+    """The same with all words of each query text, frequent ones too."""
+    ix = _index(s, d)
+    q = ix.post.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "token")
+    return S.bm25(q, ix.post, ix.docs, ix.mean_len, "doc_id", df=ix.frequency).select("query_id", "doc_id", "rank")
 
 
 @query("v4_all_tokens", sql("SELECT h.query_id, h.doc_id FROM (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (token) GROUP BY 1, 2) h JOIN (SELECT query_id, count(*) AS n FROM qt GROUP BY 1) w ON w.query_id = h.query_id AND w.n = h.n", _TEXT))
 def _(s, d):
-    ws = Workspace(s, "alltok")
-    post = _postings(s, d, ws)
-    return S.bm25(_rare(s, d, post, ws), post, 1, 1.0, "doc_id", k=2**31 - 1, all_tokens=True).select("query_id", "doc_id")
+    ix = _index(s, d)
+    return S.bm25(_rare(s, d, ix), ix.post, 1, 1.0, "doc_id", k=2**31 - 1, all_tokens=True, df=ix.frequency).select("query_id", "doc_id")
 
 
 @query("v5_rarest_ladder", sql("""SELECT query_id, doc_id, rung FROM (SELECT query_id, doc_id, rung, row_number() OVER (PARTITION BY query_id ORDER BY rung DESC, doc_id) AS r FROM (
   SELECT query_id, p.doc_id, CAST(CASE WHEN bool_or(place = 1) THEN CASE WHEN bool_or(place = 2) THEN CASE WHEN bool_or(place = 3) THEN CASE WHEN bool_or(place = 4) THEN 4 ELSE 3 END ELSE 2 END ELSE 1 END ELSE 0 END AS INTEGER) AS rung FROM qt JOIN post p USING (token) GROUP BY 1, 2) WHERE rung > 0) WHERE r <= 20""", _TEXT))
 def _(s, d):
-    ws = Workspace(s, "ladder")
-    post = _postings(s, d, ws)
-    return S.rarest_ladder(_rare(s, d, post, ws), post, "doc_id").select("query_id", "doc_id", "rung")
+    ix = _index(s, d)
+    return S.rarest_ladder(_rare(s, d, ix), ix.post, "doc_id", df=ix.frequency).select("query_id", "doc_id", "rung")
 
 
 @query("v7_hybrid", sql("""SELECT query_id, doc_id AS item_id, match FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pass) AS r FROM (
@@ -149,10 +157,8 @@ def _(s, d):
   UNION ALL SELECT query_id, doc_id, 'text', 1 FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
     SELECT query_id, p.doc_id, sum(ln(1 + ((SELECT count(*) FROM lens) - q.df + 0.5) / (q.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (SELECT avg(len) FROM lens)))) AS score FROM qt q JOIN post p USING (token) JOIN lens l ON l.doc_id = p.doc_id GROUP BY 1, 2)) WHERE rank <= 5)) WHERE r = 1""", _KNN + ", " + _TEXT))
 def _(s, d):
-    ws = Workspace(s, "hybrid")
-    post = _postings(s, d, ws)
-    n, mean = post.groupBy("doc_id").agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
-    text = S.bm25(_rare(s, d, post, ws), post, n, mean or 1.0, "doc_id", k=5).withColumnRenamed("doc_id", "item_id")
+    ix = _index(s, d)
+    text = S.bm25(_rare(s, d, ix), ix.post, ix.docs, ix.mean_len, "doc_id", k=5, df=ix.frequency).withColumnRenamed("doc_id", "item_id")
     return S.hybrid(_near(s, d, 5), text, "query_id", "item_id").select("query_id", "item_id", "match")
 
 

@@ -25,11 +25,14 @@ def query(name: str, oracle: str | None = None):
 _B = "E' \\t\\r\\n\\f\\v'"
 
 
-@query("src1_exchanges", f"""
-WITH m AS (SELECT nullif(lower(trim(sessionId, {_B})), '') AS file, nullif(lower(trim(uuid, {_B})), '') AS uuid, type AS role, coalesce(timestamp, '') AS seen,
+SESSION_MESSAGES = f"""m AS (SELECT nullif(lower(trim(sessionId, {_B})), '') AS file, nullif(lower(trim(uuid, {_B})), '') AS uuid, type AS role, coalesce(timestamp, '') AS seen,
   trim(coalesce(CASE WHEN trim(message.content) LIKE '[%' AND json_valid(message.content) THEN array_to_string(list_transform(list_filter(CAST(json_extract(message.content, '$[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'text'), lambda b: coalesce(json_extract_string(b, '$.text'), '')), chr(10)) ELSE message.content END, '')) AS text,
   coalesce(CASE WHEN trim(message.content) LIKE '[%' AND json_valid(message.content) THEN len(list_filter(CAST(json_extract(message.content, '$[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'tool_use')) END, 0) AS tools FROM short_conversation WHERE type IN ('user', 'assistant')),
-u AS (SELECT DISTINCT ON (file, uuid) * FROM m WHERE file IS NOT NULL AND uuid IS NOT NULL AND (text <> '' OR tools > 0) ORDER BY file, uuid, seen, text),
+u AS (SELECT DISTINCT ON (file, uuid) * FROM m WHERE file IS NOT NULL AND uuid IS NOT NULL AND (text <> '' OR tools > 0) ORDER BY file, uuid, seen, text)"""
+
+
+@query("src1_exchanges", f"""
+WITH {SESSION_MESSAGES},
 g AS (SELECT *, sum(CAST(role = 'user' AND text <> '' AS INTEGER)) OVER (PARTITION BY file ORDER BY seen, uuid ROWS UNBOUNDED PRECEDING) AS turn FROM u)
 SELECT file, max(CASE WHEN role = 'user' AND text <> '' THEN text END) AS user_message, string_agg(CASE WHEN role = 'assistant' AND text <> '' THEN text END, chr(10) || chr(10) ORDER BY seen, uuid) AS assistant_message, CAST(sum(tools) AS BIGINT) AS tools
 FROM g WHERE turn > 0 GROUP BY file, turn HAVING count(*) FILTER (role = 'assistant' AND text <> '') > 0""")

@@ -114,6 +114,16 @@ def _clean() -> None:
             ws.close()
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: how many files and bytes, and the latest change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    status = fs.getFileStatus(at)
+    times = [f.getModificationTime() for f in fs.listStatus(at)] if status.isDirectory() else []
+    return (spark.sparkContext.applicationId, path, held.getFileCount(), held.getLength(), max([status.getModificationTime(), *times]))
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS, rows: int | None = None) -> list:
     """Keys that hold more than ``share`` of the rows and at least ``least``: at most ``1 / share`` values.
 

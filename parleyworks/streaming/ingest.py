@@ -75,18 +75,18 @@ def ledger(shown: DataFrame, now, most: int = 400, days: int = 7) -> DataFrame:
     return ranked.select("session_id", F.transform("l", lambda x: x["id"]).alias("ids"))
 
 
-def ingest_transcripts(spark: SparkSession, path: str, store: Store, ws: Workspace, excluded: list[str] | None = None, markers: list[str] | None = None) -> dict[str, int]:
+def ingest_transcripts(spark: SparkSession, path: str, store: Store, ws: Workspace, excluded: list[str] | None = None, markers: list[str] | None = None, glob: str = "*.jsonl") -> dict[str, int]:
     """Bring new and changed transcripts of either dialect into the store's ``exchanges``; returns how many files and exchanges came.
 
     What is new is told by the manifest of files read before; a file that holds an exclusion marker or names an excluded folder is
     noted and left out. Exchanges replace those with the same id, so a second run changes nothing.
     """
     manifest = store.read("files") if store.version("files") else spark.createDataFrame([], "file string, modified timestamp")
-    fresh = ws.save(newer_files(spark, path, manifest, "*.jsonl"), "fresh")
+    fresh = ws.save(newer_files(spark, path, manifest, glob), "fresh")
     count = fresh.count()
     if not count:
         return {"files": 0, "exchanges": 0}
-    raw = transcripts.lines(spark, path, ws).join(fresh.select("file"), "file", "left_semi")
+    raw = transcripts.lines(spark, path, ws, glob).join(fresh.select("file"), "file", "left_semi")
     if markers:
         raw = raw.join(transcripts.excluded_files(raw, markers), "file", "left_anti")
     if excluded:
