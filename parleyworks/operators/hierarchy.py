@@ -198,33 +198,35 @@ def _at_tiers(nodes: DataFrame, at: Column, most: int) -> DataFrame:
     return nodes.withColumn("_p", F.explode(places)).select("*", "_p._tier", "_p._block").drop("_p")
 
 
-def ancestors_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+def ancestors_of(tree: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
     """(id, ancestor, ancestor_depth) of each id of ``wanted`` (a column ``id``): the nodes of its tree whose range holds it.
 
-    Ranges meet numbers by blocks of preorder numbers, so pairs of nodes of one tree that aren't related are not made."""
+    Ranges meet numbers by blocks of preorder numbers, so pairs of nodes of one tree that aren't related are not made. What is wanted
+    is written first: where it is small Spark then knows and moves nothing else."""
     ok = tree.where("tree_pre is not null")
     most = ok.agg(F.max("subtree_size")).first()[0] or 1  # one number
-    w = ok.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_at"))
+    w = ws.save(ok.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_at")), "wanted")
     a = ok.where("tree_last > tree_pre").select(F.col("id").alias("ancestor"), "root", "tree_pre", "tree_last", F.col("depth").alias("ancestor_depth"))
     below = _blocks(a, F.col("tree_pre") + 1, F.col("tree_last"))
     return _at_tiers(w, F.col("_at"), most).join(below, ["root", "_tier", "_block"]).where(F.col("_at").between(F.col("tree_pre") + 1, F.col("tree_last"))).select("id", "ancestor", "ancestor_depth")
 
 
-def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+def descendants_of(tree: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
     """(id, descendant, distance) of each id of ``wanted`` (a column ``id``), by its nested-set range, joined by blocks like ``ancestors_of``."""
     ok = tree.where("tree_pre is not null")
     w = ok.where("tree_last > tree_pre").join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_pre"), F.col("tree_last").alias("_last"), F.col("depth").alias("_depth"))
-    most = w.agg(F.max(F.col("_last") - F.col("_pre"))).first()[0] or 1  # one number
+    w = ws.save(w, "wanted", most=F.max(F.col("_last") - F.col("_pre")))
+    most = w.seen["most"] or 1
     d = ok.select(F.col("id").alias("descendant"), "root", "tree_pre", "depth")
     ranges = _blocks(w, F.col("_pre") + 1, F.col("_last"))
     return _at_tiers(d, F.col("tree_pre"), most).join(ranges, ["root", "_tier", "_block"]).where((F.col("tree_pre") > F.col("_pre")) & (F.col("tree_pre") <= F.col("_last"))).select("id", "descendant", (F.col("depth") - F.col("_depth")).alias("distance"))
 
 
-def paths_of(tree: DataFrame, wanted: DataFrame, separator: str = "/") -> DataFrame:
+def paths_of(tree: DataFrame, wanted: DataFrame, ws: Workspace, separator: str = "/") -> DataFrame:
     """(id, path) of each id of ``wanted`` that is in ``tree``: the ids from its root to itself; null for nodes on or below a loop.
 
     A path is one value of a row, as long as its node is deep."""
-    up = ancestors_of(tree, wanted).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ancestor_depth", "ancestor"))), lambda a: a["ancestor"]), separator).alias("_up"))
+    up = ancestors_of(tree, wanted, ws).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ancestor_depth", "ancestor"))), lambda a: a["ancestor"]), separator).alias("_up"))
     own = tree.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "depth")
     return own.join(up, "id", "left").select("id", F.when(F.col("depth") >= 0, F.concat_ws(separator, "_up", "id")).alias("path"))
 

@@ -61,8 +61,8 @@ def check(spark, ws, pairs):
 def test_shapes(spark, ws):
     pairs = [("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), ("q", "gone"), (None, "a"), ("b", "a"), ("w", "s")]
     tree = check(spark, ws, pairs)
-    assert {r["descendant"] for r in descendants_of(tree, spark.createDataFrame([("b",)], "id string")).collect()} == {"c", "d", "e"}
-    assert {(r["ancestor"], r["ancestor_depth"]) for r in ancestors_of(tree, spark.createDataFrame([("e",)], "id string")).collect()} == {("a", 0), ("b", 1), ("d", 2)}
+    assert {r["descendant"] for r in descendants_of(tree, spark.createDataFrame([("b",)], "id string"), ws).collect()} == {"c", "d", "e"}
+    assert {(r["ancestor"], r["ancestor_depth"]) for r in ancestors_of(tree, spark.createDataFrame([("e",)], "id string"), ws).collect()} == {("a", 0), ("b", 1), ("d", 2)}
     paths = {r["id"]: r["path"] for r in with_paths(tree, ws).collect()}
     assert paths["e"] == ["a", "b", "d", "e"] and paths["x"] is None and paths["q"] == ["q"]
 
@@ -115,11 +115,11 @@ def test_ranges_over_several_tiers(spark, ws):
     for i, p in pairs[:4_200]:
         path[i] = [*path.get(p, []), i]
     wanted = spark.createDataFrame([(f"n{k:05d}",) for k in range(0, 4_200, 70)] + [("x",), ("no",), ("n00000",)], "id string")
-    got = {r["id"]: r["path"] for r in paths_of(tree, wanted).collect()}
+    got = {r["id"]: r["path"] for r in paths_of(tree, wanted, ws).collect()}
     assert got == {f"n{k:05d}": "/".join(path[f"n{k:05d}"]) for k in range(0, 4_200, 70)} | {"x": None}
-    below = sorted(map(tuple, descendants_of(tree, wanted).collect()))
+    below = sorted(map(tuple, descendants_of(tree, wanted, ws).collect()))
     assert below == sorted((w, d, len(p) - len(path[w])) for w in (f"n{k:05d}" for k in range(0, 4_200, 70)) for d, p in path.items() if w in p[:-1])
-    assert parent["x"] == "y" and paths_of(tree.limit(0), wanted).count() == 0 and descendants_of(tree, wanted.limit(0)).count() == 0
+    assert parent["x"] == "y" and paths_of(tree.limit(0), wanted, ws).count() == 0 and descendants_of(tree, wanted.limit(0), ws).count() == 0
 
 
 def test_saved_steps_carry_their_figures(spark, ws):
