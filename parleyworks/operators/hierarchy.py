@@ -176,6 +176,8 @@ def _ranges(ws: Workspace, heads: DataFrame) -> DataFrame:
     return ws.save(reached.join(down.select("head", F.col("pre").alias("head_pre")), "head"), "ranges")
 
 
+#: Rows of at most a few hundred bytes that may be sent to all tasks.
+SMALL = 100_000
 #: Ranges are joined by blocks of preorder numbers; a block has a power of this many numbers.
 BLOCK_BASE = 64
 
@@ -202,13 +204,15 @@ def ancestors_of(tree: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame
     """(id, ancestor, ancestor_depth) of each id of ``wanted`` (a column ``id``): the nodes of its tree whose range holds it.
 
     Ranges meet numbers by blocks of preorder numbers, so pairs of nodes of one tree that aren't related are not made. What is wanted
-    is written first: where it is small Spark then knows and moves nothing else."""
+    is written first: up to ``SMALL`` rows of it go to all tasks, so that nothing else moves; more meet by a shuffle."""
     ok = tree.where("tree_pre is not null")
     most = ok.agg(F.max("subtree_size")).first()[0] or 1  # one number
     w = ws.save(ok.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tree_pre").alias("_at")), "wanted")
     a = ok.where("tree_last > tree_pre").select(F.col("id").alias("ancestor"), "root", "tree_pre", "tree_last", F.col("depth").alias("ancestor_depth"))
     below = _blocks(a, F.col("tree_pre") + 1, F.col("tree_last"))
-    return _at_tiers(w, F.col("_at"), most).join(below, ["root", "_tier", "_block"]).where(F.col("_at").between(F.col("tree_pre") + 1, F.col("tree_last"))).select("id", "ancestor", "ancestor_depth")
+    points = _at_tiers(w, F.col("_at"), most)
+    points = F.broadcast(points) if w.seen["rows"] <= SMALL else points
+    return points.join(below, ["root", "_tier", "_block"]).where(F.col("_at").between(F.col("tree_pre") + 1, F.col("tree_last"))).select("id", "ancestor", "ancestor_depth")
 
 
 def descendants_of(tree: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
@@ -219,6 +223,7 @@ def descendants_of(tree: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFra
     most = w.seen["most"] or 1
     d = ok.select(F.col("id").alias("descendant"), "root", "tree_pre", "depth")
     ranges = _blocks(w, F.col("_pre") + 1, F.col("_last"))
+    ranges = F.broadcast(ranges) if w.seen["rows"] * (BLOCK_BASE + 1) <= SMALL else ranges
     return _at_tiers(d, F.col("tree_pre"), most).join(ranges, ["root", "_tier", "_block"]).where((F.col("tree_pre") > F.col("_pre")) & (F.col("tree_pre") <= F.col("_last"))).select("id", "descendant", (F.col("depth") - F.col("_depth")).alias("distance"))
 
 
