@@ -32,7 +32,9 @@ ITEMS_PER_BLOCK = 20_000
 _WORD = re.compile(r"[^\W_]+")
 # marks belong to the letter before them: a vowel sign doesn't end a word
 _MARKED_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]")
+#: Characters that are not seen.
+INVISIBLE = "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]"
+_INVISIBLE = re.compile(INVISIBLE)
 
 
 def plain_words(text: str | None) -> list[str]:
