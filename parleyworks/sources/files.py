@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,6 +94,11 @@ def plain_path(c: Column | str) -> Column:
     return F.regexp_replace(c, "^file:/+", "file:/")
 
 
+#: Buckets of a table that is changed in place of rows, and the columns of a version that lists them.
+BUCKETS = 256
+_PARTS = ["_bucket", "_path"]
+
+
 class Store:
     """Tables as immutable versions ``name/v=N``. The current one is the highest that is complete, which the mark that Spark writes last
     tells, so a reader sees whole versions only, at any moment."""
@@ -121,7 +127,37 @@ class Store:
         n = self.version(name)
         if not n:
             raise FileNotFoundError(f"no version of {name} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={n}")
+        found = self.spark.read.parquet(f"{self.root}/{name}/v={n}")
+        if found.columns != _PARTS:
+            return found
+        return self._parts([r["_path"] for r in found.orderBy("_bucket").collect()])  # no more than there are buckets
+
+    def _parts(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*paths)
+
+    def upsert(self, name: str, new: DataFrame, key: list[str], by: list[str] | None = None, buckets: int = BUCKETS) -> int:
+        """A version in which the rows of ``new`` stand instead of those with the same key.
+
+        The table lies in buckets by the hash of ``by`` (the key by default; rows of one key must have one ``by``), and a version lists where each
+        bucket lies, so only the buckets that ``new`` has rows for are read and written again. Without rows nothing changes.
+        """
+        n = self.version(name)
+        bucketed = new.withColumn("_bucket", F.pmod(F.xxhash64(*(by or key)), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in bucketed.select("_bucket").distinct().collect()]
+        if not touched and n:
+            return n
+        held = {r["_bucket"]: r["_path"] for r in self.spark.read.parquet(f"{self.root}/{name}/v={n}").collect()} if n else {}
+        again = [held[b] for b in touched if b in held]
+        if again:
+            old = self._parts(again)
+            old = old.join(bucketed.select(*key).distinct(), key, "left_anti")
+            bucketed = old.withColumn("_bucket", F.pmod(F.xxhash64(*(by or key)), F.lit(buckets)).cast("int")).unionByName(bucketed, allowMissingColumns=True)
+        at = f"{self.root}/{name}/data-{uuid.uuid4().hex}"
+        bucketed.repartition("_bucket").write.partitionBy("_bucket").parquet(at)
+        if not touched:
+            bucketed.limit(0).drop("_bucket").write.parquet(f"{at}/_bucket=-1")
+        held |= {b: f"{at}/_bucket={b}" for b in touched or [-1]}
+        return self.publish(name, self.spark.createDataFrame(sorted(held.items()), "_bucket int, _path string").coalesce(1))
 
     def publish(self, name: str, df: DataFrame) -> int:
         """Write the next version, whose number no other one has, a broken one neither."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.tables import top_per_group, upsert
+from ..operators.tables import top_per_group
 from ..session import Workspace
 from ..sources import transcripts
 from ..sources.files import Store, newer_files
@@ -41,6 +41,12 @@ def upsert_each_batch(stream: DataFrame, store: Store, name: str, progress: str,
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
+def upsert_stream(stream: DataFrame, store: Store, name: str, key: list[str], progress: str, by: list[str] | None = None) -> None:
+    """Bring each micro-batch into a bucketed table; only the buckets that it has rows for are written. Of rows with one key any of a
+    batch may stay. A batch that is run again changes nothing."""
+    stream.writeStream.foreachBatch(lambda batch, _: store.upsert(name, batch.dropDuplicates(key), key, by)).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
 def without_repeats(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
     """Rows once per key within the watermark's delay.
 
@@ -104,6 +110,7 @@ def ingest_transcripts(spark: SparkSession, path: str, store: Store, ws: Workspa
     if new is not None:
         new = ws.save(new, "new")
         found = new.count()
-        store.publish("exchanges", upsert(store.read("exchanges"), new, ["id"]) if store.version("exchanges") else new)
-    store.publish("files", upsert(manifest, fresh, ["file"]))
+        # by file: what comes of a few files changes few buckets
+        store.upsert("exchanges", new, ["id"], by=["archive_path"])
+    store.upsert("files", fresh, ["file"])
     return {"files": count, "exchanges": found}

@@ -143,3 +143,26 @@ def test_filled_forward(spark, ws):
     got = filled_forward(ws, spark.createDataFrame(data, "g string, k int, v string, w int"), "g", "k", ["v", "w"]).collect()
     last = lambda k: next((f"v{j}" for j in range(k, -1, -1) if j % 7 == 3), None)
     assert sorted(map(tuple, got), key=repr) == sorted([(g, k, last(k), 0 if g == "a" else None) for g in "abc" for k in range(40)], key=repr)
+
+
+def test_upserts_write_the_buckets_they_change(spark, tmp_path):
+    store = files.Store(spark, str(tmp_path / "store"))
+    rows_of = lambda pairs: spark.createDataFrame(pairs, "id int, v string")
+    assert store.upsert("t", rows_of([]), ["id"]) == 1 and store.read("t").count() == 0
+    store.upsert("t", rows_of([(k, "a") for k in range(500)]), ["id"], buckets=16)
+    before = {r["_bucket"]: r["_path"] for r in spark.read.parquet(str(tmp_path / "store/t/v=2")).collect()}
+    assert store.upsert("t", rows_of([(7, "b"), (1_000, "c")]), ["id"], buckets=16) == 3
+    after = {r["_bucket"]: r["_path"] for r in spark.read.parquet(str(tmp_path / "store/t/v=3")).collect()}
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2
+    got = {r["id"]: r["v"] for r in store.read("t").collect()}
+    assert got == {k: "a" for k in range(500)} | {7: "b", 1_000: "c"}
+    assert store.upsert("t", rows_of([(7, "b"), (1_000, "c")]), ["id"], buckets=16) == 4 and store.read("t").count() == 501
+    assert store.upsert("t", rows_of([]), ["id"], buckets=16) == 4
+
+
+def test_upsert_stream(spark, tmp_path):
+    store, source = files.Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    for part in ([(1, "a"), (2, "a")], [(2, "b"), (3, "b")]):
+        spark.createDataFrame(part, "id int, v string").coalesce(1).write.mode("append").parquet(source)
+        ingest.upsert_stream(spark.readStream.schema("id int, v string").parquet(source), store, "t", ["id"], str(tmp_path / "progress"))
+    assert {r["id"]: r["v"] for r in store.read("t").collect()} == {1: "a", 2: "b", 3: "b"}
