@@ -16,6 +16,8 @@ from .tables import first_wins
 #: Query vectors that go to every executor at once; more are searched in so many passes over the corpus.
 QUERIES_PER_PASS = 20_000
 K1, B = 1.2, 0.75
+#: Tasks over which the postings of one word are spread in an index.
+SPREAD = 16
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", skip_same: bool = True, least: float | None = None, chunk: int = 2048, within: str | None = None, earlier: bool = False) -> DataFrame:
@@ -134,12 +136,14 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 class TextIndex:
-    """Postings of a table of texts, written once and read by every search: in order of the token, with the number and mean length of the
+    """Postings of a table of texts, written once and read by every search: those of a token together and in order, with the number and mean length of the
     texts and in how many of them each token occurs."""
 
     def __init__(self, docs: DataFrame, ws: Workspace, doc_id: str, text: str):
         made = postings(docs, doc_id, text)
-        self.post = ws.save(made.repartitionByRange("token").sortWithinPartitions("token"), "postings")
+        # the postings of a frequent word are spread over so many tasks
+        spread = made.repartition("token", F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)))
+        self.post = ws.save(spread.sortWithinPartitions("token"), "postings")
         self.frequency = ws.save(document_frequency(self.post), "frequency")
         n = self.post.groupBy(doc_id).agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
         self.docs, self.mean_len = n[0], n[1] or 1.0
