@@ -91,7 +91,9 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             at = stop + 1
             continue
         first = at + len(line) - len(line.lstrip())
-        fence = _FENCE.match(line)
+        # what a line may be shows in its first character
+        lead = text[first]
+        fence = _FENCE.match(line) if lead in "`~>" else None
         if fence:
             close()
             listed = None
@@ -111,11 +113,11 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             at = look if look > stop else stop + 1
             continue
         opened = None
-        heading = _HEADING.match(line)
-        speaker = _SPEAKER.match(line)
-        bullet = _BULLET.match(line)
-        number = _NUMBER.match(line)
-        quote = _QUOTE.match(line) if line.lstrip().startswith(">") else None
+        heading = _HEADING.match(line) if lead == "#" else None
+        speaker = _SPEAKER.match(line) if ":" in line else None
+        bullet = _BULLET.match(line) if lead in "-*+•‣–>" else None
+        number = _NUMBER.match(line) if lead == ">" or lead.isdigit() else None
+        quote = _QUOTE.match(line) if lead == ">" else None
         if heading:
             opened = first
         elif speaker:
