@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import vectors as N
@@ -11,7 +12,8 @@ from ..operators import graph as G
 from ..operators import lifecycle as L
 from ..operators import policy as P
 from ..operators import tables as R
-from ..operators.filters import names_any
+from ..operators.filters import names_any, pollution
+from ..schema import conform
 from ..session import Workspace, table
 from ..sources import transcripts as X
 from ..sources.files import Store
@@ -340,4 +342,78 @@ def _(s, d):
     return left.agg(F.count("*").alias("n")).select(F.lit("exchanges").alias("kind"), "n").unionByName(calls.agg(F.count("*").alias("n")).select(F.lit("calls").alias("kind"), "n"))
 
 
+@query("f1_extracted", sql("""SELECT session_id, fact, confidence FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, fact) AS place FROM (
+  SELECT session_id, substr(user_message, 1, 24) AS fact, (length(user_message) % 100) / 100.0 AS confidence FROM ex WHERE session_id IS NOT NULL AND user_message <> ''
+  QUALIFY row_number() OVER (PARTITION BY session_id, trim(regexp_replace(regexp_replace(lower(substr(user_message, 1, 24)), '[ \\t\\r\\n\\f\\v]+', ' ', 'g'), '[.!。]+$', ''), ' ') ORDER BY (length(user_message) % 100) / 100.0 DESC, substr(user_message, 1, 24)) = 1 AND (length(user_message) % 100) / 100.0 >= 0.7)) WHERE place <= 20"""))
+def _(s, d):
+    """Facts of an extractor that takes the beginning of each message: gated, each text once a session, the surest twenty."""
+    ex = V.exchanges(s, d).where("session_id is not null and user_message != ''").select("session_id", "user_message")
+
+    def extractor(p):
+        return p.assign(fact=p["user_message"].str[:24], confidence=(p["user_message"].str.len() % 100) / 100.0)[["session_id", "fact", "confidence"]]
+
+    return L.extracted(ex, extractor, "session_id string, fact string, confidence double")
+
+
+@query("f11_registry", "SELECT source AS slug, CAST(coalesce(max_repeats, 1) + 10 AS INTEGER) AS weight FROM mix_targets UNION ALL SELECT DISTINCT lower(trim(source, ' ')), 0 FROM documents WHERE source IS NOT NULL AND lower(trim(source, ' ')) NOT IN (SELECT source FROM mix_targets WHERE source IS NOT NULL)")
+def _(s, d):
+    """A registry by slug: the names that documents give, replaced by the entries that a later list has."""
+    first = V.documents(s, d).where("source is not null").select(T.slug("source").alias("slug"), F.lit(0).alias("weight")).distinct()
+    later = table(s, d, "mix_targets").select(F.col("source").alias("slug"), (F.coalesce("max_repeats", F.lit(1)) + 10).cast("int").alias("weight"))
+    return R.upsert(first, later, ["slug"])
+
+
+@query("f12_conflict_pairs", sql("""SELECT a, b, min(how) AS how FROM (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, '1 settled' AS how FROM edges WHERE relation_type = 'SUPERSEDES'
+UNION ALL SELECT DISTINCT least(source_id, target_id), greatest(source_id, target_id), '2 open' FROM edges WHERE relation_type = 'CONTRADICTS') GROUP BY 1, 2"""))
+def _(s, d):
+    """Pairs in conflict beside those that are settled already, which stay as they are."""
+    pair = lambda kind, how: V.edges(s, d).where(F.col("relation_type") == kind).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lit(how).alias("how")).distinct()
+    return R.insert_absent(pair("SUPERSEDES", "1 settled"), pair("CONTRADICTS", "2 open"), ["a", "b"])
+
+
+@query("f14_valid_findings", sql("""SELECT batch, item_index, slug, confidence FROM (SELECT *, count(*) OVER (PARTITION BY batch, item_index, slug) AS n FROM (SELECT id // 20 AS batch, CAST(id % 23 - 1 AS INTEGER) AS item_index, lower(action) AS slug, confidence FROM log)
+WHERE item_index >= 0 AND item_index < 20 AND slug IN ('keep', 'delete', 'retype') AND confidence >= 0.5 AND confidence <= 1 AND NOT isnan(confidence)) WHERE n = 1"""))
+def _(s, d):
+    """Rows of the log read as findings on the items of batches: those in range, of a known name, sure enough and claimed once."""
+    found = V.log(s, d).select((F.floor(F.col("id") / 20)).cast("bigint").alias("batch"), (F.col("id") % 23 - 1).cast("int").alias("item_index"), F.lower("action").alias("slug"), "confidence")
+    return L.valid_findings(found, 20, ["keep", "delete", "retype"], 0.5)
+
+
+@query("f26_purged", sql("""SELECT 'exchanges' AS kind, count(*) AS n FROM ex WHERE id NOT IN (SELECT id FROM ex WHERE starts_with(user_message, 'The nightly job') OR (user_message = 'Warmup' AND is_sidechain))
+UNION ALL SELECT 'calls', count(*) FROM calls WHERE exchange_id IS NULL OR exchange_id NOT IN (SELECT id FROM ex WHERE starts_with(user_message, 'The nightly job') OR (user_message = 'Warmup' AND is_sidechain))"""))
+def _(s, d):
+    """What is left when exchanges that are no conversation of a person go with their calls."""
+    ex = V.exchanges(s, d).select("id", "project", "user_message", "is_sidechain")
+    gone = ex.where(pollution(F.col("project"), F.col("user_message"), F.col("is_sidechain"), "no such project", ["The nightly job"])).select("id")
+    left, calls = R.delete_with_children(ex, [(V.calls(s, d), "exchange_id")], gone)
+    return left.agg(F.count("*").alias("n")).select(F.lit("exchanges").alias("kind"), "n").unionByName(calls.agg(F.count("*").alias("n")).select(F.lit("calls").alias("kind"), "n"))
+
+
+@query("r11_conformed", "SELECT CAST(vec_id AS VARCHAR) AS id, TRY_CAST(CASE WHEN label % 2 = 0 THEN CAST(label AS VARCHAR) ELSE 'x' END AS INTEGER) AS label, CAST(NULL AS VARCHAR) AS note FROM embeddings WHERE label % 3 <> 0")
+def _(s, d):
+    """Rows of another shape brought to a schema: what can't be cast is null, a column that is missing too, unknown kinds are dropped."""
+    raw = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, F.col("label").cast("string")).otherwise("x").alias("label"), F.when(F.col("label") % 3 == 0, "bad").otherwise("good").alias("kind"), "embedding")
+    return conform(raw, StructType.fromDDL("id string, label int, note string, kind string"), {"kind": ["good"]}).drop("kind")
+
+
+@query("src4_file_projects", f"""WITH {SESSION_MESSAGES}, w AS (SELECT nullif(lower(trim(sessionId, E' \\t\\r\\n\\f\\v')), '') AS file, cwd FROM short_conversation WHERE cwd IS NOT NULL AND type IN ('user', 'assistant') AND nullif(trim(uuid, E' \\t\\r\\n\\f\\v'), '') IS NOT NULL)
+SELECT file, bool_or(cwd = '/work/orchard' OR starts_with(cwd, '/work/orchard/')) AS excluded FROM w WHERE file IS NOT NULL GROUP BY 1""")
+def _(s, d):
+    """Files of lines, and whether any folder that they name lies in an excluded one."""
+    m = table(s, d, "short_conversation").where(F.col("type").isin("user", "assistant")).select(V.norm_id("sessionId").alias("file"), V.norm_id("uuid").alias("id"), F.monotonically_increasing_id().alias("line"), F.to_json(F.struct("type", "cwd")).alias("text"))
+    return X.file_projects(m.where("file is not null and id is not null"), ["/work/orchard/"]).select("file", "excluded")
+
+
+@query("src17_markdown_parts", """SELECT count(DISTINCT file) AS files, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS users, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS assistants FROM (
+  SELECT nullif(lower(trim(sessionId, E' \\t\\r\\n\\f\\v')), '') AS file, nullif(lower(trim(uuid, E' \\t\\r\\n\\f\\v')), '') AS uuid, arg_min(type, coalesce(timestamp, '')) AS role FROM short_conversation WHERE type IN ('user', 'assistant') GROUP BY 1, 2) WHERE file IS NOT NULL AND uuid IS NOT NULL""")
+def _(s, d):
+    """Every session as Markdown: how many files, and headings of either speaker."""
+    ws = Workspace(s, "src17")
+    line = F.to_json(F.struct("type", "timestamp", "sessionId", F.struct(F.col("type").alias("role"), F.lit("words").alias("content")).alias("message")))
+    raw = R.numbered(ws, _lines(s, d), ["file"], ["at", "id"], "line").select("file", (F.col("line") + 1).alias("line"), line.alias("text"))
+    md = X.rendered(raw)
+    heads = lambda who: F.size(F.regexp_extract_all("markdown", F.lit(f"(?m)^## {who}$"), F.lit(0)))
+    return md.agg(F.count("*").alias("files"), F.sum(heads("User").cast("bigint")).alias("users"), F.sum(heads("Assistant").cast("bigint")).alias("assistants"))
+
+
 QUERIES, ORACLE = Q, O
