@@ -411,7 +411,7 @@ def _(s, d):
     ws = Workspace(s, "src17")
     line = F.to_json(F.struct("type", "timestamp", "sessionId", F.struct(F.col("type").alias("role"), F.lit("words").alias("content")).alias("message")))
     raw = R.numbered(ws, _lines(s, d), ["file"], ["at", "id"], "line").select("file", (F.col("line") + 1).alias("line"), line.alias("text"))
-    md = X.rendered(raw)
+    md = X.rendered(raw, ws)
     heads = lambda who: F.size(F.regexp_extract_all("markdown", F.lit(f"(?m)^## {who}$"), F.lit(0)))
     return md.agg(F.count("*").alias("files"), F.sum(heads("User").cast("bigint")).alias("users"), F.sum(heads("Assistant").cast("bigint")).alias("assistants"))
 

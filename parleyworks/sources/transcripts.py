@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import encoded_path, exchange_id
 from ..operators.hierarchy import prefix_sums
-from ..operators.tables import filled_forward
+from ..operators.tables import filled_forward, numbered
 from ..session import Workspace, skew_safe_lookup
 from .files import plain_path
 
@@ -134,14 +134,13 @@ def file_projects(raw: DataFrame, excluded: list[str]) -> DataFrame:
     return named.groupBy("file").agg(encoded_path(F.min_by("cwd", "line")).alias("project"), F.bool_or(inside).alias("excluded"))
 
 
-def rendered(raw: DataFrame, start: int | None = None, end: int | None = None, ahead: int = 5) -> DataFrame:
+def rendered(raw: DataFrame, ws: Workspace, start: int | None = None, end: int | None = None, ahead: int = 5) -> DataFrame:
     """(file, markdown): the conversation from line ``start`` to ``end`` (both included) as Markdown, tool results beside their calls
     if they follow within ``ahead`` messages."""
     kept = raw.where((F.col("line") >= (start or 1)) & (F.col("line") <= (end or 2**31 - 1)))
     m = kept.select("file", "line", F.from_json("text", _A).alias("m")).where(F.col("m.type").isin("user", "assistant"))
     blocks = F.from_json("m.message.content", _BLOCKS)
-    w = Window.partitionBy("file").orderBy("line")
-    base = m.select("file", "line", F.row_number().over(w).alias("no"), F.col("m.type").alias("role"), F.coalesce("m.isSidechain", F.lit(False)).alias("side"), block_text(F.col("m.message.content")).alias("text"), blocks.alias("blocks"))
+    base = numbered(ws, m, ["file"], ["line"], "no").select("file", "line", "no", F.col("m.type").alias("role"), F.coalesce("m.isSidechain", F.lit(False)).alias("side"), block_text(F.col("m.message.content")).alias("text"), blocks.alias("blocks"))
     uses = base.select("file", "line", "no", F.explode(F.filter("blocks", lambda b: b["type"] == "tool_use")).alias("u"))
     results = base.select("file", F.col("no").alias("at"), F.explode(F.filter("blocks", lambda b: b["type"] == "tool_result")).alias("r")).select("file", "at", F.col("r.tool_use_id").alias("use"), F.col("r.content").alias("result"))
     joined = uses.join(results, (uses["file"] == results["file"]) & (F.col("u.id") == F.col("use")) & F.col("at").between(F.col("no") + 1, F.col("no") + ahead), "left").select(uses["file"], "line", F.concat(F.lit("\n\n**"), F.col("u.name"), F.lit("** `"), F.coalesce("u.input", F.lit("")), F.lit("`"), F.coalesce(F.concat(F.lit("\n\n```\n"), F.col("result"), F.lit("\n```")), F.lit(""))).alias("tool"))

@@ -45,7 +45,7 @@ def test_both_dialects(spark, ws, folder):
     assert (rows_a["project"], rows_a["line_start"], rows_a["line_end"]) == ("proj", 3, 6)
     assert transcripts.excluded_files(raw, ["session_meta"]).count() == 1
     assert {r["project"]: r["excluded"] for r in transcripts.file_projects(raw, ["/p/"]).collect()} == {"-w": False, "-p-q": True}
-    md = transcripts.rendered(raw.where("file like '%a.jsonl'")).first()["markdown"]
+    md = transcripts.rendered(raw.where("file like '%a.jsonl'"), ws).first()["markdown"]
     assert "## User\n\nhello" in md and "**Read**" in md and "```\nok\n```" in md
     assert transcripts.lines(spark, folder, ws, "*.none").count() == 0
 
