@@ -140,6 +140,7 @@ class TextIndex:
     texts and in how many of them each token occurs."""
 
     def __init__(self, docs: DataFrame, ws: Workspace, doc_id: str, text: str):
+        self.ws = ws
         made = postings(docs, doc_id, text)
         # the postings of a frequent word are spread over so many tasks
         spread = made.repartition("token", F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)))
@@ -153,12 +154,13 @@ _indexes: dict[tuple, TextIndex] = {}
 
 
 def text_index(state: tuple, build: Callable[[], TextIndex]) -> TextIndex:
-    """The index of a table in this state; built at the first search, and again when the table's files have changed."""
-    if state not in _indexes:
+    """The index of a table in this state; built at the first search, and again when the table's files have changed or the index is gone."""
+    known = _indexes.get(state)
+    if known is None or not (known.ws.holds(known.post) and known.ws.holds(known.frequency)):
         for old in [k for k in _indexes if k[:2] == state[:2]]:
             del _indexes[old]
-        _indexes[state] = build()
-    return _indexes[state]
+        known = _indexes[state] = build()
+    return known
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

@@ -95,6 +95,11 @@ class Workspace:
             if at:
                 self._delete(at)
 
+    def holds(self, df: DataFrame) -> bool:
+        """Whether a saved step is still there."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{df.saved_at}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def _delete(self, at: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(at)

@@ -73,4 +73,7 @@ def test_an_index_is_built_again_when_the_table_changes(spark, ws):
     ix = text_index(("app", "/t", 1), build)
     assert text_index(("app", "/t", 1), build) is ix and len(built) == 1 and (ix.docs, ix.mean_len) == (2, 1.5)
     assert {r["token"]: r["df"] for r in ix.frequency.collect()} == {"one": 1, "two": 2}
-    assert text_index(("app", "/t", 2), build) is not ix and len(built) == 2
+    other = text_index(("app", "/t", 2), build)
+    assert other is not ix and len(built) == 2
+    ws.drop(other.post)
+    assert text_index(("app", "/t", 2), build) is not other and len(built) == 3
